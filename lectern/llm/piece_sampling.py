@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ from lectern.llm.common import GOLD, U64, binary_values, mix, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-BLOCK_CHARS, MOST_EDGES = 2_000_000, 6_000_000
+BLOCK_CHARS, MOST_EDGES = 2_000_000, 10_000_000
 
 
 class Vocabulary:
@@ -69,18 +68,19 @@ class Vocabulary:
         self.log_weight = np.full(n, -np.inf)
         for i in used:
             self.log_weight[i] = -math.log(ranks[i] + 10) - shift
-        self.trie: dict = {}
+        # transitions of the trie of pieces: (state, character) -> state
+        states, moves, self.longest = {"": 0}, {}, max(map(len, normal), default=1)
+        for text in normal:
+            for end in range(1, len(text) + 1):
+                if text[:end] not in states:
+                    states[text[:end]] = len(states)
+                    moves[states[text[: end - 1]] << 21 | ord(text[end - 1])] = states[text[:end]]
+        self.move_keys = np.array(sorted(moves), np.int64)
+        self.move_to = np.array([moves[m] for m in self.move_keys.tolist()], np.int64)
+        self.state_piece = np.full(len(states), -1, np.int32)
         for text, i in normal.items():
-            node = self.trie
-            for ch in text[:-1]:
-                node = node.setdefault(ch, (-1, 0.0, {}))[2]
-            old = node.get(text[-1])
-            node[text[-1]] = (i, float(self.log_weight[i]), old[2] if old else {})
-        # children of the root that were made as inner nodes keep their subtrees when their own piece comes later
-
-    def fallback(self, ch: str) -> tuple[float, int]:
-        """Log weight and code of a character written in byte pieces."""
-        return sum(float(self.log_weight[self.byte_ids[b]]) for b in ch.encode()), -ord(ch) - 1
+            self.state_piece[states[text]] = i
+        self.byte_weight = float(self.log_weight[self.byte_ids[0]]) if self.byte_ids[0] >= 0 else -50.0
 
     def expand(self, codes: np.ndarray) -> np.ndarray:
         """Piece ids of edge codes; negative codes are characters in bytes."""
@@ -101,7 +101,10 @@ class Vocabulary:
 
 
 class Lattices:
-    """Nodes and edges of all units met so far; an edge has its probability, given its node."""
+    """Nodes and edges of all units met so far; an edge has its probability, given its node.
+
+    Nodes are numbered along the units; edge 0.. of node i are start[i] to start[i + 1], longest pieces first.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -109,63 +112,77 @@ class Lattices:
 
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
-        self.start, self.p, self.to, self.code = array("q", [0]), array("d"), array("q"), array("i")
-
-    def add(self, unit: str) -> int:
-        n, trie, v = len(unit), self.v.trie, self.v
-        beta = [0.0] * (n + 1)
-        nodes = [None] * n
-        for i in range(n - 1, -1, -1):
-            found, j, level = [], i, trie
-            while j < n:
-                hit = level.get(unit[j])
-                if hit is None:
-                    break
-                j += 1
-                if hit[0] >= 0:
-                    found.append((hit[1] + beta[j], hit[0], j))
-                level = hit[2]
-            if not found or found[0][2] != i + 1:
-                w, code = v.fallback(unit[i])
-                found.append((w + beta[i + 1], code, i + 1))
-            if len(found) == 1:
-                beta[i] = found[0][0]
-            else:
-                found.sort(reverse=True)
-                top = found[0][0]
-                beta[i] = top + math.log(sum([math.exp(w - top) for w, _, _ in found]))
-            nodes[i] = found
-        root = len(self.start) - 1
-        for i, found in enumerate(nodes):
-            if len(found) == 1:
-                _, code, j = found[0]
-                self.p.append(1.0)
-                self.to.append(root + j if j < n else -1)
-                self.code.append(code)
-            else:
-                b = beta[i]
-                for w, code, j in found:
-                    self.p.append(math.exp(w - b))
-                    self.to.append(root + j if j < n else -1)
-                    self.code.append(code)
-            self.start.append(len(self.p))
-        self.roots[unit] = root
-        return root
+        self.nodes = self.edges = 0
+        self.start, self.p, self.to, self.code = np.zeros(1, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            grown = np.zeros(max(2 * len(held), at + len(values)), held.dtype)
+            grown[:at] = held[:at]
+            setattr(self, name, grown)
+            held = grown
+        held[at : at + len(values)] = values
+
+    def add(self, units: list[str]) -> None:
+        v, width = self.v, self.v.longest
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        cp = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = len(cp)
+        first = np.cumsum(sizes) - sizes
+        unit = np.repeat(np.arange(len(units)), sizes)
+        left = sizes[unit] - (np.arange(n) - first[unit])  # characters up to the unit's end
+        weight, code = np.full((n, width), -np.inf), np.zeros((n, width), np.int32)
+        state, on = np.zeros(n, np.int64), np.arange(n)
+        for k in range(width):
+            on = on[left[on] > k]
+            key = state[on] << 21 | cp[on + k]
+            i = np.minimum(np.searchsorted(v.move_keys, key), len(v.move_keys) - 1)
+            hit = v.move_keys[i] == key
+            on = on[hit]
+            state[on] = v.move_to[i[hit]]
+            piece = v.state_piece[state[on]]
+            whole = piece >= 0
+            weight[on[whole], k] = v.log_weight[piece[whole]]
+            code[on[whole], k] = piece[whole]
+        lone = np.nonzero(weight[:, 0] == -np.inf)[0]
+        c = cp[lone]
+        weight[lone, 0] = v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        code[lone, 0] = -c - 1
+        # log mass from each position to the unit's end, from the ends backwards; each unit has a slot for its end
+        slot = np.arange(n) + unit
+        mass = np.zeros(n + len(units) + width)
+        order = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = order[a:b]
+            terms = weight[at] + mass[slot[at][:, None] + 1 + np.arange(width)]
+            top = terms.max(1)
+            mass[slot[at]] = top + np.log(np.exp(terms - top[:, None]).sum(1))
+        row, col = np.nonzero(weight[:, ::-1] > -np.inf)
+        k = width - 1 - col
+        p = np.exp(weight[row, k] + mass[slot[row] + 1 + k] - mass[slot[row]])
+        self._put("p", self.edges, p)
+        self._put("to", self.edges, np.where(left[row] == k + 1, -1, self.nodes + row + k + 1))
+        self._put("code", self.edges, code[row, k])
+        self._put("start", self.nodes + 1, self.edges + np.cumsum(np.bincount(row, minlength=n)))
+        self.roots.update(zip(units, (self.nodes + first).tolist()))
+        self.nodes, self.edges = self.nodes + n, self.edges + len(row)
 
     def of(self, units: list[str]) -> np.ndarray:
         roots = self.roots
-        get = roots.get
-        out = [get(u) for u in units]
-        for k, r in enumerate(out):
-            if r is None:
-                u = units[k]
-                r = get(u)
-                out[k] = self.add(u) if r is None else r
-        return np.array(out, np.int64)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Copies, as the growing buffers can't be lent out."""
-        return np.array(self.start, np.int64), np.array(self.p, np.float64), np.array(self.to, np.int64), np.array(self.code, np.int32)
+        new = list({u for u in units if u not in roots})
+        held = 0
+        batch: list[str] = []
+        for u in new:
+            batch.append(u)
+            held += len(u)
+            if held >= 150_000:
+                self.add(batch)
+                batch, held = [], 0
+        if batch:
+            self.add(batch)
+        return np.fromiter(map(roots.__getitem__, units), np.int64, len(units))
 
 
 def uniform(keys: np.ndarray, counters: np.ndarray) -> np.ndarray:
@@ -233,12 +250,12 @@ def _bounds(path_logs: np.ndarray, p: np.ndarray, split: int, spare: float, key:
 
 def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k samples (piece ids, log probability, log inclusion score), greatest key first."""
-    if len(lattices.p) > MOST_EDGES:
+    if lattices.edges > MOST_EDGES:
         lattices.clear()
     units = [_UNITS.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], np.int64)
     roots = lattices.of([u for us in units for u in us])
-    start, p, to, code = lattices.arrays()
+    start, p, to, code = lattices.start, lattices.p, lattices.to, lattices.code
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(texts)), sizes)
     ordinal = np.arange(len(roots)) - np.repeat(ends - sizes, sizes)
@@ -268,7 +285,7 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
             key = float(q.bounds[t])
             q.bounds[t] = -np.inf
             out = (*q.excluded, int(q.edges[t])) if t == q.split else (int(q.edges[t]),)
-            node = int(np.searchsorted(start, q.edges[t], side="right")) - 1
+            node = int(np.searchsorted(start[: lattices.nodes + 1], q.edges[t], side="right")) - 1
             choices = [x for x in range(start[node], start[node + 1]) if x not in out]
             weights = np.cumsum(p[choices])
             u = float(uniform(mix(keys[i : i + 1] + U64(3 + 2 * r)), np.array([t]))[0]) * weights[-1]
@@ -334,7 +351,7 @@ def encode_samples(docs: DataFrame, model_path: str = DEFAULT_MODEL, k: int = 2,
     with open(model_path, "rb") as f:  # a file of the driver; its bytes are broadcast
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     digest = xxhash.xxh3_64_hexdigest(sent.value)
-    new = T.StructType().add("sample", "int").add("n_pieces", "int").add("log_prob", "double").add("log_inclusion", "double").add("round_trip", "boolean")
+    new = T.StructType().add("sample", "integer").add("n_pieces", "integer").add("log_prob", "double").add("log_inclusion", "double").add("round_trip", "boolean")
     if ids:
         new = new.add("ids", T.ArrayType(T.IntegerType()))
     names = [c for c in (keep if keep is not None else docs.columns) if c not in new.fieldNames()]
