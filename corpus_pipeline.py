@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, table
+from lectern.llm.common import keep_where, materialize, table
 from lectern.llm.decontaminate import find_contamination
 from lectern.llm.ngram_join import ngram_components
 from lectern.llm.piece_sampling import encode_samples
@@ -15,12 +15,12 @@ from lectern.llm.quality_rules import quality_rules
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold."""
-    return quality_filter(docs, table(spark, sf_dir, "labels")).where("quality.kept").drop("quality")
+    return keep_where(quality_filter(docs, table(spark, sf_dir, "labels")), F.col("quality.kept")).drop("quality")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules; lines that failed are gone from their texts, and n_chars follows."""
-    judged = quality_rules(docs).where("rules.kept")
+    judged = keep_where(quality_rules(docs), F.col("rules.kept"))
     text = F.when(F.col("rules.lost_chars") > 0, F.col("rules.clean_text")).otherwise(F.col("text"))
     judged = judged.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -37,7 +37,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages beyond the contamination rule."""
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contamination.contaminated")).drop("contamination")
+    return keep_where(find_contamination(docs, table(spark, sf_dir, "benchmark")), ~F.col("contamination.contaminated")).drop("contamination")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

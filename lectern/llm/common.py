@@ -41,6 +41,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter behind a barrier: Catalyst doesn't push the condition into the projection that makes its columns, where deep
+    expressions would be copied into it and evaluated twice."""
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
