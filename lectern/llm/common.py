@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,19 +67,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered up to a bound so that very large vocabularies don't fill a worker."""
+def _words_table() -> tuple[np.ndarray, np.ndarray]:
+    space = np.zeros(256, bool)
+    space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+    return space, mix(np.arange(1, 257, dtype=U64) * GOLD)
 
-    bound = 1_500_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_SPACE, _BYTE = _words_table()
+_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_STEP = U64(0x5851F42D4C957F2D)
+_BACK = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, and the number of words of each.
+
+    Words are runs without \\x20 and \\x09-\\x0D, only A-Z are lower-cased. A word's hash is a polynomial of its bytes modulo 2**64,
+    taken from running sums, so that a block of texts is hashed at once.
+    """
+    data = b"\n".join(t or b"" for t in texts).lower()
+    n = len(data)
+    if len(_POWERS[0]) <= n:
+        for k, step in enumerate((_STEP, _BACK)):
+            grown = np.full(2 * n + 1, step, U64)
+            grown[0] = 1
+            _POWERS[k] = np.multiply.accumulate(grown)
+    raw = np.frombuffer(data, np.uint8)
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _SPACE[raw]
+    starts = np.flatnonzero(gap[:-2] & ~gap[1:-1])
+    ends = np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+    sums = np.zeros(n + 1, U64)
+    np.multiply(_BYTE[raw], _POWERS[0][:n], out=sums[1:])
+    np.cumsum(sums, out=sums)
+    hashes = mix((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(U64) * GOLD)
+    bounds = np.cumsum(np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts)))
+    upto = np.searchsorted(starts, bounds)
+    return hashes, np.diff(upto, prepend=0)
+
+
+def sliced(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose text column has about `most` bytes each, so that a worker's memory doesn't follow the batch."""
+    if not batch.num_rows:
+        return
+    data = batch.column(column)
+    if not pa.types.is_string(data.type):
+        yield batch
+        return
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def binary_values(column: pa.Array) -> list[bytes | None]:
@@ -109,9 +149,7 @@ def map_texts(
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in sliced(whole, width)):
             made = [pa.array(v, type=f.type) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v, f in zip(fn(binary_values(batch.column(width))), arrow)]
             cols = list(batch.columns[:width])
             if out:
@@ -129,40 +167,53 @@ def to_arrow(fields: T.StructType) -> pa.Schema:
     return to_arrow_schema(fields)
 
 
-def merged_counters(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, dtype: str = "int64", flags: bool = False) -> np.ndarray:
+def merged_counters(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int, flags: bool = False) -> np.ndarray:
     """Counters of a fixed size, 2**bits of them, over 64-bit keys: each task fills its own and sends them in segments that are added up.
 
     The size does not depend on the input, so that the result is safe to hold on the driver and to broadcast.
     flags: only tells whether a counter was met (a Bloom filter with one hash).
     """
-    import zlib
-
-    segments = 1 << max(0, bits - 16)
-    width = (1 << bits) // segments
     shift = U64(64 - bits)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint8 if flags else np.int32)
-        for batch in batches:
+        total = np.zeros(1 << bits, np.int32)
+        for batch in (part for whole in batches for part in sliced(whole, 0)):
             k = (keys(batch) >> shift).astype(np.int64)
             if flags:
                 total[k] = 1
             elif len(k):
-                np.add(total, np.bincount(k, minlength=1 << bits), out=total, casting="unsafe")
-        parts = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(segments)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "data"])
+                np.add.at(total, k, 1)
+        yield from pack_counters(total, ["segment", "data"])
+
+    made = unpacked_counters(rows.mapInArrow(fill, "segment int, data binary"), bits)
+    return (made > 0).astype(np.uint8) if flags else made
+
+
+SEGMENT_BITS = 16
+
+
+def pack_counters(total: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counters in packed segments; other columns of `names` are null."""
+    width = min(len(total), 1 << SEGMENT_BITS)
+    parts = [zlib.compress(total[at : at + width].tobytes(), 1) for at in range(0, len(total), width)]
+    given = {"segment": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())}
+    yield pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(parts), pa.int64())) for n in names], names=names)
+
+
+def unpacked_counters(packed: DataFrame, bits: int) -> np.ndarray:
+    """The sum of all tasks' packed counters, on the driver: its size is fixed."""
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        total = None
         for part in parts:
             for data in part.column(part.schema.get_field_index("data")).to_pylist():
-                total += np.frombuffer(zlib.decompress(data), np.uint8 if flags else np.int32)
-        total = np.minimum(total, np.iinfo(np.uint8 if flags else np.int32).max)
-        packed = zlib.compress(total.astype(np.uint8 if flags else np.int32).tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["segment", "data"])
-
-    filled = rows.mapInArrow(fill, "segment int, data binary").groupBy("segment").applyInArrow(add, "segment int, data binary")
-    result = np.zeros(1 << bits, np.uint8 if flags else np.int32)
-    for row in filled.collect():  # of a fixed size
-        result[row.segment * width : (row.segment + 1) * width] = np.frombuffer(zlib.decompress(bytes(row.data)), result.dtype)
+                counts = np.frombuffer(zlib.decompress(data), np.int32).astype(np.int64)
+                total = counts if total is None else total + counts
+        data = zlib.compress(np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["segment", "data"])
+
+    result = np.zeros(1 << bits, np.int32)
+    for row in packed.groupBy("segment").applyInArrow(add, "segment int, data binary").collect():
+        part = np.frombuffer(zlib.decompress(bytes(row.data)), np.int32)
+        result[row.segment * len(part) : (row.segment + 1) * len(part)] = part
     return result

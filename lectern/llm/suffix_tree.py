@@ -26,30 +26,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, WordHashes, binary_values, crc_mod, materialize, merged_counters, mix, table
+from lectern.llm.common import GOLD, U64, binary_values, crc_mod, materialize, merged_counters, mix, sliced, table, word_hashes
 
 DEPTH, P_MIN, MIN_GAIN, HEAD_MIN, COUNTER_BITS = 3, 4e-6, 10.0, 1e-6, 22
 BLOCK_TOKENS = 2_000_000
-END = U64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
-
-_WORDS = WordHashes()
+END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
 
 
 def token_stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, ends included, and the number of tokens of each text."""
-    words: list[bytes] = []
-    sizes = []
-    for t in texts:
-        ws = t.lower().split() if t else []
-        words += ws
-        words.append(b"\n")
-        sizes.append(len(ws) + 1)
-    return _WORDS.of(words), np.array(sizes, np.int64)
+    words, sizes = word_hashes(texts)
+    sizes = sizes + 1
+    tokens = np.full(len(words) + len(texts), END, U64)
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    tokens[inner] = words
+    return tokens, sizes
 
 
 def sequences(tokens: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,7 +72,7 @@ def sequences(tokens: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray,
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 0) -> Iterator[np.ndarray]:
     held, n = [], 0
-    for b in batches:
+    for b in (part for whole in batches for part in sliced(whole, text)):
         tokens, _ = token_stream(binary_values(b.column(text)))
         held.append(tokens)
         n += len(tokens)
@@ -209,7 +205,7 @@ def score(docs: DataFrame, words: DataFrame, tree: Tree, id_cols: list[str], tex
         t = sent.value
         heads, weights, rests = Lookup(*t.heads), Lookup(*t.weights), Lookup(*t.rests)
         for b in batches:
-            for part in _slices(b, width):
+            for part in sliced(b, width):
                 yield scored_part(part, t, heads, weights, rests)
 
     def scored_part(part: pa.RecordBatch, t: Tree, heads: Lookup, weights: Lookup, rests: Lookup) -> pa.RecordBatch:
@@ -263,13 +259,6 @@ def score(docs: DataFrame, words: DataFrame, tree: Tree, id_cols: list[str], tex
     )
 
 
-def _slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `most` text bytes."""
-    step = max(1, int(batch.num_rows * most / max(batch.column(text).nbytes, 1)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     return crc_mod(id_col, 7) == 2
 
