@@ -176,7 +176,7 @@ def merged_counters(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray
     shift = U64(64 - bits)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int32)
+        total = np.zeros(1 << bits, np.uint8 if flags else np.int32)
         for batch in (part for whole in batches for part in sliced(whole, 0)):
             k = (keys(batch) >> shift).astype(np.int64)
             if flags:
@@ -185,8 +185,7 @@ def merged_counters(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray
                 np.add.at(total, k, 1)
         yield from pack_counters(total, ["segment", "data"])
 
-    made = unpacked_counters(rows.mapInArrow(fill, "segment int, data binary"), bits)
-    return (made > 0).astype(np.uint8) if flags else made
+    return unpacked_counters(rows.mapInArrow(fill, "segment int, data binary"), bits, flags)
 
 
 SEGMENT_BITS = 16
@@ -200,20 +199,21 @@ def pack_counters(total: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(parts), pa.int64())) for n in names], names=names)
 
 
-def unpacked_counters(packed: DataFrame, bits: int) -> np.ndarray:
-    """The sum of all tasks' packed counters, on the driver: its size is fixed."""
+def unpacked_counters(packed: DataFrame, bits: int, flags: bool = False) -> np.ndarray:
+    """The sum of all tasks' packed counters (or their flags together), on the driver: its size is fixed."""
+    kind = np.uint8 if flags else np.int32
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for part in parts:
             for data in part.column(part.schema.get_field_index("data")).to_pylist():
-                counts = np.frombuffer(zlib.decompress(data), np.int32).astype(np.int64)
+                counts = np.frombuffer(zlib.decompress(data), kind).astype(np.int64)
                 total = counts if total is None else total + counts
-        data = zlib.compress(np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes(), 1)
+        data = zlib.compress(np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["segment", "data"])
 
-    result = np.zeros(1 << bits, np.int32)
+    result = np.zeros(1 << bits, kind)
     for row in packed.groupBy("segment").applyInArrow(add, "segment int, data binary").collect():
-        part = np.frombuffer(zlib.decompress(bytes(row.data)), np.int32)
+        part = np.frombuffer(zlib.decompress(bytes(row.data)), kind)
         result[row.segment * len(part) : (row.segment + 1) * len(part)] = part
     return result

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lectern.llm.common import GOLD, U64, binary_values, crc_mod, materialize, merged_counters, mix, sliced, table, word_hashes
 
 DEPTH, P_MIN, MIN_GAIN, HEAD_MIN, COUNTER_BITS = 3, 4e-6, 10.0, 1e-6, 22
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
 
 
