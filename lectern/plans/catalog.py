@@ -1,4 +1,230 @@
 """The registered queries and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import geometry, noise, registry, retrieve, structure
+from lectern.sources import html
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+NOISE_RATIO = 0.10
+LINES = r"""l AS (SELECT source AS doc, doc_id AS page, unnest(range(1, len(ls) + 1)) - 1 AS ix, unnest(ls) AS raw FROM (SELECT source, doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM documents)),
+n AS (SELECT doc, page, ix, raw, lower(trim(regexp_replace(regexp_replace(regexp_replace(raw, chr(160), ' ', 'g'), '[\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '\s+', ' ', 'g'))) AS line FROM l),
+e AS (SELECT doc, page, line, ix, row_number() OVER (PARTITION BY doc, page ORDER BY ix) - 1 AS k, count(*) OVER (PARTITION BY doc, page) AS m FROM n WHERE line <> ''),
+f AS (SELECT doc, line, count(DISTINCT page) AS pages, count(DISTINCT CASE WHEN k < 3 OR k >= m - 3 THEN page END) AS edge_pages FROM e GROUP BY doc, line),
+p AS (SELECT source AS doc, count(DISTINCT doc_id) AS n_pages FROM documents GROUP BY source)"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+
+
+@query(f"""WITH {LINES} SELECT doc, line, pages, edge_pages FROM f WHERE pages > 1""")
+def line_frequency(spark, sf_dir):
+    return noise.line_frequency(noise.lines(_pages(spark, sf_dir), "doc", "page", "text")).where("pages > 1")
+
+
+_NOISE = f"""WITH {LINES}, z AS (SELECT f.doc, line, pages FROM f JOIN p ON f.doc = p.doc WHERE pages >= greatest(3, ceil(n_pages * {NOISE_RATIO})) AND (edge_pages >= greatest(3, ceil(n_pages * {NOISE_RATIO})) OR regexp_matches(line, 'https?://|www\\.'))
+  AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+.+'))"""
+
+
+@query(f"{_NOISE} SELECT * FROM z")
+def line_noise(spark, sf_dir):
+    return noise.line_noise(_pages(spark, sf_dir), ratio=NOISE_RATIO)
+
+
+@query(
+    _NOISE
+    + r""", kept AS (SELECT n.doc, n.page, ix, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS t, n.line FROM n LEFT JOIN z ON n.doc = z.doc AND n.line = z.line WHERE z.line IS NULL),
+  g AS (SELECT doc, page, ix, t, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY ix) AS blanks, line FROM kept),
+  h AS (SELECT doc, page, ix, t, blanks - coalesce(lag(blanks) OVER (PARTITION BY doc, page ORDER BY ix), blanks) AS gap FROM g WHERE line <> ''),
+  o AS (SELECT doc, page, count(*) AS n_out, string_agg(CASE WHEN ix = first THEN '' WHEN gap > 0 THEN chr(10) || chr(10) ELSE chr(10) END || t, '' ORDER BY ix) AS cleaned FROM (SELECT *, min(ix) OVER (PARTITION BY doc, page) AS first FROM h) GROUP BY doc, page),
+  s AS (SELECT doc, page, sum(CASE WHEN line <> '' THEN 1 ELSE 0 END)::BIGINT AS n_in FROM n GROUP BY doc, page)
+  SELECT s.doc, s.page, n_in, coalesce(n_out, 0)::BIGINT AS n_out, coalesce(cleaned, '') AS cleaned FROM s LEFT JOIN o ON s.doc = o.doc AND s.page = o.page"""
+)
+def clean_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return noise.clean_pages(pages, noise.line_noise(pages, ratio=NOISE_RATIO))
+
+
+@query(f"""WITH {LINES}, z AS (SELECT f.doc, line, pages FROM f JOIN p ON f.doc = p.doc WHERE length(line) BETWEEN 2 AND 7 AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '\\p{{N}}') AND pages >= 1)
+SELECT doc, line, pages FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS k FROM z) WHERE k >= 2""")
+def fragment_noise(spark, sf_dir):
+    return noise.fragment_noise(_pages(spark, sf_dir), ratio=0.0, least=1, gate=2)
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(160), ' ', 'g'), '\r\n|\r|\f', chr(10), 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \t\n') AS normal FROM documents""")
+def page_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.normalize_page(F.col("text")).alias("normal"))
+
+
+@query(r"""SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::BIGINT AS letters, len(regexp_extract_all(text, '[\p{L}\p{N}]+'))::BIGINT AS words, md5(regexp_replace(translate(lower(text), 'ё', 'е'), '[^\p{L}\p{N}]+', '', 'g')) AS compact_md5,
+ CASE WHEN length(text) <= 420 THEN text ELSE text[1:320] || chr(10) || '…' || chr(10) || right(text, 90) END AS excerpt FROM documents""")
+def text_measures(spark, sf_dir):
+    t = F.col("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length(T.compact_letters(t)).cast("long").alias("letters"), T.count_words(t).cast("long").alias("words"), F.md5(T.compact(t)).alias("compact_md5"), T.embedding_excerpt(t).alias("excerpt"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return html.read_html(_t(spark, sf_dir, "pages")).select("page_id", T.normalize_page(F.col("text")).alias("text"))
+
+
+_RECTS = """r AS (SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS id,
+ (l_partkey % 60 * 10)::BIGINT AS t, (l_orderkey % 40 * 10)::BIGINT AS l, (l_partkey % 60 * 10 + 15 + l_quantity)::BIGINT AS b, (l_orderkey % 40 * 10 + 20 + l_quantity)::BIGINT AS r, (l_quantity)::BIGINT AS q FROM lineitem)"""
+
+
+def _rects(spark, sf_dir):
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    return _t(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("page"), F.row_number().over(order).cast("long").alias("id"), (F.col("l_partkey") % 60 * 10).alias("t"), (F.col("l_orderkey") % 40 * 10).alias("l"),
+        (F.col("l_partkey") % 60 * 10 + 15 + F.col("l_quantity")).cast("long").alias("b"), (F.col("l_orderkey") % 40 * 10 + 20 + F.col("l_quantity")).cast("long").alias("r"), F.col("l_quantity").cast("long").alias("q"),
+    )
+
+
+_PAIRS = f"""WITH {_RECTS}, o AS (SELECT a.page, a.id AS a, b.id AS b, (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) AS shared FROM r a JOIN r b ON a.page = b.page AND a.id < b.id AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b
+ WHERE 100 * (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) >= 70 * least((a.r - a.l) * (a.b - a.t), (b.r - b.l) * (b.b - b.t)))"""
+
+
+@query(f"{_PAIRS} SELECT * FROM o")
+def rectangle_overlaps(spark, sf_dir):
+    return geometry.overlaps(_rects(spark, sf_dir))
+
+
+@query(f"{_PAIRS}, s AS (SELECT page, a, b FROM o UNION ALL SELECT page, b, a FROM o) SELECT DISTINCT x.page, x.a AS id FROM s x JOIN s y ON x.page = y.page AND x.a = y.a AND x.b < y.b LEFT JOIN o ON o.page = x.page AND o.a = x.b AND o.b = y.b WHERE o.page IS NULL")
+def spanning_rectangles(spark, sf_dir):
+    return geometry.spanning(_rects(spark, sf_dir))
+
+
+@query()
+def selected_rectangles(spark, sf_dir):
+    return geometry.suppress(_rects(spark, sf_dir))
+
+
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority, lag(o_orderpriority) OVER w AS p, lag(o_orderdate) OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+y AS (SELECT *, sum(CASE WHEN o_orderpriority = p OR date_diff('day', CAST(d AS DATE), CAST(o_orderdate AS DATE)) <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::BIGINT AS island FROM x)
+SELECT o_custkey, island, count(*) AS n, min(o_orderkey) AS first_key FROM y GROUP BY ALL""")
+def table_islands(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    near = (F.col("o_orderpriority") == F.col("prev.o_orderpriority")) | (F.datediff("o_orderdate", "prev.o_orderdate") <= 60)
+    found = geometry.continuation_islands(orders, "o_custkey", order=["o_orderdate", "o_orderkey"], continues=near)
+    return found.groupBy("o_custkey", "island").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+_HEADINGS = """h AS (SELECT CAST(r_regionkey AS VARCHAR) AS doc, r_regionkey * 1000000 AS ord, (r_regionkey + 1) || ' ' || r_name AS line FROM region
+ UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_regionkey * 1000000 + (n_nationkey + 1) * 10000, (n_regionkey + 1) || '.' || (n_nationkey + 1) || ' ' || replace(n_name, '_', ' ') FROM nation
+ UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_regionkey * 1000000 + (n_nationkey + 1) * 10000 + s_suppkey % 10000, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) WHEN s_suppkey % 3 = 1 THEN 'IV. ' || s_name ELSE 'about ' || s_name || ' ' || s_suppkey END FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def _headings(spark, sf_dir):
+    region, nation, supplier = (_t(spark, sf_dir, x) for x in ("region", "nation", "supplier"))
+    top = region.select(F.col("r_regionkey").cast("string").alias("doc"), (F.col("r_regionkey").cast("long") * 1000000).alias("ord"), F.concat(F.col("r_regionkey") + 1, F.lit(" "), "r_name").alias("line"))
+    at = F.col("n_regionkey").cast("long") * 1000000 + (F.col("n_nationkey") + 1) * 10000
+    mid = nation.select(F.col("n_regionkey").cast("string").alias("doc"), at.alias("ord"), F.concat(F.col("n_regionkey") + 1, F.lit("."), F.col("n_nationkey") + 1, F.lit(" "), F.replace(F.col("n_name"), F.lit("_"), F.lit(" "))).alias("line"))
+    k = F.col("s_suppkey") % 3
+    name = F.when(k == 0, F.upper("s_name")).when(k == 1, F.concat(F.lit("IV. "), "s_name")).otherwise(F.concat(F.lit("about "), "s_name", F.lit(" "), F.col("s_suppkey").cast("string")))
+    low = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("doc"), (at + F.col("s_suppkey") % 10000).alias("ord"), name.alias("line"))
+    return top.unionByName(mid).unionByName(low)
+
+
+@query(rf"""WITH {_HEADINGS}, s AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*(\d+(?:\.\d+)*)(?:[.)]?\s+)(\p{{L}}.*)$') THEN 'DECIMAL' WHEN regexp_matches(line, '^\s*([IVXLCDMivxlcdm]+)[.)]\s+(\p{{L}}.*)$') THEN 'ROMAN' WHEN regexp_matches(line, '^\s*([A-ZА-ЯЁ])[.)]\s+(\p{{L}}.*)$') THEN 'LETTER'
+ WHEN regexp_matches(line, '^\p{{L}}') AND len(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+')) <= 12 AND length(line) <= 120 AND 10 * length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) >= 7 * length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) THEN 'UPPERCASE' END AS scheme FROM h)
+SELECT doc, ord, line, scheme, CASE WHEN scheme = 'DECIMAL' THEN len(string_split(regexp_extract(line, '^\s*(\d+(?:\.\d+)*)', 1), '.'))::INTEGER WHEN scheme = 'LETTER' THEN 1 WHEN scheme IS NOT NULL THEN 1 ELSE 0 END AS level FROM s""")
+def heading_schemes(spark, sf_dir):
+    line = F.col("line")
+    found = _headings(spark, sf_dir).withColumn("scheme", structure.heading_scheme(line))
+    return found.withColumn("level", F.coalesce(structure.heading_level(F.col("scheme"), line, F.lit(False)), F.lit(0)))
+
+
+@query()
+def section_paths(spark, sf_dir):
+    line = F.col("line")
+    found = _headings(spark, sf_dir).withColumn("scheme", structure.heading_scheme(line))
+    decimal = F.col("scheme") == "DECIMAL"
+    return structure.section_paths(found.select("doc", "ord", F.when(decimal, structure.heading_level(F.col("scheme"), line, F.lit(False))).alias("level"), F.when(decimal, line).alias("heading")))
+
+
+@query(rf"""WITH {LINES} SELECT doc, page, count(CASE WHEN regexp_matches(line, '\.{{2,}}|…{{2,}}') OR (regexp_matches(line, '\s\d{{1,4}}\s*$') AND length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) >= 3) THEN 1 END) AS entries, count(*) AS lines FROM e GROUP BY doc, page""")
+def contents_entries(spark, sf_dir):
+    found = noise.lines(_pages(spark, sf_dir), "doc", "page", "text").where("not blank")
+    return found.groupBy("doc", "page").agg(F.count_if(structure.contents_entry(F.col("line"))).alias("entries"), F.count(F.lit(1)).alias("lines"))
+
+
+@query(rf"""WITH {LINES}, q AS (SELECT DISTINCT doc, page, left(c, 10) AS f FROM (SELECT doc, page, regexp_replace(translate(upper(line), '015', 'OIS'), '[^\p{{L}}]', '', 'g') AS c FROM e WHERE k < 2) WHERE length(c) >= 10),
+u AS (SELECT DISTINCT doc, f FROM q), w AS (SELECT a.doc, a.f, b.f AS g FROM u a JOIN u b ON a.doc = b.doc AND list_sum(list_transform(range(1, 11), lambda i: CASE WHEN substr(a.f, i, 1) <> substr(b.f, i, 1) THEN 1 ELSE 0 END)) <= 2)
+SELECT w.doc, w.f AS fingerprint, count(DISTINCT page) AS pages FROM w JOIN q ON w.doc = q.doc AND w.g = q.f GROUP BY ALL HAVING count(DISTINCT page) >= 3""")
+def repeated_headers(spark, sf_dir):
+    found = noise.edge_lines(noise.lines(_pages(spark, sf_dir), "doc", "page", "text")).where("ix < 2")
+    return structure.repeated_headers(found.select("doc", "page", "line"))
+
+
+@query()
+def chunks(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations")
+    return structure.pack_chunks(turns.select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("ord"), F.col("role").alias("path"), "text"), max_tokens=128)
+
+
+@query("""SELECT conv_id, string_agg('[TURN ' || turn || '; ' || role || ']' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS context, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id""")
+def conversation_context(spark, sf_dir):
+    part = F.concat(F.lit("[TURN "), F.col("turn").cast("string"), F.lit("; "), "role", F.lit("]\n"), "text")
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", part.alias("p")))).alias("ps"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return rows.select("conv_id", F.array_join(F.transform("ps", lambda x: x["p"]), "\n").alias("context"), "first_turn", "last_turn")
+
+
+LEXICON = {"the": 5, "tion": 45, "ment": 45, "ung": 35, "ción": 35, "with": 10}
+
+
+@query("SELECT doc_id, (" + " + ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {w} ELSE 0 END" for k, w in LEXICON.items()) + ")::INTEGER AS score FROM documents")
+def keyword_scores(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", retrieve.keyword_score(F.col("text"), LEXICON).alias("score"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT x.id, max(CASE WHEN q.id < 3 THEN list_dot_product(x.v, q.v) END) AS sim, max(CASE WHEN q.id >= 3 THEN list_dot_product(x.v, q.v) END) AS con FROM v x JOIN v q ON q.id < 7 GROUP BY x.id)
+SELECT id, round(sim, 4) AS sim FROM s WHERE sim >= 0.2 AND sim - con >= 0.02 ORDER BY sim DESC, id LIMIT 36""")
+def contrast_search(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieve.contrast_search(v, v.where("id < 3"), v.where("id between 3 and 6"), 0.2, 0.02, 36).select("id", F.round("sim", 4).alias("sim"))
+
+
+@query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) ::INTEGER AS new_number, max(c) OVER (PARTITION BY conv_id) = 1 AS valid FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS c FROM conversations)""")
+def renumbered_rows(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").withColumn("number", F.struct("turn", "role", "text"))
+    found = registry.renumber(turns, "conv_id", "number").drop("valid")
+    times = found.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn")))
+    return times.withColumn("valid", F.max("c").over(Window.partitionBy("conv_id")) == 1).select("conv_id", "turn", "role", "new_number", "valid")
+
+
+@query(r"""WITH g AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size % 4 <> 0 AS active, 'R' || p_partkey AS registration FROM part),
+w AS (SELECT id, active, registration, string_split(trim(regexp_replace(name, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM g),
+q AS (SELECT DISTINCT p_name AS query FROM part), t AS (SELECT query, list_filter(list_distinct(string_split(trim(regexp_replace(lower(query), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')), lambda x: length(x) >= 2) AS ts FROM q),
+h AS (SELECT query, count(CASE WHEN active THEN 1 END) AS n, count(CASE WHEN NOT active THEN 1 END) AS m, arg_max(registration, CASE WHEN active THEN id END) AS live, arg_max(registration, CASE WHEN NOT active THEN id END) AS old FROM t JOIN w ON list_has_all(ws, ts) WHERE len(ts) > 0 GROUP BY query)
+SELECT t.query, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'AMBIGUOUS' WHEN m > 0 THEN 'EXPIRED' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN live WHEN n = 0 AND m > 0 THEN old END AS registration FROM t LEFT JOIN h USING (query)""")
+def registry_lookup(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    reg = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("registration"), F.col("p_name").alias("name"), (F.col("p_size") % 4 != 0).alias("active"))
+    return registry.lookup(part.select(F.col("p_name").alias("query")), reg)
+
+
+@query(r"""SELECT event_id, CAST(list_distinct(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS INTEGER))) IS NOT NULL AS BOOLEAN) AS has, len(list_distinct(list_filter(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL)))::INTEGER AS n FROM events""")
+def event_numbers(spark, sf_dir):
+    numbers = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
+    return _t(spark, sf_dir, "events").select("event_id", numbers.isNotNull().alias("has"), F.size(numbers).alias("n"))
