@@ -41,6 +41,15 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialize, once all that was made from them is in tables of its own."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """Filter behind a barrier: Catalyst doesn't push the condition into the projection that makes its columns, where deep
     expressions would be copied into it and evaluated twice."""

@@ -37,7 +37,7 @@ from lectern.llm.common import GOLD, U64, binary_values, mix, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-BLOCK_CHARS, MOST_EDGES = 2_000_000, 10_000_000
+BLOCK_CHARS, MOST_EDGES = 2_000_000, 7_000_000
 
 
 class Vocabulary:
@@ -75,13 +75,43 @@ class Vocabulary:
                 if text[:end] not in states:
                     states[text[:end]] = len(states)
                     moves[states[text[: end - 1]] << 21 | ord(text[end - 1])] = states[text[:end]]
-        self.move_keys = np.array(sorted(moves), np.int64)
-        self.move_to = np.array([moves[m] for m in self.move_keys.tolist()], np.int64)
+        # open addressing, few probes: the table is much larger than the number of moves
+        self.slot_bits, self.probes = max(16, (8 * len(moves)).bit_length()), 0
+        size = 1 << self.slot_bits
+        self.move_keys, self.move_to = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int32)
+        keys = np.array(list(moves), np.int64)
+        for key, at in zip(keys.tolist(), self.slots(keys).tolist()):
+            probe = 1
+            while self.move_keys[at] >= 0:
+                at, probe = at + 1, probe + 1
+            self.move_keys[at], self.move_to[at] = key, moves[key]
+            self.probes = max(self.probes, probe)
         self.state_piece = np.full(len(states), -1, np.int32)
         for text, i in normal.items():
             self.state_piece[states[text]] = i
         self.byte_weight = float(self.log_weight[self.byte_ids[0]]) if self.byte_ids[0] >= 0 else -50.0
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(U64) * GOLD) >> U64(64 - self.slot_bits)).astype(np.int64)
+
+    def move(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The next state for each state and character; -1 if there is none."""
+        keys = states << 21 | chars
+        at = self.slots(keys)
+        found = self.move_keys[at]
+        out = np.where(found == keys, self.move_to[at], -1)
+        open_ = np.nonzero((found != keys) & (found >= 0))[0]
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at[open_] += 1
+            found = self.move_keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.move_to[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
     def expand(self, codes: np.ndarray) -> np.ndarray:
         """Piece ids of edge codes; negative codes are characters in bytes."""
         if not (codes < 0).any():
@@ -111,8 +141,9 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.nodes = self.edges = 0
+        self.numbers = _Numbers()
+        self.nodes = self.edges = self.built = 0
+        self.root = np.zeros(0, np.int64)
         self.start, self.p, self.to, self.code = np.zeros(1, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
@@ -125,55 +156,75 @@ class Lattices:
         held[at : at + len(values)] = values
 
     def add(self, units: list[str]) -> None:
-        v, width = self.v, self.v.longest
+        v = self.v
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         cp = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         n = len(cp)
-        first = np.cumsum(sizes) - sizes
-        unit = np.repeat(np.arange(len(units)), sizes)
-        left = sizes[unit] - (np.arange(n) - first[unit])  # characters up to the unit's end
-        weight, code = np.full((n, width), -np.inf), np.zeros((n, width), np.int32)
-        state, on = np.zeros(n, np.int64), np.arange(n)
-        for k in range(width):
-            on = on[left[on] > k]
-            key = state[on] << 21 | cp[on + k]
-            i = np.minimum(np.searchsorted(v.move_keys, key), len(v.move_keys) - 1)
-            hit = v.move_keys[i] == key
-            on = on[hit]
-            state[on] = v.move_to[i[hit]]
-            piece = v.state_piece[state[on]]
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the unit's end
+        order = np.argsort(left.astype(np.int16), kind="stable") if n and left.max() < 32_000 else np.argsort(left, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)  # nodes are numbered by their distance from the end
+        counts = np.zeros(n, np.int64)
+        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        on, state, pos = np.arange(n), np.zeros(n, np.int64), order
+        for k in range(v.longest):
+            inside = left[pos] > k
+            on, state, pos = on[inside], state[inside], pos[inside]
+            if not len(on):
+                break
+            moved = v.move(state, cp[pos + k]).astype(np.int64)
+            good = moved >= 0
+            on, state, pos = on[good], moved[good], pos[good]
+            piece = v.state_piece[state]
             whole = piece >= 0
-            weight[on[whole], k] = v.log_weight[piece[whole]]
-            code[on[whole], k] = piece[whole]
-        lone = np.nonzero(weight[:, 0] == -np.inf)[0]
-        c = cp[lone]
-        weight[lone, 0] = v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        code[lone, 0] = -c - 1
-        # log mass from each position to the unit's end, from the ends backwards; each unit has a slot for its end
-        slot = np.arange(n) + unit
-        mass = np.zeros(n + len(units) + width)
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            at = order[a:b]
-            terms = weight[at] + mass[slot[at][:, None] + 1 + np.arange(width)]
-            top = terms.max(1)
-            mass[slot[at]] = top + np.log(np.exp(terms - top[:, None]).sum(1))
-        row, col = np.nonzero(weight[:, ::-1] > -np.inf)
-        k = width - 1 - col
-        p = np.exp(weight[row, k] + mass[slot[row] + 1 + k] - mass[slot[row]])
+            levels.append((on[whole], piece[whole], v.log_weight[piece[whole]]))
+            counts[on[whole]] += 1
+            if k == 0:
+                lone = np.ones(n, bool)
+                lone[on[whole]] = False
+                lone = np.nonzero(lone)[0]
+                c = cp[order[lone]]
+                levels.append((lone, (-c - 1).astype(np.int32), v.byte_weight * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
+                counts[lone] += 1
+        starts = np.cumsum(counts) - counts
+        total = int(counts.sum())
+        code, weight, target = np.empty(total, np.int32), np.empty(total), np.empty(total, np.int64)
+        cursor = starts.copy()
+        for place, (at, piece, w) in reversed(list(enumerate(levels))):  # longest pieces first
+            k = 0 if place < 2 else place - 1
+            e = cursor[at]
+            code[e], weight[e] = piece, w
+            there = order[at] + k + 1
+            last = left[order[at]] == k + 1
+            target[e] = np.where(last, -1, rank[np.minimum(there, n - 1)])
+            cursor[at] += 1
+        mass = np.zeros(n + 1)  # log mass from each node to the end; the last one is the end itself (node -1)
+        p = np.empty(total)
+        bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2)).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if a == b:
+                continue
+            lo, hi = int(starts[a]), int(starts[b]) if b < n else total
+            first, times = starts[a:b] - lo, counts[a:b]
+            terms = weight[lo:hi] + mass[target[lo:hi]]
+            top = np.maximum.reduceat(terms, first)
+            x = np.exp(terms - np.repeat(top, times))
+            s = np.add.reduceat(x, first)
+            mass[a:b] = top + np.log(s)
+            p[lo:hi] = x / np.repeat(s, times)
         self._put("p", self.edges, p)
-        self._put("to", self.edges, np.where(left[row] == k + 1, -1, self.nodes + row + k + 1))
-        self._put("code", self.edges, code[row, k])
-        self._put("start", self.nodes + 1, self.edges + np.cumsum(np.bincount(row, minlength=n)))
-        self.roots.update(zip(units, (self.nodes + first).tolist()))
-        self.nodes, self.edges = self.nodes + n, self.edges + len(row)
+        self._put("to", self.edges, np.where(target < 0, -1, self.nodes + target))
+        self._put("code", self.edges, code)
+        self._put("start", self.nodes + 1, self.edges + starts + counts)
+        self._put("root", self.built, self.nodes + rank[ends - sizes])
+        self.nodes, self.edges, self.built = self.nodes + n, self.edges + total, self.built + len(units)
 
     def of(self, units: list[str]) -> np.ndarray:
-        roots = self.roots
-        new = list({u for u in units if u not in roots})
-        held = 0
-        batch: list[str] = []
+        """Root nodes of units."""
+        numbers = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+        new, self.numbers.new = self.numbers.new, []
+        held, batch = 0, []
         for u in new:
             batch.append(u)
             held += len(u)
@@ -182,7 +233,20 @@ class Lattices:
                 batch, held = [], 0
         if batch:
             self.add(batch)
-        return np.fromiter(map(roots.__getitem__, units), np.int64, len(units))
+        return self.root[numbers]
+
+
+class _Numbers(dict):
+    """unit -> number in the order of first sight."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        number = self[unit] = len(self)
+        return number
 
 
 def uniform(keys: np.ndarray, counters: np.ndarray) -> np.ndarray:
