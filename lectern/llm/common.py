@@ -76,6 +76,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Give memory that a worker holds from earlier tasks back to the system; workers are used again."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def _words_table() -> tuple[np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
     space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -98,7 +111,7 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if len(_POWERS[0]) <= n:
         for k, step in enumerate((_STEP, _BACK)):
-            grown = np.full(2 * n + 1, step, U64)
+            grown = np.full(n + n // 8 + 1, step, U64)
             grown[0] = 1
             _POWERS[k] = np.multiply.accumulate(grown)
     raw = np.frombuffer(data, np.uint8)
@@ -115,7 +128,7 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(upto, prepend=0)
 
 
-def sliced(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column has about `most` bytes each, so that a worker's memory doesn't follow the batch."""
     if not batch.num_rows:
         return
@@ -158,6 +171,7 @@ def map_texts(
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in (part for whole in batches for part in sliced(whole, width)):
             made = [pa.array(v, type=f.type) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v, f in zip(fn(binary_values(batch.column(width))), arrow)]
             cols = list(batch.columns[:width])
@@ -193,6 +207,7 @@ def merged_counters(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray
             elif len(k):
                 np.add.at(total, k, 1)
         yield from pack_counters(total, ["segment", "data"])
+        trim()
 
     return unpacked_counters(rows.mapInArrow(fill, "segment int, data binary"), bits, flags)
 

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, binary_values, mix, table
+from lectern.llm.common import GOLD, U64, binary_values, mix, table, trim
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-BLOCK_CHARS, MOST_EDGES = 2_000_000, 7_000_000
+BLOCK_CHARS, MOST_EDGES = 400_000, 6_000_000
 
 
 class Vocabulary:
@@ -149,7 +149,7 @@ class Lattices:
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
         if at + len(values) > len(held):
-            grown = np.zeros(max(2 * len(held), at + len(values)), held.dtype)
+            grown = np.zeros(max(len(held) + len(held) // 4, at + len(values)), held.dtype)
             grown[:at] = held[:at]
             setattr(self, name, grown)
             held = grown
@@ -423,11 +423,15 @@ def encode_samples(docs: DataFrame, model_path: str = DEFAULT_MODEL, k: int = 2,
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         lattices = _lattices(digest, sent.value)
         for b in batches:
             step = max(1, int(b.num_rows * BLOCK_CHARS / max(b.column(width + 1).nbytes, 1)))
             for at in range(0, b.num_rows, step):
                 yield part(b.slice(at, step), lattices)
+        if lattices.edges > MOST_EDGES // 3:  # a worker that goes on to other stages keeps a small table only
+            lattices.clear()
+        trim()
 
     def part(b: pa.RecordBatch, lattices: Lattices) -> pa.RecordBatch:
         raw = binary_values(b.column(width + 1))
