@@ -179,6 +179,8 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*cols, pa.StructArray.from_arrays(made, fields=list(arrow))], names=[*names, out])
             else:
                 yield pa.RecordBatch.from_arrays([*cols, *made], names=[*names, *fields.fieldNames()])
+        batch = made = cols = None
+        trim()
 
     source = df.select(*[df[c] for c in names], df[text_col].cast("string").alias("__text"))
     return source.mapInArrow(run, schema)
