@@ -144,6 +144,20 @@ def sliced(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
         at = to
 
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session has a setting of its own.
+BATCH_BYTES = "4m"
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow over batches of bounded bytes. Spark's own bound is 64 MB, which a task holds several times over: in the JVM's
+    direct memory, which grows by doubling, and in the worker."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in (None, "67108864b", "67108864", "64m", "64MB"):
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(fn, schema)
+
+
 def binary_values(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a text column; other types are read as their text."""
     if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type)):
@@ -169,11 +183,13 @@ def map_texts(
     schema = T.StructType([df.schema[c] for c in names] + ([T.StructField(out, fields)] if out else fields.fields))
     arrow = to_arrow(fields)
     width = len(names)
+    # a kept text goes to Python once
+    at = names.index(text_col) if text_col in names and isinstance(df.schema[text_col].dataType, T.StringType) else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        for batch in (part for whole in batches for part in sliced(whole, width)):
-            made = [pa.array(v, type=f.type) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v, f in zip(fn(binary_values(batch.column(width))), arrow)]
+        for batch in (part for whole in batches for part in sliced(whole, at)):
+            made = [pa.array(v, type=f.type) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v, f in zip(fn(binary_values(batch.column(at))), arrow)]
             cols = list(batch.columns[:width])
             if out:
                 yield pa.RecordBatch.from_arrays([*cols, pa.StructArray.from_arrays(made, fields=list(arrow))], names=[*names, out])
@@ -182,8 +198,8 @@ def map_texts(
         batch = made = cols = None
         trim()
 
-    source = df.select(*[df[c] for c in names], df[text_col].cast("string").alias("__text"))
-    return source.mapInArrow(run, schema)
+    source = df.select(*[df[c] for c in names], *([df[text_col].cast("string").alias("__text")] if at == width else []))
+    return arrow_map(source, run, schema)
 
 
 def to_arrow(fields: T.StructType) -> pa.Schema:
@@ -211,7 +227,7 @@ def merged_counters(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray
         yield from pack_counters(total, ["segment", "data"])
         trim()
 
-    return unpacked_counters(rows.mapInArrow(fill, "segment int, data binary"), bits, flags)
+    return unpacked_counters(arrow_map(rows, fill, "segment int, data binary"), bits, flags)
 
 
 SEGMENT_BITS = 16

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, binary_values, mix, table, trim
+from lectern.llm.common import GOLD, U64, arrow_map, binary_values, mix, table, trim
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
@@ -456,7 +456,7 @@ def encode_samples(docs: DataFrame, model_path: str = DEFAULT_MODEL, k: int = 2,
         return pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *made], names=[*names, *new.fieldNames()])
 
     source = docs.select(*[docs[c] for c in names], F.col(id_col).cast("string").alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def _arrow(fields: T.StructType) -> pa.Schema:
@@ -478,7 +478,7 @@ def decode_pieces(rows: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str
             texts = [v.decode(x).decode("utf-8", "replace") if x is not None else None for x in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return rows.select(*names, ids_col).mapInArrow(run, T.StructType([rows.schema[c] for c in names]).add("decoded", "string"))
+    return arrow_map(rows.select(*names, ids_col), run, T.StructType([rows.schema[c] for c in names]).add("decoded", "string"))
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, binary_values, crc_mod, materialize, merged_counters, mix, sliced, table, word_hashes
+from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, materialize, merged_counters, mix, sliced, table, word_hashes
 
 DEPTH, P_MIN, MIN_GAIN, HEAD_MIN, COUNTER_BITS = 3, 4e-6, 10.0, 1e-6, 22
 BLOCK_TOKENS = 1_000_000
@@ -92,7 +92,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for at in range(0, len(u), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 500_000].view(np.int64)), pa.array(c[at : at + 500_000])], names=["h", "c"])
 
-    return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return arrow_map(texts, count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Lookup:
@@ -160,7 +160,7 @@ def grow(texts: DataFrame, words: DataFrame, depth: int = DEPTH, p_min: float =
                 for at in range(0, len(u), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in cols], names=["n", "key", "ctx", "suf", "last", "c"])
 
-    counted = texts.mapInArrow(count, "n int, key long, ctx long, suf long, last long, c long").groupBy("n", "key", "ctx", "suf", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counted = arrow_map(texts, count, "n int, key long, ctx long, suf long, last long, c long").groupBy("n", "key", "ctx", "suf", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     rows = counted.toPandas()  # at most depth / p_min rows
     n, c = rows["n"].to_numpy(), rows["c"].to_numpy(np.float64)
     key, ctx, suf, last = (rows[x].to_numpy(np.int64).view(U64) for x in ("key", "ctx", "suf", "last"))
@@ -242,7 +242,7 @@ def score(docs: DataFrame, words: DataFrame, tree: Tree, id_cols: list[str], tex
         return pa.RecordBatch.from_arrays([*part.columns[:width], *made, *lists], names=fields.fieldNames())
 
     source = docs.select(*id_cols, F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("__text"))
-    scored = materialize(source.mapInArrow(run, fields))
+    scored = materialize(arrow_map(source, run, fields))
     rare = scored.select("row", F.explode(F.arrays_zip("h", "tf")).alias("e")).select("row", "e.h", "e.tf")
     tail = words.where(F.col("c") < head_min * tree.total)
     c, tf = F.col("c"), F.col("tf")
