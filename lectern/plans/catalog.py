@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import geometry, noise, registry, retrieve, structure
+from lectern.operators import geometry, noise, registry, retrieve, structure, tables
 from lectern.sources import html
 
 QUERIES: dict = {}
@@ -228,3 +228,54 @@ def registry_lookup(spark, sf_dir):
 def event_numbers(spark, sf_dir):
     numbers = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
     return _t(spark, sf_dir, "events").select("event_id", numbers.isNotNull().alias("has"), F.size(numbers).alias("n"))
+
+
+_GRIDS = """g AS (SELECT o_custkey AS id, list_concat(CASE WHEN o_custkey % 2 = 0 THEN [['Order', 'Priority', 'Status']] ELSE [] END,
+ list([CAST(o_orderkey AS VARCHAR), o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END] ORDER BY o_orderkey, o_orderpriority, o_orderstatus)) AS rows FROM orders GROUP BY o_custkey)"""
+
+
+def _grids(spark, sf_dir):
+    """A table of each customer's orders; every second one has a header."""
+    cells = F.array(F.col("o_orderkey").cast("string"), "o_orderpriority", F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.col("o_orderstatus")))
+    orders = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus", cells.alias("cells")))).alias("rows"))
+    head = F.when(F.col("id") % 2 == 0, F.array(F.array(F.lit("Order"), F.lit("Priority"), F.lit("Status")))).otherwise(F.array().cast("array<array<string>>"))
+    return orders.select("id", F.concat(head, F.transform("rows", lambda r: r["cells"])).alias("rows"))
+
+
+@query(rf"""WITH {_GRIDS} SELECT id, len(rows)::INTEGER AS n_rows, len(rows[1])::INTEGER AS n_cols, len(list_filter(flatten(rows), lambda c: c <> ''))::INTEGER AS filled,
+ len(list_filter(rows, lambda r: len(list_filter(r, lambda c: c <> '')) >= 2))::INTEGER AS multi, len(list_filter(rows, lambda r: regexp_matches(array_to_string(r[2:], ' '), '\d')))::INTEGER AS numeric FROM g""")
+def table_metrics(spark, sf_dir):
+    found = tables.table_quality(_grids(spark, sf_dir))
+    return found.select("id", *[F.col("quality")[c].alias(c) for c in ("n_rows", "n_cols", "filled", "multi", "numeric")])
+
+
+@query()
+def table_quality(spark, sf_dir):
+    found = tables.table_quality(_grids(spark, sf_dir))
+    return found.select("id", *[F.col("quality")[c].alias(c) for c in ("score", "reason", "kept")])
+
+
+def _fits(k: int) -> str:
+    head, data = f"flatten(rows[1:{k}])", f"flatten(rows[{k + 1}:])"
+    share = lambda cells, of: f"len(list_filter({cells}, lambda c: regexp_matches(c, '{of}'))) / greatest(len({cells}), 1)"
+    mean = lambda cells: f"coalesce(list_sum(list_transform({cells}, lambda c: length(c))), 0) / greatest(len({cells}), 1)"
+    letter = r"\p{L}"
+    digit = r"\d"
+    return f"WHEN len(rows) >= {k + 2} AND len(list_filter({head}, lambda c: regexp_matches(c, '{letter}'))) >= 2 AND {share(head, letter)} >= 0.5 AND ({share(data, digit)} >= 0.2 OR abs({mean(head)} - {mean(data)}) >= 2.0) THEN {k}"
+
+
+@query(f"WITH {_GRIDS} SELECT id, CASE {_fits(3)} {_fits(2)} {_fits(1)} ELSE 0 END::INTEGER AS n FROM g")
+def table_header_rows(spark, sf_dir):
+    return _grids(spark, sf_dir).select("id", tables.header_rows(F.col("rows")).alias("n"))
+
+
+@query(rf"""WITH {LINES}, c AS (SELECT *, regexp_replace(translate(lower(raw), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key FROM l),
+r AS (SELECT doc, page, string_split(raw, ', ') AS cells FROM l WHERE ix % 3 = 0), x AS (SELECT doc, page, unnest(cells) AS cell, array_to_string(cells, '') AS whole FROM r),
+y AS (SELECT doc, page, regexp_replace(translate(lower(whole), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS key, 1 AS row FROM x UNION ALL SELECT doc, page, regexp_replace(translate(lower(cell), 'ё', 'е'), '[^\p{{L}}\p{{N}}]+', '', 'g'), 0 FROM x),
+z AS (SELECT DISTINCT doc, page, key FROM y WHERE key <> '' AND (row = 1 OR (length(key) >= 6 AND regexp_matches(key, '\p{{L}}'))))
+SELECT c.doc, c.page, count(*) AS n_lines, coalesce(sum(length(raw)), 0)::BIGINT AS n_chars FROM c LEFT JOIN z ON c.doc = z.doc AND c.page = z.page AND c.key = z.key WHERE z.key IS NULL GROUP BY c.doc, c.page""")
+def text_outside_tables(spark, sf_dir):
+    split = _pages(spark, sf_dir).select("doc", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("ix", "line"))
+    rows = split.where("ix % 3 = 0").select("doc", "page", F.array(F.split("line", ", ")).alias("rows"))
+    found = tables.lines_outside_tables(split.select("doc", "page", "line"), rows)
+    return found.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
