@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import geometry, noise, registry, retrieve, structure, tables
+from lectern.operators import cells, geometry, headings, noise, overlap, plan, recover, registry, retrieve, structure, tables
+from lectern.operators import table_parts as parts
+from lectern.sinks import docx
+from lectern.sources import completions as completion_source
 from lectern.sources import html
+from lectern.sources import registry as registry_source
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -279,3 +283,153 @@ def text_outside_tables(spark, sf_dir):
     rows = split.where("ix % 3 = 0").select("doc", "page", F.array(F.split("line", ", ")).alias("rows"))
     found = tables.lines_outside_tables(split.select("doc", "page", "line"), rows)
     return found.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+
+
+_MARKED = """m AS (SELECT o_custkey % 40 AS doc, (o_orderkey // 7 % 60)::INTEGER AS page, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['I', 'III', 'IV', 'VI', 'IX', 'XII'][o_orderkey // 2 % 6 + 1] ELSE ['A', 'C', 'D', 'А'][o_orderkey // 2 % 4 + 1] END AS marker, o_orderkey % 2 = 0 AS roman FROM orders WHERE o_orderkey % 3 = 0)"""
+
+
+def _marked(spark, sf_dir):
+    key = F.col("o_orderkey")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    half, roman = F.floor(key / 2), key % 2 == 0
+    marker = F.when(roman, pick(["I", "III", "IV", "VI", "IX", "XII"], half % 6)).otherwise(pick(["A", "C", "D", "А"], half % 4))
+    return _t(spark, sf_dir, "orders").where(key % 3 == 0).select((F.col("o_custkey") % 40).alias("doc"), (F.floor(key / 7) % 60).cast("int").alias("page"), "o_orderkey", marker.alias("marker"), roman.alias("roman"))
+
+
+@query(f"""WITH {_MARKED}, n AS (SELECT *, CASE marker WHEN 'I' THEN 1 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'VI' THEN 6 WHEN 'IX' THEN 9 ELSE 12 END AS v FROM m WHERE roman)
+SELECT doc, page, o_orderkey, marker FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE a.doc = b.doc AND abs(a.page - b.page) <= 2 AND abs(a.v - b.v) = 1)""")
+def roman_sequences(spark, sf_dir):
+    return headings.roman_sequences(_marked(spark, sf_dir).where("roman").drop("roman"))
+
+
+@query(f"""WITH {_MARKED}, n AS (SELECT * FROM m WHERE NOT roman)
+SELECT doc, page, o_orderkey, marker FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE a.doc = b.doc AND abs(a.page - b.page) <= 2 AND a.marker <> b.marker AND (a.marker IN ('A', 'А') OR b.marker IN ('A', 'А')))""")
+def letter_sequences(spark, sf_dir):
+    return headings.letter_sequences(_marked(spark, sf_dir).where("not roman").drop("roman"))
+
+
+_CATALOG = """l AS (SELECT p_brand AS doc, p_size::INTEGER AS page, (p_partkey % 5)::INTEGER AS ix, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'see ' || p_name WHEN p_partkey % 3 = 1 THEN p_name ELSE p_name || ' ' || p_name END AS text FROM part),
+c AS (SELECT p_brand AS doc, lower(p_name) AS title, (p_size + p_partkey % 3)::INTEGER AS page FROM part)"""
+
+
+def _catalog(spark, sf_dir):
+    part, k, name = _t(spark, sf_dir, "part"), F.col("p_partkey") % 3, F.col("p_name")
+    text = F.when(k == 0, F.concat(F.lit("see "), name)).when(k == 1, name).otherwise(F.concat(name, F.lit(" "), name))
+    lines = part.select(F.col("p_brand").alias("doc"), F.col("p_size").cast("int").alias("page"), (F.col("p_partkey") % 5).cast("int").alias("ix"), "p_partkey", text.alias("text"))
+    return lines, part.select(F.col("p_brand").alias("doc"), F.lower("p_name").alias("title"), (F.col("p_size") + k).cast("int").alias("page"))
+
+
+@query(rf"""WITH {_CATALOG}, k AS (SELECT *, lower(text) AS key FROM l), s AS (SELECT *, unnest(range(1, length(key) + 1)) AS pos FROM k),
+two AS (SELECT DISTINCT s.p_partkey FROM s JOIN c a ON a.doc = s.doc AND a.title = substr(key, 1, pos - 1) AND abs(a.page - s.page) <= 1 JOIN c b ON b.doc = s.doc AND b.title = substr(key, pos + 1) AND abs(b.page - s.page) <= 1 WHERE substr(key, pos, 1) = ' '),
+hit AS (SELECT DISTINCT k.p_partkey FROM k JOIN c ON k.doc = c.doc AND abs(k.page - c.page) <= 1 AND (key = title OR (ix <= 2 AND length(title) >= 5 AND (starts_with(key, title || ' ') OR ends_with(key, title)))))
+SELECT doc, page, ix, p_partkey, p_partkey IN (SELECT p_partkey FROM hit) AND p_partkey NOT IN (SELECT p_partkey FROM two) AS catalog_match FROM l""")
+def catalog_headings(spark, sf_dir):
+    return headings.catalog_matches(*_catalog(spark, sf_dir)).drop("text")
+
+
+@query(rf"""WITH {_CATALOG}, a AS (SELECT doc, page, p_partkey AS ord, text, ix < 2 AS hit FROM l WHERE p_partkey % 11 = 0), t AS (SELECT p_brand AS doc, (p_size + p_partkey % 7)::INTEGER AS page, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title FROM part WHERE p_partkey % 4 = 0),
+v AS (SELECT doc FROM a GROUP BY doc HAVING count(CASE WHEN hit THEN 1 END) >= 2), u AS (SELECT doc, page, min(title) AS title FROM t GROUP BY doc, page HAVING count(*) = 1), f AS (SELECT doc, page, min(p_partkey) AS ord FROM l GROUP BY doc, page)
+SELECT doc, page, ord, text, false AS inferred FROM a UNION ALL SELECT u.doc, u.page, f.ord, title, true FROM u JOIN v USING (doc) JOIN f ON f.doc = u.doc AND f.page = u.page WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = u.doc AND a.page = u.page) AND f.ord % 5 <> 0
+ AND NOT regexp_matches(title, '\d{{2,4}}\p{{L}}') AND NOT regexp_matches(title, '\p{{Ll}}[\s\p{{Z}}]+\p{{Lu}}\p{{Ll}}{{2,}}') AND regexp_matches(title, '^\p{{L}}') AND regexp_matches(title, '\p{{Ll}}') AND length(title) <= 100 AND NOT regexp_matches(title, '[.!?,;:]$') AND len(regexp_extract_all(title, '[\p{{L}}\p{{N}}]+')) <= 12""")
+def inferred_headings(spark, sf_dir):
+    lines = _catalog(spark, sf_dir)[0].withColumnRenamed("p_partkey", "ord")
+    accepted = lines.where("ord % 11 = 0").select("doc", "page", "ord", "text", (F.col("ix") < 2).alias("catalog_match"))
+    name = F.col("p_name")
+    titles = _t(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_brand").alias("doc"), (F.col("p_size") + F.col("p_partkey") % 7).cast("int").alias("page"), F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2))).alias("title"))
+    return headings.with_inferred(lines, accepted, titles, lines.where("ord % 5 = 0").select("doc", "ord"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_brand, p_size, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS whole, regexp_replace(lower(substr(p_name, 1, 5 + p_partkey % 9)), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM part)
+SELECT p_partkey FROM k a WHERE EXISTS (SELECT 1 FROM k b WHERE b.p_brand = a.p_brand AND b.p_size % 10 = a.p_size % 10 AND b.p_partkey % 2 = 0 AND length(b.whole) > length(a.key) AND starts_with(b.whole, a.key))""")
+def cell_prefixes(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    at = [F.col("p_brand").alias("doc"), (F.col("p_size") % 10).alias("page")]
+    lines = part.select(*at, "p_partkey", F.substr(F.col("p_name"), F.lit(1), (5 + F.col("p_partkey") % 9).cast("int")).alias("text"))
+    return headings.cell_prefixes(lines, part.where("p_partkey % 2 = 0").select(*at, F.array(F.array("p_name")).alias("rows"))).select("p_partkey")
+
+
+@query("""WITH t AS (SELECT l_orderkey, (l_linenumber % 3)::DOUBLE AS top, l_partkey::DOUBLE AS lft, CAST(l_quantity::BIGINT AS VARCHAR) AS cell FROM lineitem WHERE l_orderkey % 4 <> 0)
+SELECT o_orderkey, count(cell)::INTEGER AS n_tables, coalesce(string_agg(cell, ',' ORDER BY top, lft, cell), '') AS cells FROM orders LEFT JOIN t ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def pages_with_tables(spark, sf_dir):
+    at = [F.lit("d").alias("doc"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 3).cast("double").alias("top"), F.col("l_partkey").cast("double").alias("left")]
+    boxes = _t(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").select(*at, F.array(F.array(F.col("l_quantity").cast("long").cast("string"))).alias("rows"))
+    pages = _t(spark, sf_dir, "orders").select(F.lit("d").alias("doc"), F.col("o_orderkey").alias("page")).distinct()
+    found = overlap.pages_with_tables(pages, boxes)
+    return found.select(F.col("page").alias("o_orderkey"), F.size("tables").alias("n_tables"), F.array_join(F.transform("tables", lambda t: t["rows"][0][0]), ",").alias("cells"))
+
+
+@query()
+def text_beside_tables(spark, sf_dir):
+    split = _pages(spark, sf_dir).select("doc", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("ix", "line"))
+    rows = split.where("ix % 3 = 0").select("doc", "page", F.array(F.split("line", ", ")).alias("rows"))
+    return overlap.lines_beside_tables(split, rows).groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '\s+', ' ', 'g'), 'of\s+the', ' ', 'gi'), 'and', ' ', 'gi'), '\s+', ' ', 'g')) AS cleaned FROM documents""")
+def inline_noise(spark, sf_dir):
+    noise_list = F.array(F.lit("and"), F.lit("of the"), F.lit(""))
+    return _t(spark, sf_dir, "documents").select("doc_id", cells.remove_inline_noise(F.col("text"), noise_list).alias("cleaned"))
+
+
+@query()
+def clean_cells(spark, sf_dir):
+    profile = [F.array(F.lit("steel"), F.lit("draft copy")), F.array(F.lit("example.org"))]
+    return _t(spark, sf_dir, "part").select("p_partkey", cells.clean_cell(F.concat_ws(" ", "p_name", "p_type", "p_brand"), *profile).alias("cell"))
+
+
+@query()
+def recovered_tables(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    box = lambda text, k: F.struct(text.alias("text"), F.lit(50.0 + 150 * k).alias("left"), F.lit(180.0 + 150 * k).alias("right"))
+    head = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("Table "), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderpriority"))
+    at = F.row_number().over(w)
+    rows = _t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc"), F.lit(1).alias("page"), at.alias("ix"), (at * 12.0).alias("top"), (at * 12.0 + 10).alias("bottom"), F.lit(600.0).alias("page_right"),
+        F.array(box(F.regexp_replace(head, "^1-", "1. "), 0), box(F.col("o_orderstatus"), 1), box(F.col("o_orderdate").cast("string"), 2)).alias("cells"),
+    )
+    return recover.recover_tables(rows).select("doc", "island", "top", "bottom", F.size("rows").alias("n_rows"))
+
+
+@query()
+def table_parts(spark, sf_dir):
+    grids = _grids(spark, sf_dir).select(F.lit("d").alias("doc"), F.col("id").alias("table"), "rows", F.transform("rows", lambda r, k: k + 1).alias("pages"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("n_header"))
+    return parts.table_parts(grids, max_tokens=60)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Работы технического обслуживания' ELSE o_orderpriority END AS name, CAST(o_custkey AS VARCHAR) AS number, [o_orderstatus] AS description, CASE WHEN o_orderkey % 3 <> 0 THEN 'R' || o_custkey END AS registration, o_orderkey % 5 <> 0 AS valid FROM orders""")
+def plan_rows(spark, sf_dir):
+    key = F.col("o_orderkey")
+    row = F.struct(
+        F.col("o_custkey").alias("number"), F.lit("D").alias("deviceName"), F.when(key % 5 == 0, " ").otherwise("T").alias("maintenanceType"), F.col("o_orderstatus").alias("maintenanceWorkDescription"),
+        F.when(key % 3 == 0, "Null").otherwise(F.concat(F.lit("R"), F.col("o_custkey").cast("string"))).alias("registrationNumber"), F.lit("daily").alias("frequency"),
+    )
+    none = F.array().cast("array<string>").alias("consumables")
+    flat = F.to_json(F.struct(F.array(row).alias("sections"), none))
+    nested = F.to_json(F.struct(F.array(F.struct(F.col("o_orderpriority").alias("name"), F.array(row).alias("rows"))).alias("sections"), none))
+    plans = _t(spark, sf_dir, "orders").select(key.alias("plan"), F.when(key % 2 == 0, flat).otherwise(nested).alias("json"))
+    return plan.plan_rows(plans).select(F.col("plan").alias("o_orderkey"), "name", "number", "description", F.col("registrationNumber").alias("registration"), "valid")
+
+
+@query("""SELECT p_partkey AS id, 'N' || p_partkey AS registration, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS producer, p_size % 4 <> 0 AS active FROM part WHERE p_partkey % 7 <> 0""")
+def registry_records(spark, sf_dir):
+    key = F.col("p_partkey")
+    record = F.struct(
+        key.alias("id"), F.when(key % 7 != 0, F.concat(F.lit("N"), key.cast("string"))).otherwise(" ").alias("noRu"), F.col("p_name").alias("name"),
+        F.struct(F.when(key % 2 == 0, F.col("p_brand")).alias("name")).alias("producer"), F.struct(F.when(F.col("p_size") % 4 != 0, "Active").otherwise("old").alias("code")).alias("status"),
+    )
+    answers = _t(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(record).alias("content"))).alias("json"))
+    return registry_source.read_records(answers).drop("expires")
+
+
+@query("""SELECT conv_id, turn, '{"sections": [], "consumables": []}' AS content FROM conversations""")
+def completions(spark, sf_dir):
+    prompts = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("prompt"))
+    return completion_source.complete(prompts.select(F.to_json("id").alias("id"), "prompt")).select(F.get_json_object("id", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("id", "$.turn").cast(prompts.schema["id"].dataType["turn"].dataType).alias("turn"), "content")
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 <> 0 AS made FROM orders""")
+def rendered_plans(spark, sf_dir):
+    key = F.col("o_orderkey")
+    row = F.struct(F.col("o_custkey").alias("number"), F.when(key % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("deviceName"), F.array("o_orderstatus").alias("maintenanceWorkDescription"))
+    plans = _t(spark, sf_dir, "orders").select(key.alias("plan"), F.to_json(F.struct(F.array(F.struct(F.array(row).alias("rows"))).alias("sections"))).alias("json"))
+    return docx.render_plans(plans).select(F.col("plan").alias("o_orderkey"), F.coalesce(F.col("error").isNull() & (F.length("docx") > 0), F.lit(False)).alias("made"))
