@@ -285,18 +285,18 @@ def text_outside_tables(spark, sf_dir):
     return found.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-_MARKED = """m AS (SELECT o_custkey % 40 AS doc, (o_orderkey // 7 % 60)::INTEGER AS page, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['I', 'III', 'IV', 'VI', 'IX', 'XII'][o_orderkey // 2 % 6 + 1] ELSE ['A', 'C', 'D', 'А'][o_orderkey // 2 % 4 + 1] END AS marker, o_orderkey % 2 = 0 AS roman FROM orders WHERE o_orderkey % 3 = 0)"""
+_MARKED = """m AS (SELECT o_custkey % 40 AS doc, (o_orderkey // 7 % 60)::INTEGER AS page, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['I', 'III', 'IV', 'VI', 'IX', 'V'][o_orderkey // 6 % 6 + 1] ELSE ['A', 'C', 'D', 'А'][o_orderkey // 2 % 4 + 1] END AS marker, o_orderkey % 2 = 0 AS roman FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
 def _marked(spark, sf_dir):
     key = F.col("o_orderkey")
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     half, roman = F.floor(key / 2), key % 2 == 0
-    marker = F.when(roman, pick(["I", "III", "IV", "VI", "IX", "XII"], half % 6)).otherwise(pick(["A", "C", "D", "А"], half % 4))
+    marker = F.when(roman, pick(["I", "III", "IV", "VI", "IX", "V"], F.floor(key / 6) % 6)).otherwise(pick(["A", "C", "D", "А"], half % 4))
     return _t(spark, sf_dir, "orders").where(key % 3 == 0).select((F.col("o_custkey") % 40).alias("doc"), (F.floor(key / 7) % 60).cast("int").alias("page"), "o_orderkey", marker.alias("marker"), roman.alias("roman"))
 
 
-@query(f"""WITH {_MARKED}, n AS (SELECT *, CASE marker WHEN 'I' THEN 1 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'VI' THEN 6 WHEN 'IX' THEN 9 ELSE 12 END AS v FROM m WHERE roman)
+@query(f"""WITH {_MARKED}, n AS (SELECT *, CASE marker WHEN 'I' THEN 1 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'VI' THEN 6 WHEN 'IX' THEN 9 ELSE 5 END AS v FROM m WHERE roman)
 SELECT doc, page, o_orderkey, marker FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE a.doc = b.doc AND abs(a.page - b.page) <= 2 AND abs(a.v - b.v) = 1)""")
 def roman_sequences(spark, sf_dir):
     return headings.roman_sequences(_marked(spark, sf_dir).where("roman").drop("roman"))
