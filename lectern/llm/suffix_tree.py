@@ -1,19 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over tokens.
 
 Symbols are the lower-cased words of a text, then one end; all words that training never met are one symbol, unknown.
-States are contexts of up to DEPTH tokens of the text. A context's successors are kept if context and successor
-together make up at least P_MIN of all training tokens; a context is retained if its count times the Kullback-Leibler
-divergence of its next-symbol distribution (its kept successors, and all others as one) from that of the context
-without its first token reaches MIN_GAIN nats. P_MIN bounds the tree to 1 / P_MIN successors for each length,
-whatever the input's size, so that it can be broadcast.
+States are contexts of up to DEPTH tokens of the text. A context's successors are kept if they follow it at least LEAST
+times; a context is retained if its count times the Kullback-Leibler divergence of its next-symbol distribution (its
+kept successors, and all others as one) from that of the context without its first token reaches MIN_GAIN nats. Both
+bounds are absolute: the tree grows with the input, and a passage is treated alike in a small and in a large table.
 
 Smoothing: a count loses DISCOUNT, what is freed goes to the shorter retained suffix, at the root to the unknown symbol.
 Every token is predicted from the longest retained suffix of what stands before it, and every distribution adds up to 1.
 
-All training texts are counted: words are added up by a shuffle on their hash. For longer sequences, counters of a fixed
-size (2**COUNTER_BITS, never less than a true count) first tell which can't be frequent; the others are counted exactly.
-Words of at least HEAD_MIN of all tokens (at most 1 / HEAD_MIN) are broadcast for scoring; the counts of all other words
-are joined on the hash, once per text and word.
+All training texts are counted, by shuffles on the hash of words and sequences; sequences first by their hash alone, then
+those that a filter of a fixed size (2**FILTER_BITS, it never turns a frequent one away) lets through with their context
+and suffix. The tree is a table of nodes by the hash of the sequence: its weight after its context (for a word, its count)
+and what it leaves to its suffix as a context. Nodes are joined to the different sequences of each block of texts, and
+the found ones grouped with the texts of their block. Where a filter is full it lets all through: slower, the same result.
+Counts of words of at least HEAD_MIN of all tokens (at most 1 / HEAD_MIN) are broadcast too.
 
 Defined cases: null text is empty: one token, the end. No training rows: N = V = 0 and every score is 0. Repeated
 rows are rows of their own; a null doc_id counts as empty text in the split. Other columns are not read.
@@ -26,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, materialize, merged_counters, mix, sliced, table, word_hashes
+from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, discard, materialize, merged_counters, mix, sliced, table, word_hashes
 
-DEPTH, P_MIN, MIN_GAIN, HEAD_MIN, COUNTER_BITS = 3, 4e-6, 10.0, 1e-6, 22
-BLOCK_TOKENS = 1_000_000
+DEPTH, LEAST, MIN_GAIN, HEAD_MIN, FILTER_BITS = 3, 2, 10.0, 1e-6, 26
+BLOCK_TOKENS, BLOCK_BYTES = 1_000_000, 1 << 21
 END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
 
 
@@ -123,8 +125,7 @@ class Tree:
     different: int
     discount: float
     heads: tuple[np.ndarray, np.ndarray]  # hash, count
-    weights: tuple[np.ndarray, np.ndarray]  # key of context and successor, weight
-    rests: tuple[np.ndarray, np.ndarray]  # key of context, what is left to its suffix
+    nodes: DataFrame  # k: key of a sequence, w: its weight after its context (of a word, its count), rest: what it leaves to its suffix
 
     @property
     def unknown(self) -> float:
@@ -134,129 +135,154 @@ class Tree:
         return (counts - self.discount) / self.total
 
 
-def grow(texts: DataFrame, words: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, min_gain: float = MIN_GAIN, head_min: float = HEAD_MIN) -> Tree:
-    """The tree of a text column, given its word counts."""
+def longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(U64)
+
+
+def key_filter(rows: DataFrame) -> np.ndarray:
+    """Packed bits, by the first bits of the keys in a column."""
+    return np.packbits(merged_counters(rows, lambda batch: longs(batch.column(0)), FILTER_BITS, flags=True))
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> U64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """(h, c) -> (k, c): keys of words as sequences of one token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(longs(b.column(0)) + U64(1)).view(np.int64)), b.column(1)], names=["k", "c"])
+
+    return arrow_map(words.select("h", "c"), run, "k long, c long")
+
+
+def count_sequences(texts: DataFrame, depth: int, least: int) -> DataFrame:
+    """One text column -> (key, ctx, suf, c) of all sequences of 2 .. depth + 1 tokens that occur at least `least` times."""
     spark = texts.sparkSession
-    total, different, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    head = words.where(F.col("c") >= head_min * total).toPandas()  # at most 1 / head_min rows
-    hh, hc = head["h"].to_numpy(np.int64).view(U64), head["c"].to_numpy(np.float64)
-    least = max(2.0, p_min * total)
 
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        tokens, _ = token_stream(binary_values(batch.column(0)))
-        return np.concatenate([np.zeros(0, U64), *(k for _, _, k, _, _ in sequences(tokens, depth))])
+    def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens in blocks(batches):
+            for _, _, key, _, _ in sequences(tokens, depth):
+                u, c = np.unique(key, return_counts=True)
+                for at in range(0, len(u), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 200_000].view(np.int64)), pa.array(c[at : at + 200_000].astype(np.int32))], names=["key", "c"])
 
-    upper = spark.sparkContext.broadcast(merged_counters(texts, keys, COUNTER_BITS))
+    frequent = materialize(arrow_map(texts, count_keys, "key long, c int").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key"))
+    sent = spark.sparkContext.broadcast(key_filter(frequent))
+    discard(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in blocks(batches):
-            for n, p, key, ctx, suf in sequences(tokens, depth):
-                may = np.nonzero(upper.value[(key >> U64(64 - COUNTER_BITS)).astype(np.int64)] >= least)[0]
+            for _, _, key, ctx, suf in sequences(tokens, depth):
+                may = np.nonzero(passes(sent.value, key))[0]
                 u, first, c = np.unique(key[may], return_index=True, return_counts=True)
                 first = may[first]
-                last = tokens[p[first]]
-                cols = [np.full(len(u), n, np.int32), *(x.view(np.int64) for x in (u, ctx[first], suf[first], last)), c]
+                cols = [*(x.view(np.int64) for x in (u, ctx[first], suf[first])), c]
                 for at in range(0, len(u), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in cols], names=["n", "key", "ctx", "suf", "last", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in cols], names=["key", "ctx", "suf", "c"])
 
-    counted = arrow_map(texts, count, "n int, key long, ctx long, suf long, last long, c long").groupBy("n", "key", "ctx", "suf", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    rows = counted.toPandas()  # at most depth / p_min rows
-    n, c = rows["n"].to_numpy(), rows["c"].to_numpy(np.float64)
-    key, ctx, suf, last = (rows[x].to_numpy(np.int64).view(U64) for x in ("key", "ctx", "suf", "last"))
+    counted = arrow_map(texts, count, "key long, ctx long, suf long, c long").groupBy("key", "ctx", "suf").agg(F.sum("c").alias("c"))
+    return materialize(counted.where(F.col("c") >= least))
+
+
+def grow(texts: DataFrame, words: DataFrame, depth: int = DEPTH, least: int = LEAST, min_gain: float = MIN_GAIN, head_min: float = HEAD_MIN) -> Tree:
+    """The tree of a text column, given its word counts."""
+    total, different, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    head = words.where(F.col("c") >= head_min * total).toPandas()  # at most 1 / head_min rows
+    heads = head["h"].to_numpy(np.int64).view(U64), head["c"].to_numpy(np.float64)
+    counted = count_sequences(texts, depth, least)
+    known = materialize(word_keys(words))
     # counts of contexts: sequences that are one shorter, at length 1 words
-    known = Lookup(np.concatenate([mix(hh + U64(1)), key]), np.concatenate([hc, c]))
-    size = np.zeros(len(c))
-    at, v = known.find(ctx)
-    size[at] = v
+    contexts = known.where(F.col("c") >= least).select(F.col("k").alias("ctx"), F.col("c").alias("size")).unionByName(counted.select(F.col("key").alias("ctx"), F.col("c").alias("size")))
+    sized = materialize(counted.join(contexts, "ctx"))
     # the same successor after the context without its first token
-    parent = np.zeros(len(c))
-    at, v = known.find(suf)
-    parent[at] = v
-    one = n == 2
-    q = np.zeros(len(c))
-    q[one] = parent[one] / max(total, 1)
-    longer = np.nonzero(~one)[0]
-    if len(longer):
-        sizes_of = Lookup(key, size)
-        at, v = sizes_of.find(suf[longer])
-        q[longer[at]] = parent[longer[at]] / v
-    good = (size > 0) & (q > 0)
-    key, ctx, c, size, q = key[good], ctx[good], c[good], size[good], q[good]
-    contexts, back = np.unique(ctx, return_inverse=True)
-    add = lambda x: np.bincount(back, weights=x, minlength=len(contexts))
-    sizes = np.maximum.reduceat(size[np.argsort(back, kind="stable")], np.searchsorted(np.sort(back), np.arange(len(contexts)))) if len(contexts) else np.zeros(0)
-    left, left_q = sizes - add(c), np.clip(1 - add(q), 1e-12, 1)
-    gain = add(c * np.log(c / size / q)) + np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / np.maximum(sizes, 1) / left_q), 0)
-    kept = gain >= min_gain
-    weight = (c - 0.5) / size
-    rest = np.clip(1 - add(weight), 1e-9, 1)
-    return Tree(depth, int(total), int(different), discount, (hh, hc), (key[kept[back]], weight[kept[back]]), (contexts[kept], rest[kept]))
+    parents = known.where(F.col("c") >= least).select(F.col("k").alias("suf"), F.col("c").alias("pc"), F.lit(total).alias("ps")).unionByName(sized.select(F.col("key").alias("suf"), F.col("c").alias("pc"), F.col("size").alias("ps")))
+    c, size, q = (F.col(x).cast("double") for x in ("c", "size", "q"))
+    after = materialize(sized.join(parents, "suf").select("key", "ctx", "c", "size", (F.col("pc") / F.col("ps")).alias("q")))
+    found = after.groupBy("ctx").agg(F.max(size).alias("size"), F.sum(c).alias("c"), F.sum(q).alias("q"), F.sum(c * F.log(c / size / q)).alias("gain"), F.sum((c - 0.5) / size).alias("w"))
+    left = F.col("size") - F.col("c")
+    gain = F.col("gain") + F.when(left > 0, left * F.log(left / F.col("size") / F.greatest(1 - F.col("q"), F.lit(1e-12)))).otherwise(0.0)
+    kept = materialize(found.where(gain >= min_gain).select("ctx", F.greatest(1 - F.col("w"), F.lit(1e-9)).alias("rest")))
+    none = F.lit(None).cast("double")
+    parts = (
+        known.select("k", F.col("c").cast("double").alias("w"), none.alias("rest")),
+        after.join(kept.select("ctx"), "ctx").select(F.col("key").alias("k"), ((c - 0.5) / size).alias("w"), none.alias("rest")),
+        kept.select(F.col("ctx").alias("k"), none.alias("w"), "rest"),
+    )
+    nodes = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("k").agg(F.max("w").alias("w"), F.max("rest").alias("rest")))
+    discard(counted, known, sized, after, kept)
+    return Tree(depth, int(total), int(different), discount, heads, nodes)
+
+
+def in_blocks(source: DataFrame) -> DataFrame:
+    """A block number for each row; its last column is the text, blocks have about BLOCK_BYTES of it."""
+    fields = T.StructType([T.StructField("block", T.LongType()), *source.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for part in (part for whole in batches for part in sliced(whole, len(fields) - 2, BLOCK_BYTES // 4)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), *part.columns], names=fields.fieldNames())
+            held += part.column(len(fields) - 2).nbytes
+            if held >= BLOCK_BYTES:
+                block, held = block + 1, 0
+
+    return materialize(arrow_map(source, run, fields))
 
 
 def score(docs: DataFrame, words: DataFrame, tree: Tree, id_cols: list[str], text_col: str = "text", head_min: float = HEAD_MIN) -> DataFrame:
     """id_cols and n_tokens, n_known, train_tokens, base_score, score for the texts of docs; words: the training counts."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tree)
-    fields = T.StructType([docs.schema[c] for c in id_cols]).add("row", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("n_rare", "long").add("h", T.ArrayType(T.LongType())).add("tf", T.ArrayType(T.IntegerType()))
-    width = len(id_cols) + 1
+    context = docs.sparkSession.sparkContext
+    fields = T.StructType([docs.schema[c] for c in id_cols]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    depth, total, discount, unknown = tree.depth, tree.total, tree.discount, tree.unknown
+    denominator = float(np.log10(tree.total + tree.different + 1))
+    sent, may = context.broadcast(tree.heads), context.broadcast(key_filter(tree.nodes.select("k")))
+    blocked = in_blocks(docs.select(*id_cols, F.col(text_col).cast("string").alias("__text")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        heads, weights, rests = Lookup(*t.heads), Lookup(*t.weights), Lookup(*t.rests)
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in sliced(b, width):
-                yield scored_part(part, t, heads, weights, rests)
-
-    def scored_part(part: pa.RecordBatch, t: Tree, heads: Lookup, weights: Lookup, rests: Lookup) -> pa.RecordBatch:
-        tokens, sizes = token_stream(binary_values(part.column(width)))
-        texts = len(sizes)
-        doc = np.repeat(np.arange(texts), sizes)
-        c = np.full(len(tokens), -1.0)
-        at, v = heads.find(tokens)
-        c[at] = v
-        head = c >= 0
-        p = np.where(head, t.root(c) if t.total else 1.0, 1.0)
-        for _, pos, key, ctx, _ in sequences(tokens, t.depth):
-            hit, rest = rests.find(ctx)
+            numbers = longs(b.column(0)).view(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                tokens, _ = token_stream(binary_values(b.column(1).slice(lo, hi - lo)))
+                keys = np.unique(np.concatenate([mix(tokens + U64(1)), *(key for _, _, key, _, _ in sequences(tokens, depth))]))
+                keys = keys[passes(may.value, keys)]
+                for at in range(0, len(keys), 200_000):
+                    part = keys[at : at + 200_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), numbers[lo])), pa.array(part)], names=["block", "k"])
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        k = longs(found.column("k"))
+        w, rest = (found.column(x).to_numpy().astype(np.float64) for x in ("w", "rest"))
+        weights, rests = (Lookup(k[ok], x[ok]) for x in (w, rest) for ok in (~np.isnan(x),))
+        tokens, sizes = token_stream(binary_values(texts.column("__text").combine_chunks()))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        c = np.zeros(len(tokens))
+        for lookup, by in ((weights, mix(tokens + U64(1))), (Lookup(*sent.value), tokens)):
+            if len(lookup.keys):
+                at, v = lookup.find(by)
+                c[at] = v
+        p = np.where(c > 0, (c - discount) / max(total, 1), unknown)
+        for _, pos, key, ctx, _ in sequences(tokens, depth):
+            if not len(rests.keys):
+                break
+            hit, left = rests.find(ctx)
             if len(hit):
                 w = np.zeros(len(hit))
                 got, value = weights.find(key[hit])
                 w[got] = value
-                where = pos[hit]
-                p[where] = np.where(head[where], w, 0) + rest * p[where]
-        logs = np.log10(p)
-        total = np.bincount(doc, weights=logs, minlength=texts)
-        base = np.bincount(doc[head], weights=np.log10(c[head] + 1), minlength=texts)
-        known = np.bincount(doc[head], minlength=texts)
-        rare = np.nonzero(~head)[0]
-        order = rare[np.lexsort((tokens[rare], doc[rare]))]
-        d, h = doc[order], tokens[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-        first = np.nonzero(new)[0]
-        tf = np.diff(np.concatenate([first, [len(d)]])).astype(np.int32)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=texts))]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first].view(np.int64), tf)]
-        made = [pa.array(x) for x in (sizes, known.astype(np.int64), base, total, np.bincount(d, minlength=texts).astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*part.columns[:width], *made, *lists], names=fields.fieldNames())
-
-    source = docs.select(*id_cols, F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("__text"))
-    scored = materialize(arrow_map(source, run, fields))
-    rare = scored.select("row", F.explode(F.arrays_zip("h", "tf")).alias("e")).select("row", "e.h", "e.tf")
-    tail = words.where(F.col("c") < head_min * tree.total)
-    c, tf = F.col("c"), F.col("tf")
-    found = rare.join(tail, "h").groupBy("row").agg(F.sum("tf").alias("k"), F.sum(tf * F.log10(c + 1)).alias("b"), F.sum(tf * F.log10((c - tree.discount) / tree.total)).alias("s"))
-    denominator = float(np.log10(tree.total + tree.different + 1))
-    k = F.coalesce("k", F.lit(0))
-    return scored.join(found, "row", "left").select(
-        *id_cols,
-        "n_tokens",
-        (F.col("known") + k).cast("long").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0)) + (F.col("n_rare") - k) * F.lit(float(np.log10(tree.unknown)))).alias("score"),
-    )
+                p[pos[hit]] = w + left * p[pos[hit]]
+        sums = [np.bincount(doc, weights=x, minlength=len(sizes)) for x in (c > 0, np.log10(c + 1), np.log10(p))]
+        made = [sizes.astype(np.int64), sums[0].astype(np.int64), np.full(len(sizes), total, np.int64), sums[1] - sizes * denominator, sums[2]]
+        return pa.table([*(texts.column(x) for x in id_cols), *map(pa.array, made)], names=fields.fieldNames())
+
+    hits = arrow_map(blocked.select("block", "__text"), wanted, "block long, k long").join(tree.nodes, "k").select("block", "k", "w", "rest")
+    return blocked.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(scored, fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
