@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language_id, licenses, ngram_join, piece_sampling, quality_model, quality_rules, suffix_tree, url_filter, warc
+from lectern.llm import decontaminate, gram_model, language_id, licenses, ngram_join, piece_sampling, quality_model, quality_rules, suffix_tree, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, rules string"
 
@@ -223,6 +223,27 @@ def test_gram_model_adds_up(spark):
     assert total == pytest.approx(1.0 - model.symbol_probabilities(np.array([0x110001, 0x110001]))[1], abs=1e-6)
 
 
+def test_gram_model_reads_through_bounds(spark):
+    texts = ["ab cd ab cd ef", "cd ab", "ef ab cd", "a b"]
+    model = quality_model.kneser_ney(spark.createDataFrame([(bytearray(x.encode()), 1) for x in texts], "text binary, c long"), order=4)
+    for asked in (["ab cd ef", "", " cd  ab\n", "zz ab a b", "ab cd ef"], ["ab"] * 3):
+        # brute force: each text by itself, each symbol by its own n-grams
+        want = [float(np.log10(model.symbol_probabilities(gram_model.stream([x.encode()])[0]))[1:].sum()) for x in asked]
+        for bits, part in ((21, 1 << 19), (1, 3)):
+            scores = gram_model.TextScores(model, bits, part)
+            for _ in range(2):
+                logs, symbols = scores.logs([x.encode() for x in asked])
+                assert logs == pytest.approx(want) and symbols.tolist() == [len(" ".join(x.split())) + 1 if x.split() else 0 for x in asked]
+    for before in ("ab ", "cd e", "b"):  # sums to 1 over the next symbol, given what stands before
+        cp = [0x110001, *(0x110001 if x == " " else ord(x) for x in before)]
+        p = [model.symbol_probabilities(np.array([*cp, x]))[-1] for x in [0x110001, *map(ord, "abcdef")]]
+        z = model.symbol_probabilities(np.array([*cp, ord("z")]))[-1]  # stands for all symbols that training never met
+        assert sum(p) + z == pytest.approx(1.0)
+    ordered, shuffled = (scores.logs([x])[0][0] for x in (b"ab cd ef", b"cd ef ab"))
+    alone = sum(scores.logs([x])[0][0] for x in (b"ab", b"cd", b"ef"))
+    assert ordered != pytest.approx(shuffled) and ordered != pytest.approx(alone)
+
+
 def test_samples():
     v = piece_sampling.Vocabulary(open(piece_sampling.DEFAULT_MODEL, "rb").read())
     lattices = piece_sampling.Lattices(v)
