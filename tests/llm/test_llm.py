@@ -214,6 +214,24 @@ def test_quality_model(spark):
     assert sum(x.quality.kept for x in none) == 90
 
 
+def test_quality_thresholds_of_all_trusted(spark):
+    r = random.Random(6)
+    made = lambda words: " ".join(r.choice(words.split()) for _ in range(60))
+    rows = [(i, made("the cat sat on mat and dog ran far"), "en", "") for i in range(900)] + [(1000 + i, made("ein kleiner hund lief weit durch wald und feld"), "de", "") for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(x[0], 1) for x in rows], "doc_id long, quality int")
+    got = {x.doc_id: (x.lang, x.quality) for x in quality_model.quality_filter(docs, labels, max_trusted=60).collect()}
+    # the rare language has a threshold of its own, though the sample has a few of its texts, and its texts are kept
+    thresholds = {k: {round(q.threshold - quality_model.SHORT / math.sqrt(len(rows[i if i < 900 else i - 100][1]) + 1), 9) for i, (lang, q) in got.items() if lang == k} for k in ("en", "de")}
+    assert all(len(v) == 1 for v in thresholds.values()) and thresholds["en"] != thresholds["de"]
+    assert all(q.kept for _, q in got.values())
+
+
+def test_quality_shares():
+    got = quality_model.shares({"en": 9000, "de": 500, None: 100}, 2000)
+    assert got == {None: 1.0, "de": 1.0, "en": pytest.approx(1400 / 9000)} and quality_model.shares({"en": 5}, 10) == {"en": 1.0}
+
+
 def test_gram_model_adds_up(spark):
     words = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in (("ab", 5), ("abc", 2), ("b", 1), ("ca", 3))], "word binary, c long")
     model = quality_model.kneser_ney(words, order=3)
