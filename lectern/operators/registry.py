@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import registry_text
 
 
-def lookup(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """(query, status, registration): one active record with all of a query's tokens is FOUND, several are AMBIGUOUS; else, of the
-    inactive ones, the latest by id is EXPIRED; else NOT_FOUND. Equal queries are looked up once.
+def lookup(queries: DataFrame, registry: DataFrame, by_word: bool = False) -> DataFrame:
+    """(query, status, registration): one active record whose name contains all of a query's tokens is FOUND, several are AMBIGUOUS; else
+    one inactive one is EXPIRED, several are AMBIGUOUS; else NOT_FOUND. Tokens may be parts of a name's words. Equal queries are looked up once.
+    by_word: tokens must be whole words, and of several inactive records the latest by id is EXPIRED, as the SQL of registry_lookup has it.
 
-    queries: (query); registry: (id, registration, name, active). A record's tokens are joined with the query's longest one.
+    queries: (query); registry: (id, registration, name, active). Candidates are joined by one gram of the query's longest token, of 3
+    characters or else the token of 2, that the fewest names have; the names are then searched for all tokens.
     """
     q = queries.select("query").distinct().withColumn("tokens", F.filter(F.array_distinct(F.split(registry_text(F.col("query")), " ")), lambda t: F.length(t) >= 2))
     longest = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
-    named = registry.withColumn("words", F.split(registry_text(F.col("name")), " "))
-    by_word = named.select("id", "registration", "active", "words", F.explode(F.array_distinct("words")).alias("key"))
-    hits = q.where(F.size("tokens") > 0).withColumn("key", longest).join(by_word, "key").where(F.forall("tokens", lambda t: F.array_contains("words", t)))
+    named = registry.withColumn("name", registry_text(F.col("name")))
+    by_gram = named.select("id", "registration", "active", "name", F.explode(F.array_distinct(F.concat(_grams(F.col("name"), 2), _grams(F.col("name"), 3)))).alias("key"))
+    grams = q.where(F.size("tokens") > 0).select("query", "tokens", F.explode(_grams(longest, F.least(F.length(longest), F.lit(3)))).alias("key"))
+    met = by_gram.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
+    rarest = grams.join(met, "key", "left").groupBy("query", "tokens").agg(F.min_by("key", F.struct(F.coalesce("names", F.lit(0)), "key")).alias("key"))
+    words = F.split("name", " ")
+    hits = rarest.join(by_gram, "key").where(F.forall("tokens", lambda t: F.array_contains(words, t) if by_word else F.contains("name", t)))
     found = hits.groupBy("query").agg(F.count_if("active").alias("n"), F.max_by("registration", F.when(F.col("active"), F.col("id"))).alias("live"), F.max_by("registration", F.when(~F.col("active"), F.col("id"))).alias("old"), F.count_if(~F.col("active")).alias("m"))
-    status = F.when(F.col("n") == 1, "FOUND").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("m") > 0, "EXPIRED").otherwise("NOT_FOUND")
-    return q.join(found, "query", "left").select("query", status.alias("status"), F.when(F.col("n") == 1, F.col("live")).when((F.col("n") == 0) & (F.col("m") > 0), F.col("old")).alias("registration"))
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    expired = (n == 0) & ((m >= 1) if by_word else (m == 1))
+    status = F.when(n == 1, "FOUND").when(n > 1, "AMBIGUOUS").when(expired, "EXPIRED").when(m > 1, "AMBIGUOUS").otherwise("NOT_FOUND")
+    return q.join(found, "query", "left").select("query", status.alias("status"), F.when(n == 1, F.col("live")).when(expired, F.col("old")).alias("registration"))
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The parts of n characters of a text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
 def renumber(rows: DataFrame, plan: str, number: str) -> DataFrame:

@@ -225,7 +225,7 @@ SELECT t.query, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'AMBIGUOUS' WHEN m
 def registry_lookup(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
     reg = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("registration"), F.col("p_name").alias("name"), (F.col("p_size") % 4 != 0).alias("active"))
-    return registry.lookup(part.select(F.col("p_name").alias("query")), reg)
+    return registry.lookup(part.select(F.col("p_name").alias("query")), reg, by_word=True)  # held to the SQL; the reference matches parts of words
 
 
 @query(r"""SELECT event_id, CAST(list_distinct(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS INTEGER))) IS NOT NULL AS BOOLEAN) AS has, len(list_distinct(list_filter(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL)))::INTEGER AS n FROM events""")

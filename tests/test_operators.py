@@ -46,3 +46,22 @@ def test_chunks_stay_in_budget(spark):
 
 def test_html():
     assert html_to_text("<div>a<br>b</div><p>c</p><script>x</script>") == "a\nb\nc\n"
+
+
+def test_registry_lookup_contains(spark):
+    from lectern.operators.registry import lookup
+
+    names = [("Ventilator X200a", True), ("ventilator y", False), ("Pump Alpha", False), ("PUMP beta", False), ("scope q7", False), ("Лампа ЛМ-5", True), (None, True), ("lens pro", True), ("lens (pro) 2", True)]
+    registry = spark.createDataFrame([(i, f"R{i}", n, a) for i, (n, a) in enumerate(names)], "id long, registration string, name string, active boolean")
+    asked = ["vent x200", "X200", "vent", "pump", "pump al", "SCOPE", "q7", "q", "мпа лм", "lens pro", "none", "", None, "tor x2", "tor y"]
+
+    def want(query):
+        tokens = [t for t in "".join(c if c.isalnum() else " " for c in (query or "").lower()).split() if len(t) >= 2]
+        hits = [(f"R{i}", a) for i, (n, a) in enumerate(names) if n and tokens and all(t in " ".join("".join(c if c.isalnum() else " " for c in n.lower()).split()) for t in tokens)]
+        live = [r for r, a in hits if a]
+        found = live or hits and [r for r, _ in hits]
+        return ("NOT_FOUND", None) if not found else ("AMBIGUOUS", None) if len(found) > 1 else ("FOUND" if live else "EXPIRED", found[0])
+
+    got = {r["query"]: (r.status, r.registration) for r in lookup(spark.createDataFrame([(x,) for x in [*asked, "pump"]], "query string"), registry).collect()}
+    assert got == {x: want(x) for x in asked}
+    assert got["vent"] == ("FOUND", "R0") and got["pump"] == ("AMBIGUOUS", None) and got["q7"] == ("EXPIRED", "R4")
