@@ -53,7 +53,7 @@ STAGES = [
     ("sentencepiece_sampling", encode),
 ]
 
-#: The classifier, the components and the samples are beyond SQL; tests/llm holds the stages against brute-force versions.
+#: The classifier, the components and the samples are beyond SQL; tests/llm/test_pipeline.py holds rules, deduplication and the stage order against brute force, tests/llm/test_llm.py the operators.
 ORACLE_SQL = None
 
 
