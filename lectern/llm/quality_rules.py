@@ -8,7 +8,8 @@ is one that fails the base rules on its whole text (fewer than 50 words, or over
 
 Defined cases: a null text counts as an empty one (no words, base_failed, not kept, cleaned text null); lines without
 a word are neither judged nor removed. Nothing but a document's own row is looked at, so that repeated rows, other
-columns and the order of rows are without influence. Windows are compared by 64-bit hashes less the bits of an index.
+columns and the order of rows are without influence. Windows are compared by 64-bit hashes,
+whatever the length of the text.
 """
 
 from __future__ import annotations
@@ -54,13 +55,11 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX
     d = docs.select(*names, text.alias("__t"))
     d = _cols(d, __w=F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)), __l=F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(WORD)))
     n = F.size("__w")
-    mask = F.expr("shiftleft(1L, length(bin(size(__w)))) - 1")
-    hashes = F.transform(F.slice(F.col("__w"), F.lit(1), F.greatest(F.lit(0), n - 2)), lambda x, i: F.xxhash64(x, F.get(F.col("__w"), i + 1), F.get(F.col("__w"), i + 2)).bitwiseAND(F.bitwise_not(F.col("__m"))).bitwiseOR(i.cast("bigint")))
-    d = _cols(d, __m=mask)
+    hashes = F.transform(F.slice(F.col("__w"), F.lit(1), F.greatest(F.lit(0), n - 2)), lambda x, i: F.struct(F.xxhash64(x, F.get(F.col("__w"), i + 1), F.get(F.col("__w"), i + 2)).alias("h"), i.cast("bigint").alias("i")))
     d = _cols(d, __s=F.sort_array(hashes))
-    same = lambda a, b: F.coalesce(a.bitwiseXOR(b) <= F.col("__m"), F.lit(False)) & F.coalesce(a.bitwiseXOR(b) >= 0, F.lit(False))
-    twice = F.filter("__s", lambda v, k: same(v, F.get(F.col("__s"), k + 1)) | ((k > 0) & same(v, F.get(F.col("__s"), F.greatest(k - 1, F.lit(0))))))
-    d = _cols(d, __p=F.sort_array(F.transform(twice, lambda v: v.bitwiseAND(F.col("__m")))))
+    same = lambda v, k: F.coalesce(v["h"] == F.get(F.col("__s"), k)["h"], F.lit(False))
+    twice = F.filter("__s", lambda v, k: same(v, k + 1) | ((k > 0) & same(v, F.greatest(k - 1, F.lit(0)))))
+    d = _cols(d, __p=F.sort_array(F.transform(twice, lambda v: v["i"])))
     covered = F.aggregate(F.transform("__p", lambda v, k: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(F.col("__p"), k + 1), v + 3) - v)), F.lit(0).cast("bigint"), lambda a, v: a + v)
     d = _cols(d, __r=covered, __c=F.length(F.regexp_replace("__t", r"[\x20\x09-\x0D]+", "")).cast("bigint"))
     d = _cols(d, __k=F.filter("__l", lambda x: line_failure(x).isNull()))

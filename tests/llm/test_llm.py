@@ -73,6 +73,13 @@ def test_rules_lines(spark):
     assert got[3].n_dup_lines == 2
 
 
+def test_rules_repeats_of_long_texts(spark):
+    n = 4_000_000
+    long = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.hex(i))).alias("text"))  # all words differ
+    r = quality_rules.quality_rules(long).select("rules.n_words", "rules.n_repeat_words").first()
+    assert r.n_words == n and r.n_repeat_words == 0
+
+
 def test_wu_manber():
     r = random.Random(3)
     text = " " + " ".join(r.choice("ab ba abc c ca".split()) for _ in range(400)) + " "
