@@ -22,14 +22,32 @@ GOLD = U64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session in one JVM (tests) gets a temporary
+    folder for its life; on a cluster, whose executors couldn't read that, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lectern-"))
     return base.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends and lost executors cost nothing."""
     spark = df.sparkSession
@@ -53,7 +71,8 @@ def discard(*tables: DataFrame) -> None:
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """Filter behind a barrier: Catalyst doesn't push the condition into the projection that makes its columns, where deep
     expressions would be copied into it and evaluated twice."""
-    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
+    (row,) = spare(df, "__row")
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,7 +169,8 @@ BATCH_BYTES = "4m"
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over batches of bounded bytes. Spark's own bound is 64 MB, which a task holds several times over: in the JVM's
-    direct memory, which grows by doubling, and in the worker."""
+    direct memory, which grows by doubling, and in the worker. Plans read the bound when they run, so that it stays in the
+    session where it was left at Spark's default; a value that the caller chose is kept."""
     conf = df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) in (None, "67108864b", "67108864", "64m", "64MB"):
@@ -198,7 +218,7 @@ def map_texts(
         batch = made = cols = None
         trim()
 
-    source = df.select(*[df[c] for c in names], *([df[text_col].cast("string").alias("__text")] if at == width else []))
+    source = df.select(*[df[c] for c in names], *([df[text_col].cast("string").alias(spare(df, "__text")[0])] if at == width else []))
     return arrow_map(source, run, schema)
 
 
