@@ -10,18 +10,21 @@ nowhere move it m - B + 1 bytes. Where the shift is 0, the bucket of that suffix
 are told apart by their first bytes and confirmed by direct comparison.
 
 Defined cases: null or wordless texts have no words and no hits and aren't contaminated. Items that are null or wordless
-test nothing; repeated items with one id count once; a null item_id is the id ''. Whole texts are searched at any length.
+test nothing; repeated items with one id count once; a null item_id is the id ''. Whole texts are searched at any length. No
+items or no documents: no hits, no rows. Overlapping and equal hits count a word once. Kept columns travel in one struct, so
+that their names can't meet ours; one called contamination gives way.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import map_texts, table
+from lectern.llm.common import discard, map_texts, materialize, table
 
 WINDOW = 13
 #: Test strings held by a task at a time; more are searched in further passes over the same rows.
@@ -91,11 +94,11 @@ class WuManber:
         return hits
 
 
-_SEARCHERS: dict[bytes, WuManber] = {}
+_SEARCHERS: dict[str, WuManber] = {}
 
 
-def _searcher(patterns: dict[bytes, list[str]]) -> WuManber:
-    key = hashlib.sha1(b"\n".join(sorted(patterns))).digest()
+def _searcher(key: str, patterns: dict[bytes, list[str]]) -> WuManber:
+    """The tables of one pass; a worker holds those of one at a time."""
     if key not in _SEARCHERS:
         _SEARCHERS.clear()
         _SEARCHERS[key] = WuManber(list(patterns))
@@ -105,9 +108,10 @@ def _searcher(patterns: dict[bytes, list[str]]) -> WuManber:
 _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType().add("a", "long").add("b", "long"))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _scan(patterns: dict[bytes, list[str]]):
+def _scan(key: str, sent):
     def fn(texts: list[bytes | None]):
-        search = _searcher(patterns).search if patterns else None
+        patterns = sent.value
+        search = _searcher(key, patterns).search if patterns else None
         counts, spans, items = [], [], []
         for text in texts:
             words = item_words(text)
@@ -128,35 +132,49 @@ def _scan(patterns: dict[bytes, list[str]]):
     return fn
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, patterns_per_pass: int = PATTERNS_PER_PASS, keep: list[str] | None = None) -> DataFrame:
-    """Append struct `contamination` (n_words, n_hit, spans of hit words as [from, to), item ids, contaminated) to docs.
-
-    The benchmark is a fixed set of test strings, read in turn and searched in passes of patterns_per_pass strings
-    each, so that the size of what a task holds is bounded.
-    """
-    passes: list[dict[bytes, list[str]]] = [{}]
+def pattern_passes(items: DataFrame, item_id: str, item_text: str, width: int, most: int) -> Iterator[dict[bytes, list[str]]]:
+    """Test strings with their item ids, `most` strings at a time; the items are read one by one, in the order of id and text."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).cast("string").alias("t")).orderBy("i", "t")
+    held: dict[bytes, list[str]] = {}
     for row in rows.toLocalIterator():
         for p in windows(item_words(row.t.encode() if row.t is not None else None), width):
-            if p not in passes[-1] and len(passes[-1]) >= patterns_per_pass:
-                passes.append({})
-            ids = passes[-1].setdefault(p, [])
+            if p not in held and len(held) >= most:
+                yield held
+                held = {}
+            ids = held.setdefault(p, [])
             if row.i not in ids:
                 ids.append(row.i)
+    yield held
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, patterns_per_pass: int = PATTERNS_PER_PASS, keep: list[str] | None = None) -> DataFrame:
+    """Append struct `contamination` (n_words, n_hit, spans of hit words as [from, to), item ids, contaminated) to docs.
+
+    The test strings are searched in passes of patterns_per_pass. The driver holds those of one pass, and so does a task: what a
+    pass found is written to the shared folder before the next begins.
+    """
+    spark = docs.sparkSession
     names = [c for c in (keep if keep is not None else docs.columns) if c != "contamination"]
-    out = docs.select(*names) if text_col in names else docs.select(*names, text_col)
-    found = []
-    for k, patterns in enumerate(passes):
-        out = map_texts(out, text_col, _scan(patterns), _FOUND, out=f"__found{k}")
-        found.append(f"__found{k}")
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{c}.spans") for c in found])))
-    state = F.aggregate("__spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")), lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in found]))))
-    out = out.withColumn("__spans", spans).withColumn("__n", state["n"]).withColumn("__ids", ids)
-    words = F.col(f"{found[0]}.n_words")
+    out = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[docs[c] for c in names]).alias("given"))
+    if not names:
+        raise ValueError("at least one column must be kept")
+    done, before = [], None
+    for k, patterns in enumerate(pattern_passes(items, item_id, item_text, width, patterns_per_pass)):
+        if k:
+            written = materialize(out)
+            if before is not None:
+                discard(before)
+            out = before = written
+        done.append(f"found{k}")
+        out = map_texts(out, "text", _scan(uuid.uuid4().hex, spark.sparkContext.broadcast(patterns)), _FOUND, out=done[-1])
+    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{c}.spans") for c in done])))
+    state = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")), lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in done]))))
+    out = out.withColumn("spans", spans).withColumn("hit", state["n"]).withColumn("ids", ids)
+    words = F.col(f"{done[0]}.n_words")
     return out.select(
-        *[out[c] for c in names],
-        F.struct(words.alias("n_words"), F.col("__n").alias("n_hit"), F.col("__spans").alias("spans"), F.col("__ids").alias("items"), ((F.col("__n") > 0) & (20 * F.col("__n") >= words)).alias("contaminated")).alias("contamination"),
+        *[F.col("given").getField(c).alias(c) for c in names],
+        F.struct(words.alias("n_words"), F.col("hit").alias("n_hit"), F.col("spans").alias("spans"), F.col("ids").alias("items"), ((F.col("hit") > 0) & (20 * F.col("hit") >= words)).alias("contaminated")).alias("contamination"),
     )
 
 
