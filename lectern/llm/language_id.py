@@ -3,20 +3,23 @@
 A text is the average of the embeddings of its subwords: character 1- to 4-grams of its lower-cased letters, words
 bounded by one blank, hashed into a table. A linear softmax over the average gives the language. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows (at most
-max_train_rows, dealt evenly to the languages by hash). A tenth of the sample fits the temperature of the softmax and
-the score below which a prediction is rejected, so that predictions that stay reach the wanted accuracy.
+MAX_TRAIN_ROWS of the MAX_LANGS most frequent languages, dealt evenly to the languages by hash). What reaches the driver
+are a text's hashed counts, at most 2**BITS numbers however long it is. Every tenth row of a language fits the temperature
+of the softmax and the score below which a prediction is rejected, so that predictions that stay reach the wanted accuracy.
 
 As the model is linear in the average, a prediction sums one row of (table x languages) per subword: whole texts of any
-length are read in slices, without loss.
+length are counted in slices that share no subword and add no bound.
 
-Defined cases: null text, or one with no letter: `und`, score 0, rejected. No labelled rows: every text is `und`.
-Repeated rows count as often as they stand there. lang, source and doc_id are never inputs of a prediction.
+Defined cases: null text, or one with no letter: `und`, score 0, rejected. No labelled rows, an empty table: every text is
+`und`. Ties: of equal scores the language that sorts first; of rows with one id the text's hash gives the order of training.
+Repeated rows count as often as they stand there. Languages with under ten rows have none in the calibration. Columns named
+lang_pred, score or rejected give way; lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from lectern.llm.common import GOLD, U64, crc_mod, map_texts, mix, table
 
 BITS, DIM, ORDERS, SLICE = 16, 16, (1, 2, 3, 4), 1 << 20
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 1600, 200_000
+MAX_TRAIN_ROWS, MAX_LANGS = 1600, 256
 WANTED = 0.995
 
 _LETTERS: list[np.ndarray] = []
@@ -39,28 +42,52 @@ def _letter_table() -> np.ndarray:
     return _LETTERS[0]
 
 
-def subwords(text: str) -> np.ndarray:
-    """Table slots of a text's subwords."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    cp = np.where(_letter_table()[cp], cp, 0)
+def letters(text: str) -> np.ndarray:
+    """The lower-cased letters of a text, 0 for a blank: one between words and one at either end."""
+    text, table_ = text.lower(), _letter_table()
+    parts = []
+    for at in range(0, len(text), SLICE):
+        cp = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts.append(np.where(table_[cp], cp, 0).astype(np.uint32))
+    cp = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     keep = np.ones(len(cp), bool)
-    keep[1:] = (cp[1:] != 0) | (cp[:-1] != 0)  # one blank between words
-    cp = np.concatenate([[0], cp[keep], [0]]).astype(U64)
-    out = []
-    for order in ORDERS:
-        n = len(cp) - order + 1
-        if n <= 0:
-            break
-        h = np.full(n, order, U64)
-        for k in range(order):
-            h = h * GOLD + cp[k : k + n] + U64(1)
-        inner = np.ones(n, bool)
-        for k in range(1, order - 1) if order > 1 else [0]:
-            inner &= cp[k : k + n] != 0
-        if order == 2:
-            inner &= (cp[:n] != 0) | (cp[1 : 1 + n] != 0)
-        out.append((mix(h[inner]) >> U64(64 - BITS)).astype(np.int64))
-    return np.concatenate(out)
+    keep[1:] = (cp[1:] != 0) | (cp[:-1] != 0)
+    return np.concatenate([[0], cp[keep], [0]]).astype(np.uint32)
+
+
+def subwords(text: str) -> Iterator[np.ndarray]:
+    """Table slots of a text's subwords, in slices by the place where they begin."""
+    cp = letters(text)
+    for at in range(0, len(cp), SLICE):
+        for order in ORDERS:
+            part = cp[at : at + SLICE + order - 1].astype(U64)
+            n = len(part) - order + 1
+            if n <= 0:
+                break
+            h = np.full(n, order, U64)
+            for k in range(order):
+                h = h * GOLD + part[k : k + n] + U64(1)
+            inner = np.ones(n, bool)
+            for k in range(1, order - 1) if order > 1 else [0]:
+                inner &= part[k : k + n] != 0
+            if order == 2:
+                inner &= (part[:n] != 0) | (part[1 : 1 + n] != 0)
+            yield (mix(h[inner]) >> U64(64 - BITS)).astype(np.int64)
+
+
+def slot_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that a text's subwords meet, and how often."""
+    if not text or not has_letter(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.zeros(1 << BITS, np.int64)
+    for slots in subwords(text):
+        total += np.bincount(slots, minlength=1 << BITS)
+    met = np.nonzero(total)[0]
+    return met, total[met]
+
+
+def has_letter(text: str) -> bool:
+    return any(_letter_table()[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)].any() for at in range(0, len(text), SLICE))
 
 
 @dataclass
@@ -72,11 +99,10 @@ class Model:
     reject_below: float
 
     def logits(self, text: str) -> np.ndarray | None:
-        if not text or not _letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+        if not text or not has_letter(text):
             return None
         total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, len(text), SLICE):
-            slots = subwords(text[max(0, at - 3) : at + SLICE])
+        for slots in subwords(text):
             total += np.bincount(slots, minlength=1 << BITS) @ self.weights if len(slots) > 20_000 else self.weights[slots].sum(0)
             n += len(slots)
         return total / max(1, n) + self.bias
@@ -92,20 +118,18 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] < self.reject_below)
 
 
-def train(rows: Sequence[tuple[str, str]], epochs: int = 8, rate: float = 0.5, seed: int = 7, wanted: float = WANTED) -> Model:
-    """Stochastic gradient descent, one text a step, the rate falling to nought."""
-    langs = sorted({lang for _, lang in rows})
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: float = 0.5, seed: int = 7, wanted: float = WANTED) -> Model:
+    """Stochastic gradient descent over (slots, counts, language), one text a step, the rate falling to nought."""
+    langs = sorted({row[2] for row in rows})
     rng = np.random.default_rng(seed)
     table_ = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     soft = np.zeros((DIM, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
-    data = []
-    for text, lang in rows:
-        slots, counts = np.unique(subwords(text), return_counts=True)
+    fit, held, met = [], [], dict.fromkeys(langs, 0)
+    for slots, counts, lang in rows:
         if len(slots):
-            data.append((slots, (counts / counts.sum()).astype(np.float32), langs.index(lang)))
-    held = data[::10] if len(data) >= 50 else data
-    fit = [d for k, d in enumerate(data) if k % 10] if len(data) >= 50 else data
+            met[lang] += 1
+            (fit if met[lang] % 10 else held).append((slots, (counts / counts.sum()).astype(np.float32), langs.index(lang)))
     steps, step = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(fit)):
@@ -143,19 +167,26 @@ def train(rows: Sequence[tuple[str, str]], epochs: int = 8, rate: float = 0.5, s
     return model
 
 
-def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max_rows: int = MAX_TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most about max_rows labelled rows, as many of each language, chosen by the hash of the id; texts of over
-    MAX_TRAIN_CHARS are left out of training only."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= MAX_TRAIN_CHARS))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max_rows: int = MAX_TRAIN_ROWS, max_langs: int = MAX_LANGS) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Hashed counts and language of about max_rows labelled rows at most, as many of each of the max_langs most frequent
+    languages, chosen by the hash of the id."""
+    text, lang, id_ = (F.col(c).cast("string").alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (id_col, "id")))
+    rows = labelled.select(id_, lang, text).where("text is not null and lang is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
-    share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    # one row of (language, share) each: the number of languages bounds it
-    limits = F.broadcast(rows.sparkSession.createDataFrame([(k, min(1.0, each / v)) for k, v in counts.items()], "__lang string, __share double"))
-    chosen = rows.join(limits, F.col(lang_col) == F.col("__lang")).where(share < F.col("__share")).select(F.col(text_col).cast("string"), F.col(lang_col), F.xxhash64(F.col(id_col).cast("string")).alias("h")).orderBy("h").limit(2 * max_rows)
-    return [(r[0], r[1]) for r in chosen.collect()]
+    share = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1e6
+    limits = F.broadcast(rows.sparkSession.createDataFrame([(k, min(1.0, each / v)) for k, v in counts.items()], "lang string, share double"))  # max_langs rows
+    chosen = rows.join(limits, "lang").where(share < F.col("share")).select("lang", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "text")
+
+    def fn(texts: list[bytes | None]):
+        made = [slot_counts(t.decode("utf-8", "replace") if t is not None else None) for t in texts]
+        return [m[0].tolist() for m in made], [m[1].tolist() for m in made]
+
+    fields = T.StructType().add("slots", T.ArrayType(T.IntegerType())).add("counts", T.ArrayType(T.LongType()))
+    counted = map_texts(chosen, "text", fn, fields, keep=["lang", "h", "t"])
+    return [(np.array(r.slots, np.int64), np.array(r.counts, np.float64), r.lang) for r in counted.orderBy("h", "t").limit(2 * max_rows).collect()]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
