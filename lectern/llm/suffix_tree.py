@@ -277,7 +277,7 @@ def score(docs: DataFrame, words: DataFrame, tree: Tree, id_cols: list[str], tex
                 got, value = weights.find(key[hit])
                 w[got] = value
                 p[pos[hit]] = w + left * p[pos[hit]]
-        sums = [np.bincount(doc, weights=x, minlength=len(sizes)) for x in (c > 0, np.log10(c + 1), np.log10(p))]
+        sums = [np.bincount(doc, weights=x.astype(np.float64), minlength=len(sizes)).astype(np.float64) for x in (c > 0, np.log10(c + 1), np.log10(p))]
         made = [sizes.astype(np.int64), sums[0].astype(np.int64), np.full(len(sizes), total, np.int64), sums[1] - sizes * denominator, sums[2]]
         return pa.table([*(texts.column(x) for x in id_cols), *map(pa.array, made)], names=fields.fieldNames())
 
