@@ -8,7 +8,8 @@ judges are the labels; at most about MAX_LABELLED of them, chosen by hash, are u
 Suffix statistics are kept for suffixes that make up at least SUFFIX_MIN of all URLs, at most 1 / SUFFIX_MIN rows, and broadcast.
 
 Defined cases: null URLs or ones without `://`: empty host and path, no rule, judged by the trees like any text. Without
-labels, or without rows, every URL without rule is allowed. Repeated URLs count as often as they stand there.
+labels, or without rows, every URL without rule is allowed. Repeated URLs count as often as they stand there. Ties: of splits
+with equal gain the first feature and bin; rules of one length can't both fit. URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -63,37 +64,42 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], what: str) -> C
     return out
 
 
-def lexical_features(urls: DataFrame, url: Column) -> DataFrame:
-    """Add the features but f_share, and `suffix`, to a table that has host and path."""
+def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """The features but the suffix's share, and the suffix."""
     text = F.coalesce(url, F.lit(""))
     n = F.length(text)
-    labels = F.filter(F.split("host", r"\."), lambda x: x != "")
-    d = urls.withColumn("__chars", F.sort_array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))).withColumn("suffix", F.coalesce(F.element_at(F.transform(F.array(F.get(labels, F.size(labels) - 1)), lambda x: x), 1), F.lit("")))
-    starts = F.filter(F.transform("__chars", lambda x, i: F.when((i == 0) | (x != F.get(F.col("__chars"), F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
-    d = d.withColumn("__starts", starts)
-    runs = F.transform("__starts", lambda s, i: (F.coalesce(F.get(F.col("__starts"), i + 1), F.size("__chars")) - s).cast("double"))
-    total = F.aggregate(runs, F.lit(0.0), lambda a, r: a + r * F.log2(r))
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    suffix = F.coalesce(F.get(labels, F.size(labels) - 1), F.lit(""))
     size = F.greatest(n, F.lit(1)).cast("double")
-    return d.select(
-        *[urls[c] for c in urls.columns],
-        "suffix",
-        n.cast("double").alias("f_length"),
-        F.regexp_count("path", F.lit("/")).cast("double").alias("f_depth"),
-        (F.regexp_count(text, F.lit("[0-9]")) / size).alias("f_digits"),
-        (F.log2(size) - total / size).alias("f_entropy"),
-        F.regexp_count(text, F.lit(r"[?&][^=&#]+=")).cast("double").alias("f_params"),
-        F.size(labels).cast("double").alias("f_labels"),
-        F.length("host").cast("double").alias("f_host"),
-        F.regexp_count("host", F.lit("-")).cast("double").alias("f_hyphens"),
-        F.length("suffix").cast("double").alias("f_suffix"),
+    # entropy from the runs of the sorted characters: how long each run is, without its start being looked for twice
+    chars = F.sort_array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    start = F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.lit(0.0).alias("t"))
+    ended = lambda a: F.when(a["n"] > 0, a["n"] * F.log2(a["n"].cast("double"))).otherwise(F.lit(0.0))
+    total = F.aggregate(
+        chars,
+        start,
+        lambda a, x: F.when(x == a["c"], F.struct(x.alias("c"), (a["n"] + 1).alias("n"), a["t"].alias("t"))).otherwise(F.struct(x.alias("c"), F.lit(1).alias("n"), (a["t"] + ended(a)).alias("t"))),
+        lambda a: a["t"] + ended(a),
     )
-
-
-def with_suffix_share(d: DataFrame, least: float = SUFFIX_MIN) -> DataFrame:
-    counts = d.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
-    total = d.agg(F.count(F.lit(1)).alias("all"))
-    share = counts.join(F.broadcast(total)).where(F.col("n") >= least * F.col("all")).select("suffix", (F.col("n") / F.col("all")).alias("__share"))
-    return d.join(F.broadcast(share), "suffix", "left").withColumn("f_share", F.coalesce("__share", F.lit(0.0))).drop("__share")
+    return {
+        "suffix": suffix,
+        "f_length": n.cast("double"),
+        "f_depth": F.regexp_count(path, F.lit("/")).cast("double"),
+        "f_digits": F.regexp_count(text, F.lit("[0-9]")) / size,
+        "f_entropy": F.log2(size) - total / size,
+        "f_params": F.regexp_count(text, F.lit(r"[?&][^=&#]+=")).cast("double"),
+        "f_labels": F.size(labels).cast("double"),
+        "f_host": F.length(host).cast("double"),
+        "f_hyphens": F.regexp_count(host, F.lit("-")).cast("double"),
+        "f_suffix": F.length(suffix).cast("double"),
+    }
+
+
+def suffix_shares(suffixes: DataFrame, least: float = SUFFIX_MIN) -> DataFrame:
+    """(suffix) -> (suffix, f_share) of those that make up at least `least` of all rows; a column of one row a suffix goes in."""
+    counts = suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    total = suffixes.agg(F.count(F.lit(1)).alias("all"))
+    return counts.join(F.broadcast(total)).where(F.col("n") >= least * F.col("all")).select("suffix", (F.col("n") / F.col("all")).alias("f_share"))
 
 
 class Boosted:
@@ -184,18 +190,25 @@ def _node(tree: dict, k: int) -> Column:
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Append host, path, rule, verdict and block_score (the trees' log odds) to pages."""
+    """Append host, path, rule, verdict and block_score (the trees' log odds) to pages; columns of these names give way.
+
+    The input's other columns travel in one struct, so that none of them can be taken for a feature.
+    """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
     url = F.col(url_col).cast("string")
-    d = pages.select(*names, url.alias("__url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    d = d.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules, "rule")).withColumn("__v", rule_of(F.col("host"), F.col("path"), rules, "verdict"))
-    d = with_suffix_share(lexical_features(d, F.col("__url")))
-    labelled = d.where("rule is not null")
-    n = labelled.count()
-    dealt = F.pmod(F.xxhash64("__url"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(dealt < max_labelled / max(n, 1)).select(F.when(F.col("__v") == "block", 1.0).otherwise(0.0).alias("y"), *FEATURES)
+    d = pages.select(F.struct(*names).alias("given"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    host, path = F.col("host"), F.col("path")
+    d = d.withColumns({"rule": rule_of(host, path, rules, "rule"), "v": rule_of(host, path, rules, "verdict")})
+    features = lexical_features(F.col("url"), host, path)
+    shares = materialize(suffix_shares(d.select(features["suffix"].alias("suffix"))))  # at most 1 / SUFFIX_MIN rows
+    with_share = lambda x: x.withColumns(features).join(F.broadcast(shares), "suffix", "left").withColumn("f_share", F.coalesce("f_share", F.lit(0.0)))
+    labelled = d.where("rule is not null").select("url", "host", "path", "v")
+    dealt = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.where(dealt < max_labelled / max(labelled.count(), 1))
+    sample = materialize(with_share(chosen).select(F.when(F.col("v") == "block", 1.0).otherwise(0.0).alias("y"), *FEATURES))
     margin = train(sample).margin(False)
-    return d.select(*names, "host", "path", "rule", F.coalesce("__v", F.when(margin > 0, "block").otherwise("allow")).alias("verdict"), margin.alias("block_score"))
+    judged = with_share(d).withColumn("score", margin)
+    return judged.select(*[F.col("given").getField(c).alias(c) for c in names], "host", "path", "rule", F.coalesce("v", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), F.col("score").alias("block_score"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
