@@ -6,10 +6,12 @@ Lines that fail are removed; a document that loses more than `max_lost` of its w
 is one that fails the base rules on its whole text (fewer than 50 words, or over half of the words in repeated
 3-word windows).
 
+Characters of a kind are counted as what is left when runs of all others are taken out, not match by match.
+
 Defined cases: a null text counts as an empty one (no words, base_failed, not kept, cleaned text null); lines without
-a word are neither judged nor removed. Nothing but a document's own row is looked at, so that repeated rows, other
-columns and the order of rows are without influence. Windows are compared by 64-bit hashes,
-whatever the length of the text.
+a word are neither judged nor removed. Nothing but a document's own row is looked at, so that repeated rows, ties, other
+columns (whatever their names) and the order of rows are without influence; an empty table gives an empty one. Texts of
+any length are judged whole. Windows are compared by 64-bit hashes, kept whole at any length.
 """
 
 from __future__ import annotations
@@ -17,67 +19,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import spare, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of a document's non-blank characters that may be lost with its failed lines.
 MAX_LOST = 0.5
-#: Fixed phrases of the boilerplate rule.
-BOILERPLATE = r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|accept (all )?cookies|enable javascript|subscribe to our|sign up for|click here|skip to (main )?content)"
-_MARKS = r"[^\p{L}\p{N}\x20\x09-\x0D]"
+#: Fixed phrases of the boilerplate rule, in English, German, French and Spanish.
+BOILERPLATE = (
+    r"(?iu)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|accept (all )?cookies|enable javascript|subscribe to our|sign up for|click here|skip to (main )?content"
+    r"|alle rechte vorbehalten|cookies akzeptieren|newsletter abonnieren|zum inhalt springen|tous droits réservés|politique de confidentialité|accepter les cookies|cliquez ici"
+    r"|todos los derechos reservados|política de privacidad|aceptar (las )?cookies|haga clic aquí)"
+)
+_BLANKS = " \t\n\x0b\x0c\r"
 _PILED = r"[\p{L}\p{N}.,;:][!#*$%&|<>?]{2,}"
 
 
-def _cols(df: DataFrame, **named: Column) -> DataFrame:
+def _cols(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     return df.withColumns(named)
 
 
+def _without(text: Column, characters: str) -> Column:
+    """Code points of text that are none of these characters."""
+    return F.length(F.translate(text, characters, ""))
+
+
+def _left(text: Column, pattern: str) -> Column:
+    """Code points of text that are left without the runs that match: far fewer matches than one for each character."""
+    return F.length(F.regexp_replace(text, pattern, ""))
+
+
 def line_failure(line: Column) -> Column:
     """Which rule a line fails: punctuation, navigation or boilerplate; null if none."""
     words = F.regexp_count(line, F.lit(WORD))
-    visible = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
-    marks = F.regexp_count(line, F.lit(_MARKS))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
-    upper = F.regexp_count(line, F.lit(r"\p{Lu}"))
+    visible = _without(line, _BLANKS)
+    marks = _left(line, r"[\p{L}\p{N}\x20\x09-\x0D]+")
+    letters = _left(line, r"\P{L}+")
+    upper = _left(line, r"\P{Lu}+")
     piled = F.regexp_count(line, F.lit(_PILED))
-    separators = F.regexp_count(line, F.lit(r"[|»›•>]"))
+    separators = F.length(line) - _without(line, "|»›•>")
     return (
-        F.when((words > 0) & ((10 * marks > 4 * visible) | ((piled >= 3) & (4 * piled >= words)) | ((words >= 5) & (10 * upper > 6 * letters) & (letters > 0))), F.lit("punctuation"))
+        F.when((10 * marks > 4 * visible) | ((words >= 5) & (10 * upper > 6 * letters) & (letters > 0)) | ((marks >= 6) & (piled >= 3) & (4 * piled >= words)), F.lit("punctuation"))
         .when((separators >= 3) & (5 * separators >= words), F.lit("navigation"))
         .when((words <= 20) & line.rlike(BOILERPLATE), F.lit("boilerplate"))
     )
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """Append struct `rules`: the base counts, base_failed, lost (share of characters), clean_text, kept."""
+    """Append struct `rules`: the base counts, base_failed, lost (share of characters), clean_text, kept.
+
+    A column of that name gives way to it; whatever else the columns are called, they are handed through.
+    """
     names = [c for c in docs.columns if c != "rules"]
+    t, w, l_, s, p, r, c, k, lost = spare(docs, "__t", "__w", "__l", "__s", "__p", "__r", "__c", "__k", "__lost")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(*names, text.alias("__t"))
-    d = _cols(d, __w=F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)), __l=F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(WORD)))
-    n = F.size("__w")
-    hashes = F.transform(F.slice(F.col("__w"), F.lit(1), F.greatest(F.lit(0), n - 2)), lambda x, i: F.struct(F.xxhash64(x, F.get(F.col("__w"), i + 1), F.get(F.col("__w"), i + 2)).alias("h"), i.cast("bigint").alias("i")))
-    d = _cols(d, __s=F.sort_array(hashes))
-    same = lambda v, k: F.coalesce(v["h"] == F.get(F.col("__s"), k)["h"], F.lit(False))
-    twice = F.filter("__s", lambda v, k: same(v, k + 1) | ((k > 0) & same(v, F.greatest(k - 1, F.lit(0)))))
-    d = _cols(d, __p=F.sort_array(F.transform(twice, lambda v: v["i"])))
-    covered = F.aggregate(F.transform("__p", lambda v, k: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(F.col("__p"), k + 1), v + 3) - v)), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    d = _cols(d, __r=covered, __c=F.length(F.regexp_replace("__t", r"[\x20\x09-\x0D]+", "")).cast("bigint"))
-    d = _cols(d, __k=F.filter("__l", lambda x: line_failure(x).isNull()))
-    kept_chars = F.length(F.regexp_replace(F.array_join("__k", ""), r"[\x20\x09-\x0D]+", ""))
-    d = _cols(d, __lost=F.when(F.col("__c") > 0, F.col("__c") - kept_chars).otherwise(F.lit(0)).cast("bigint"))
-    base_failed = (n < 50) | (100 * F.col("__r") > 50 * n)
+    d = docs.select(*names, text.alias(t), F.col(text_col).isNotNull().alias(s))
+    d = _cols(d, {w: F.regexp_extract_all(F.col(t), F.lit(WORD), F.lit(0)), l_: F.filter(F.split(F.col(t), "\n", -1), lambda x: x.rlike(WORD))})
+    there = spare(d, "__there")[0]
+    d = d.withColumnRenamed(s, there)
+    n = F.size(w)
+    hashes = F.transform(F.slice(F.col(w), F.lit(1), F.greatest(F.lit(0), n - 2)), lambda x, i: F.struct(F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("h"), i.cast("bigint").alias("i")))
+    d = _cols(d, {s: F.sort_array(hashes)})
+    same = lambda v, j: F.coalesce(v["h"] == F.get(F.col(s), j)["h"], F.lit(False))
+    twice = F.filter(s, lambda v, j: same(v, j + 1) | ((j > 0) & same(v, F.greatest(j - 1, F.lit(0)))))
+    d = _cols(d, {p: F.sort_array(F.transform(twice, lambda v: v["i"]))})
+    covered = F.aggregate(F.transform(p, lambda v, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(F.col(p), j + 1), v + 3) - v)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    d = _cols(d, {r: covered, c: _without(F.col(t), _BLANKS).cast("bigint")})
+    d = _cols(d, {k: F.filter(l_, lambda x: line_failure(x).isNull())})
+    kept_chars = _without(F.array_join(k, ""), _BLANKS)
+    d = _cols(d, {lost: F.when(F.col(c) > 0, F.col(c) - kept_chars).otherwise(F.lit(0)).cast("bigint")})
+    base_failed = (n < 50) | (100 * F.col(r) > 50 * n)
     rules = F.struct(
         n.cast("bigint").alias("n_words"),
-        F.col("__c").alias("word_chars"),
-        F.regexp_count(F.col("__t"), F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
-        F.col("__r").alias("n_repeat_words"),
+        F.col(c).alias("word_chars"),
+        (F.length(t) - _without(F.col(t), "#*$%&|<>")).cast("bigint").alias("n_symbols"),
+        (F.size(l_) - F.size(F.array_distinct(l_))).cast("bigint").alias("n_dup_lines"),
+        F.col(r).alias("n_repeat_words"),
         base_failed.alias("base_failed"),
-        F.col("__lost").alias("lost_chars"),
-        F.when(F.col(text_col).isNotNull(), F.array_join("__k", "\n")).alias("clean_text"),
-        (~base_failed & (F.col("__lost") <= max_lost * F.col("__c"))).alias("kept"),
+        F.col(lost).alias("lost_chars"),
+        F.when(F.col(there), F.array_join(k, "\n")).alias("clean_text"),
+        (~base_failed & (F.col(lost) <= max_lost * F.col(c))).alias("kept"),
     )
-    return d.select(*[d[c] for c in names], rules.alias("rules"))
+    return d.select(*[d[x] for x in names], rules.alias("rules"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +119,7 @@ m AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, len
       len(regexp_extract_all(x, '[\p{L}\p{N}.,;:][!#*$%&|<>?]{2,}')) AS piled, len(regexp_extract_all(x, '[|»›•>]')) AS seps FROM l),
 lost AS (SELECT r, sum(visible) AS n FROM m
   WHERE (10 * marks > 4 * visible) OR (piled >= 3 AND 4 * piled >= words) OR (words >= 5 AND 10 * upper > 6 * letters AND letters > 0) OR (seps >= 3 AND 5 * seps >= words)
-     OR (words <= 20 AND regexp_matches(x, '(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|accept (all )?cookies|enable javascript|subscribe to our|sign up for|click here|skip to (main )?content)')) GROUP BY r),
+     OR (words <= 20 AND regexp_matches(x, '(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|accept (all )?cookies|enable javascript|subscribe to our|sign up for|click here|skip to (main )?content|alle rechte vorbehalten|cookies akzeptieren|newsletter abonnieren|zum inhalt springen|tous droits réservés|politique de confidentialité|accepter les cookies|cliquez ici|todos los derechos reservados|política de privacidad|aceptar (las )?cookies|haga clic aquí)')) GROUP BY r),
 a AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
       len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0) AS lost
       FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
