@@ -3,7 +3,8 @@
 Resolution is an as-of join by canonical URL: the response with the greatest (time, sequence) below the revisit's. Records are
 dealt by range over (URL, time, sequence), so that a URL that holds a third of all rows is spread over many partitions. In
 each partition a window carries the last response of a URL; what a partition needs from those before it is one row, the
-last response before its first record, found from one row for each partition.
+last response before its first record, found from one row for each partition. The search carries headers, never payloads;
+these are joined to what was found.
 
 Validators: if both sides have an ETag, they must be equal (weak marks aside); otherwise, if both have Last-Modified, these;
 otherwise the match is unverified. Merged headers are the response's, with those of the revisit put over them that a 304 may
@@ -11,13 +12,13 @@ change (PERMITTED).
 
 Defined cases: null URL or time: no response is found and none is given. Equal times: the sequence decides. Repeated records:
 each is resolved for itself; records that agree in time and sequence don't see each other. Header names compare in lower case. Other columns
-are handed through; the added columns replace any of the same name.
+are handed through in one struct, whatever their names; the added columns replace any of the same name. Empty tables give empty ones.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,71 +46,134 @@ def resolve_revisits(records: DataFrame, key: str = "url_key", time: str = "ts",
 
     kind: `response` or `revisit`; headers: map with lower-case names. Responses resolve to themselves (status null). The status of a
     revisit is resolved, unverified, validator_mismatch or no_response; only the first two give headers and payload.
+    Payloads take no part in the search: they are joined to the revisits that are resolved, by key, time and sequence.
     """
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in records.columns if c not in ADDED]
     usable = F.col(key).isNotNull() & F.col(time).isNotNull()
-    given = F.when(usable & (F.col(kind) == "response"), F.struct(F.col(key).alias("k"), F.col(time).alias("t"), F.col(seq).alias("s"), F.col(headers).alias("h"), F.col(payload).alias("p")))
-    dealt = materialize(records.select(*names, given.alias("__r")).repartitionByRange(n, key, time, seq).withColumn("__p", F.spark_partition_id()))
-    order = F.struct(F.col("__r.k"), F.col("__r.t"), F.col("__r.s"))
-    last = dealt.where("__r is not null").groupBy("__p").agg(F.max_by("__r", order).alias("last"), F.max(order).alias("o"))
-    every = spark.range(n).select(F.col("id").cast("int").alias("__p")).join(last, "__p", "left")
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    carried = every.select("__p", F.last("last", ignorenulls=True).over(before).alias("__c"))
-    inside = Window.partitionBy("__p", key).orderBy("__rank").rangeBetween(Window.unboundedPreceding, -1)
-    ranked = dealt.withColumn("__rank", F.dense_rank().over(Window.partitionBy("__p", key).orderBy(F.col(time), F.col(seq))))
-    found = ranked.withColumn("__in", F.last("__r", ignorenulls=True).over(inside)).join(F.broadcast(carried), "__p", "left")
-    outside = F.when((F.col("__c.k") == F.col(key)) & ((F.col("__c.t") < F.col(time)) | (F.col("__c.s") < F.col(seq))), F.col("__c"))
-    found = found.withColumn("__f", F.when(usable & (F.col(kind) == "revisit"), F.coalesce("__in", outside)))
-    weak = lambda m, name: F.regexp_replace(F.element_at(m, name), "^W/", "")
-    mine, its = F.col(headers), F.col("__f.h")
-    etag = weak(mine, "etag") == weak(its, "etag")
-    modified = F.element_at(mine, "last-modified") == F.element_at(its, "last-modified")
+    # own columns, apart from those that are handed through
+    flat = records.select(
+        F.struct(*[records[c] for c in names]).alias("given"),
+        F.when(usable, F.col(key)).alias("k"),
+        F.col(time).alias("t"),
+        F.col(seq).alias("s"),
+        F.col(kind).alias("kind"),
+        F.col(headers).alias("h"),
+        F.col(payload).alias("p"),
+    )
+    given = F.when(F.col("k").isNotNull() & (F.col("kind") == "response"), F.struct("k", "t", "s", "h"))
+    dealt = materialize(flat.withColumn("r", given).repartitionByRange(n, "k", "t", "s").withColumn("part", F.spark_partition_id()))
+    order = F.struct(F.col("r.k"), F.col("r.t"), F.col("r.s"))
+    last = dealt.where("r is not null").groupBy("part").agg(F.max_by("r", order).alias("last"))
+    every = spark.range(n).select(F.col("id").cast("int").alias("part")).join(last, "part", "left")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition, without payloads
+    carried = every.select("part", F.last("last", ignorenulls=True).over(before).alias("c"))
+    inside = Window.partitionBy("part", "k").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.drop("p").withColumn("rank", F.dense_rank().over(Window.partitionBy("part", "k").orderBy("t", "s")))
+    found = ranked.withColumn("in", F.last("r", ignorenulls=True).over(inside)).join(F.broadcast(carried), "part", "left")
+    outside = F.when((F.col("c.k") == F.col("k")) & ((F.col("c.t") < F.col("t")) | (F.col("c.s") < F.col("s"))), F.col("c"))
+    found = found.withColumn("f", F.when(F.col("k").isNotNull() & (F.col("kind") == "revisit"), F.coalesce("in", outside)))
+    weak = lambda m: F.regexp_replace(F.element_at(m, "etag"), "^W/", "")
+    etag = weak(F.col("h")) == weak(F.col("f.h"))
+    modified = F.element_at(F.col("h"), "last-modified") == F.element_at(F.col("f.h"), "last-modified")
     agreed = F.coalesce(etag, modified)
-    status = F.when(F.col(kind) != "revisit", F.lit(None)).when(F.col("__f").isNull(), "no_response").when(agreed.isNull(), "unverified").when(agreed, "resolved").otherwise("validator_mismatch")
-    found = found.withColumn("revisit_status", status)
-    good = F.col("revisit_status").isin("resolved", "unverified")
+    status = F.when(~F.coalesce(F.col("kind") == "revisit", F.lit(False)), F.lit(None)).when(F.col("f").isNull(), "no_response").when(agreed.isNull(), "unverified").when(agreed, "resolved").otherwise("validator_mismatch")
     empty = F.expr("cast(map() as map<string,string>)")
-    over = F.map_filter(F.coalesce(mine, empty), lambda k, v: k.isin(*PERMITTED))
-    base = F.map_filter(F.coalesce(its, empty), lambda k, v: ~F.array_contains(F.map_keys(over), k))
-    own = F.col(kind) == "response"
-    return found.select(
-        *[found[c] for c in names],
-        F.when(own, F.col(seq)).when(good, F.col("__f.s")).alias("resolved_seq"),
-        "revisit_status",
-        F.when(own, mine).when(good, F.map_concat(base, over)).alias("merged_headers"),
-        F.when(own, F.col(payload)).when(good, F.col("__f.p")).alias("resolved_payload"),
-    )
+    over = F.map_filter(F.coalesce("h", empty), lambda k, v: k.isin(*PERMITTED))
+    base = F.map_filter(F.coalesce(F.col("f.h"), empty), lambda k, v: ~F.array_contains(F.map_keys(over), k))
+    own, good = F.coalesce(F.col("kind") == "response", F.lit(False)), F.coalesce(F.col("status").isin("resolved", "unverified"), F.lit(False))
+    merged = F.when(own, F.col("h")).when(good, F.map_concat(base, over))
+    at = F.when(good, F.struct(F.col("f.k"), F.col("f.t"), F.col("f.s")))
+    judged = materialize(found.withColumn("status", status).select("given", own.alias("own"), F.when(own, F.col("s")).when(good, F.col("f.s")).alias("seq"), "status", merged.alias("merged"), at.alias("at")))
+    # of responses that agree in key, time and sequence, the greatest payload
+    held = dealt.where("r is not null").groupBy("k", "t", "s").agg(F.max("p").alias("p"))
+    revisits = judged.where("at is not null").join(held, (F.col("at.k") == F.col("k")) & (F.col("at.t") == F.col("t")) & (F.col("at.s").eqNullSafe(F.col("s"))), "left")
+    mine = F.when(F.col("own"), F.col("given").getField(payload)).alias("p")
+    whole = judged.where("at is null").select("given", "seq", "status", "merged", mine).unionByName(revisits.select("given", "seq", "status", "merged", "p"))
+    return whole.select(*[F.col("given").getField(c).alias(c) for c in names], F.col("seq").alias("resolved_seq"), F.col("status").alias("revisit_status"), F.col("merged").alias("merged_headers"), F.col("p").alias("resolved_payload"))
+
+
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The gzip members of a file, or all of it if it isn't gzipped; where a member is cut or broken, what could be read of it
+    and what went wrong, and on with the next one that begins after it."""
+    at = 0
+    if data[:2] != GZIP[:2]:
+        yield data, None
+        return
+    while 0 <= at < len(data):
+        unzip, out, wrong = zlib.decompressobj(31), b"", None
+        try:
+            out = unzip.decompress(data[at:] if at else data)
+            if not unzip.eof:
+                wrong = "gzip member is cut short"
+        except zlib.error as e:
+            wrong = f"gzip member is broken: {e}"
+        yield out, wrong
+        if wrong:
+            at = data.find(GZIP, at + 1)
+        else:
+            at = data.find(GZIP, len(data) - len(unzip.unused_data)) if unzip.unused_data else -1
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file's bytes, gzipped or not; a broken record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    f = io.BytesIO(data)
+    """Records of a WARC file's bytes, gzipped or not. A record that can't be read is a row with `error`; reading goes on at the
+    next line that begins a record."""
     seq = 0
-    while True:
-        line = f.readline()
-        if not line:
+    for part, wrong in members(data):
+        for row in _records(part):
+            yield {"seq": seq, **row}
+            seq += 1
+        if wrong:
+            yield {"seq": seq, **_BROKEN, "error": wrong}
+            seq += 1
+
+
+GZIP = b"\x1f\x8b\x08"
+_BROKEN = {"kind": None, "url": None, "date": None, "headers": None, "payload": None}
+
+
+def _records(data: bytes) -> Iterator[dict]:
+    at = 0
+    while at < len(data):
+        while data[at : at + 1] in (b"\r", b"\n", b" ", b"\t"):
+            at += 1
+        if at >= len(data):
             return
-        if not line.strip():
+        wrong, body, head = None, b"", {}
+        if not data.startswith(b"WARC/", at):
+            wrong = "no record begins here"
+        else:
+            f = io.BytesIO(memoryview(data)[at : at + MOST_HEAD])
+            f.readline()
+            head = _header_lines(f)
+            begin = at + f.tell()
+            length = head.get("content-length", "")
+            if not length.isascii() or not length.isdigit():
+                wrong = "record without a length"
+            elif begin + int(length) > len(data):
+                wrong = "record is cut short"
+            else:
+                body, end = data[begin : begin + int(length)], begin + int(length)
+        if wrong:
+            yield {**_BROKEN, "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "error": wrong}
+            found = data.find(b"\nWARC/", at + 1)
+            if found < 0:
+                return
+            at = found + 1
             continue
-        if not line.startswith(b"WARC/"):
-            return
-        head = _header_lines(f)
-        try:
-            body = f.read(int(head.get("content-length", "0")))
-        except ValueError:
-            return
+        at = end
         http: dict[str, str] = {}
         if head.get("content-type", "").startswith("application/http"):
             b = io.BytesIO(body)
             b.readline()
             http = _header_lines(b)
             body = b.read()
-        yield {"seq": seq, "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "headers": http, "payload": body}
-        seq += 1
+        yield {"kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "headers": http, "payload": body, "error": None}
+
+
+#: Bytes in which a record's own header must end.
+MOST_HEAD = 1 << 20
 
 
 def _header_lines(f: io.BytesIO) -> dict[str, str]:
@@ -121,19 +185,27 @@ def _header_lines(f: io.BytesIO) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path: file, seq, kind, url, url_key, ts, headers, payload. A file is read by one task."""
-    schema = "file string, seq long, kind string, url string, date string, headers map<string,string>, payload binary"
+    """Records of all WARC files under a path: file, seq, kind, url, url_key, ts, headers, payload, error. A file is read by one
+    task, record by record; it must fit in a binary value (2 GB)."""
+    schema = "file string, seq long, kind string, url string, date string, headers map<string,string>, payload binary, error string"
+    names = ["file", "seq", "kind", "url", "date", "headers", "payload", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
-                rows = [{"file": name, **r} for r in parse_warc(bytes(content))]
+                rows, held = [], 0
+                for r in parse_warc(bytes(content)):
+                    rows.append({"file": name, **r})
+                    held += len(r["payload"] or b"")
+                    if held >= 1 << 22 or len(rows) >= 1000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["file", "seq", "kind", "url", "date", "headers", "payload"])
+                    yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     made = files.mapInPandas(run, schema)
-    return made.select("file", "seq", "kind", "url", canonical_url(F.col("url")).alias("url_key"), F.try_to_timestamp("date").alias("ts"), "headers", "payload")
+    return made.select("file", "seq", "kind", "url", canonical_url(F.col("url")).alias("url_key"), F.try_to_timestamp("date").alias("ts"), "headers", "payload", "error")
 
 
 def captures(pages: DataFrame) -> DataFrame:
