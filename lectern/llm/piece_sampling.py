@@ -16,7 +16,9 @@ that a row's samples don't depend on partitions, batches or other rows (rows wit
 Decoding joins the pieces' bytes and takes off the blank that encoding puts in front; it gives back any text unchanged.
 
 Defined cases: null text: no samples, no rows. Empty text: one sample without pieces, log probability 0. Texts with fewer than k
-segmentations: all of them, inclusion score 0 (certain). A null key counts as empty text. Whole texts are encoded.
+segmentations: all of them, inclusion score 0 (certain). A null key counts as empty text. Whole texts are encoded. Ties of
+keys (of 53-bit noise) go to the earlier state. An empty table gives an empty one. Columns named like the added ones give way;
+any other name is handed through. The model file is the driver's; its bytes are broadcast.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, arrow_map, binary_values, mix, table, trim
+from lectern.llm.common import GOLD, U64, arrow_map, binary_values, mix, spare, table, trim
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
@@ -455,7 +457,7 @@ def encode_samples(docs: DataFrame, model_path: str = DEFAULT_MODEL, k: int = 2,
         kept = pa.RecordBatch.from_arrays(b.columns[:width], names=names).take(pa.array(rows, pa.int64())) if width else None
         return pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *made], names=[*names, *new.fieldNames()])
 
-    source = docs.select(*[docs[c] for c in names], F.col(id_col).cast("string").alias("__key"), F.col(text_col).cast("string").alias("__text"))
+    source = docs.select(*[docs[c] for c in names], *[F.col(c).cast("string").alias(n) for c, n in zip((id_col, text_col), spare(docs, "__key", "__text"))])
     return arrow_map(source, run, schema)
 
 
