@@ -162,7 +162,7 @@ def test_suffix_tree_brute_force(spark):
 
 def test_language_id():
     rows = [(f"the house and the garden with {i}", "en") for i in range(80)] + [(f"das haus und der garten mit {i}", "de") for i in range(80)]
-    model = language_id.train(rows)
+    model = language_id.train([(*language_id.slot_counts(t), lang) for t, lang in rows])
     assert model.predict("the garden and house")[0] == "en" and model.predict("der garten und haus")[0] == "de"
     assert model.predict(None)[0] == "und" and model.predict("12 -")[:2] == ("und", 0.0)
 
@@ -206,7 +206,7 @@ def test_warc_records():
     body = b"HTTP/1.1 200 OK\r\nETag: 1\r\n\r\nhello"
     data = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\nContent-Type: application/http\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
     (row,) = warc.parse_warc(data)
-    assert row["kind"] == "response" and row["headers"] == {"etag": "1"} and row["payload"] == b"hello"
+    assert row["error"] is None and row["kind"] == "response" and row["headers"] == {"etag": "1"} and row["payload"] == b"hello"
 
 
 def test_quality_model(spark):

@@ -27,16 +27,11 @@ def test_apply_rules(spark):
 
 def test_deduplicate(spark):
     a, b, c, d = map(prose, range(4))
-    rows = [(5, a), (2, a), (2, a), (9, b), (7, c), (7, d), (8, d), (None, prose(9)), (11, None)]
+    rows = [(5, a), (2, a), (2, a), (9, b), (7, c), (6, c), (7, d), (8, d), (None, prose(9)), (11, None), (12, None)]
     got = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA), "").collect()]
-    # texts are the same or have nothing in common: a component is the ids that share texts, directly or by others
-    left, least = list(rows), {i: i for i, _ in rows if i is not None}
-    for _ in left:
-        for i, t in left:
-            for j, u in left:
-                if t is not None and t == u and i is not None and j is not None:
-                    least[i] = least[j] = min(least[i], least[j])
-    want = {(i, t) for i, t in rows if i is None or least[i] == i}
+    # texts are the same or have nothing in common: a component is a text
+    least = {t: min((i for i, u in rows if u == t and i is not None), default=None) for _, t in rows}
+    want = {(i, t) for i, t in rows if t is None or i == least[t]}
     assert len(got) == len(set(got)) and set(got) == want
 
 
