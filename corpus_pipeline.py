@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import keep_where, materialize, table
+from lectern.llm.common import keep_where, materialize, spare, table
 from lectern.llm.decontaminate import find_contamination
 from lectern.llm.ngram_join import ngram_components
 from lectern.llm.piece_sampling import encode_samples
@@ -29,10 +29,19 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of the n-gram Jaccard join; of repeated rows one stays."""
-    kept = ngram_components(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    stays = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    return stays.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """One document of each component of the n-gram Jaccard join: of those with the component's least doc_id, that with the least
+    set key and text hash, and of rows that repeat in doc_id and text one. Documents without a word have no component and stay.
+
+    A component whose documents all have a null doc_id keeps one of them; the key is the pair of doc_id and text, so that rows that
+    share a doc_id but not the text are told apart. Columns are handed through, whatever their names."""
+    found = ngram_components(docs)
+    least = found.where(F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("set_key", "id", "text_key")).alias("best"))
+    empty = found.where("component is null").select("id", "text_key")
+    kept = least.select("best.id", "best.text_key").union(empty).distinct().select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_text"))
+    (key,) = spare(docs, "__text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    stays = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (keyed[key] == kept["kept_text"]), "left_semi")
+    return stays.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
