@@ -8,28 +8,72 @@ from pyspark.sql import functions as F
 from lectern.functions.text import registry_text
 
 
-def lookup(queries: DataFrame, registry: DataFrame, by_word: bool = False) -> DataFrame:
-    """(query, status, registration): one active record whose name contains all of a query's tokens is FOUND, several are AMBIGUOUS; else
-    one inactive one is EXPIRED, several are AMBIGUOUS; else NOT_FOUND. Tokens may be parts of a name's words. Equal queries are looked up once.
-    by_word: tokens must be whole words, and of several inactive records the latest by id is EXPIRED, as the SQL of registry_lookup has it.
-
-    queries: (query); registry: (id, registration, name, active). Candidates are joined by one gram of the query's longest token, of 3
-    characters or else the token of 2, that the fewest names have; the names are then searched for all tokens.
-    """
-    q = queries.select("query").distinct().withColumn("tokens", F.filter(F.array_distinct(F.split(registry_text(F.col("query")), " ")), lambda t: F.length(t) >= 2))
+CARD = "/widget/med-product/"
+
+
+def tokens(query: Column) -> Column:
+    """The different words of a query that have two characters or more."""
+    return F.filter(F.array_distinct(F.split(registry_text(query), " ")), lambda t: F.length(t) >= 2)
+
+
+def contains_all(name: Column, words: Column) -> Column:
+    """Whether a normalized name contains all tokens, also as parts of words; there must be one."""
+    return (F.size(words) > 0) & F.forall(words, lambda t: F.contains(name, t))
+
+
+def choose(queries: DataFrame, answers: DataFrame, base_url: str = "") -> DataFrame:
+    """(query, status, registration, name, card): what the records that a search answered with say about each query.
+
+    answers: (query, id, registration, name, active). Of the active records those whose names contain all tokens count, or all of them if
+    none does: one is FOUND, several are AMBIGUOUS; without an active one the same holds of the inactive ones: one is EXPIRED, several
+    are AMBIGUOUS; a query without records is NOT_FOUND. Registrations have single blanks."""
+    q = queries.select("query").distinct()
+    exact = contains_all(registry_text(F.col("name")), tokens(F.col("query")))
+    a = answers.select("query", "id", "registration", "name", F.coalesce("active", F.lit(False)).alias("active"), F.coalesce(exact, F.lit(False)).alias("exact"))
+    record = F.struct("id", "registration", "name")
+    per = a.groupBy("query", "active").agg(F.count(F.lit(1)).alias("all"), F.count_if("exact").alias("n"), F.max(record).alias("any"), F.max(F.when(F.col("exact"), record)).alias("best"))
+    per = per.select("query", "active", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("n"), F.coalesce("best", "any").alias("r"))
+    both = per.groupBy("query").agg(F.max(F.when(F.col("active"), F.struct("n", "r"))).alias("live"), F.max(F.when(~F.col("active"), F.struct("n", "r"))).alias("old"))
+    one, used = F.coalesce("live", "old"), F.when(F.col("live").isNotNull(), "FOUND").otherwise("EXPIRED")
+    status = F.when(one.isNull(), "NOT_FOUND").when(one["n"] == 1, used).otherwise("AMBIGUOUS")
+    r = F.when(one["n"] == 1, one["r"])
+    return q.join(both, "query", "left").select("query", status.alias("status"), F.btrim(F.regexp_replace(r["registration"], r"\s+", " ")).alias("registration"), r["name"].alias("name"), F.concat(F.lit(base_url + CARD), r["id"].cast("string")).alias("card"))
+
+
+def search(queries: DataFrame, registry: DataFrame) -> DataFrame:
+    """(query, id, registration, name, active): the records of a registry table whose names contain all of a query's tokens.
+
+    Candidates are joined by one gram of the query's longest token, of 3 characters or else the token of 2, that the fewest names
+    have; the names are then searched for all tokens. Equal queries are looked up once."""
+    q = queries.select("query").distinct().withColumn("tokens", tokens(F.col("query")))
     longest = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
-    named = registry.withColumn("name", registry_text(F.col("name")))
-    by_gram = named.select("id", "registration", "active", "name", F.explode(F.array_distinct(F.concat(_grams(F.col("name"), 2), _grams(F.col("name"), 3)))).alias("key"))
+    named = registry.select("id", "registration", "name", "active", registry_text(F.col("name")).alias("words"))
+    by_gram = named.select("*", F.explode(F.array_distinct(F.concat(_grams(F.col("words"), 2), _grams(F.col("words"), 3)))).alias("key"))
     grams = q.where(F.size("tokens") > 0).select("query", "tokens", F.explode(_grams(longest, F.least(F.length(longest), F.lit(3)))).alias("key"))
     met = by_gram.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
     rarest = grams.join(met, "key", "left").groupBy("query", "tokens").agg(F.min_by("key", F.struct(F.coalesce("names", F.lit(0)), "key")).alias("key"))
-    words = F.split("name", " ")
-    hits = rarest.join(by_gram, "key").where(F.forall("tokens", lambda t: F.array_contains(words, t) if by_word else F.contains("name", t)))
-    found = hits.groupBy("query").agg(F.count_if("active").alias("n"), F.max_by("registration", F.when(F.col("active"), F.col("id"))).alias("live"), F.max_by("registration", F.when(~F.col("active"), F.col("id"))).alias("old"), F.count_if(~F.col("active")).alias("m"))
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    expired = (n == 0) & ((m >= 1) if by_word else (m == 1))
-    status = F.when(n == 1, "FOUND").when(n > 1, "AMBIGUOUS").when(expired, "EXPIRED").when(m > 1, "AMBIGUOUS").otherwise("NOT_FOUND")
-    return q.join(found, "query", "left").select("query", status.alias("status"), F.when(n == 1, F.col("live")).when(expired, F.col("old")).alias("registration"))
+    return rarest.join(by_gram, "key").where(contains_all(F.col("words"), F.col("tokens"))).select("query", "id", "registration", "name", "active")
+
+
+def lookup(queries: DataFrame, registry: DataFrame, base_url: str = "") -> DataFrame:
+    """As choose, with a registry table in place of the search service."""
+    return choose(queries, search(queries, registry), base_url)
+
+
+def expiry_notice(status: Column, expires: Column) -> Column:
+    """Of an expired registration: that it is, and since when if that is known; else null."""
+    since = F.concat(F.lit("Просрочено с "), F.date_format(expires, "dd.MM.yyyy"))
+    return F.when(status == "EXPIRED", F.coalesce(since, F.lit("Просрочено")))
+
+
+def enrich_rows(rows: DataFrame, found: DataFrame, plan: str = "plan") -> DataFrame:
+    """Rows of plans with the registration of their plan's lookup (plan, status, registration, expires) where it is FOUND or EXPIRED, and the
+    notice of an expired one in registrationNumberExpiryNotice; the rows of other plans keep what they have."""
+    known = found.where(F.col("status").isin("FOUND", "EXPIRED")).select(F.col(plan).alias("known_plan"), F.col("registration").alias("known_number"), expiry_notice(F.col("status"), F.col("expires")).alias("known_notice"))
+    joined = rows.join(known, F.col(plan) == F.col("known_plan"), "left")
+    names = [c for c in rows.columns if c not in ("registrationNumber", "registrationNumberExpiryNotice")]
+    before = F.col("registrationNumber") if "registrationNumber" in rows.columns else F.lit(None).cast("string")
+    return joined.select(*names, F.when(F.col("known_plan").isNotNull(), F.col("known_number")).otherwise(before).alias("registrationNumber"), F.col("known_notice").alias("registrationNumberExpiryNotice"))
 
 
 def _grams(text: Column, n: Column | int) -> Column:
