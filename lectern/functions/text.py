@@ -46,7 +46,16 @@ def normalize_title(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+    """Runs of letters and digits; a separator before the first of them counts as one more, and a blank text has one."""
+    t = F.btrim(text, F.lit(" \t\r\n"))
+    n = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+"))
+    return F.when(F.length(t) == 0, 1).otherwise(n + F.when((n > 0) & t.rlike(r"^[^\p{L}\p{N}]"), 1).otherwise(0))
+
+
+def leading_number(text: Column) -> Column:
+    """The dotted number that a heading begins with, without leading zeros in its parts; null if there is none."""
+    number = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)", 1)
+    return F.when(number != "", F.array_join(F.transform(F.split(number, r"\."), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")), "."))
 
 
 def visible_length(text: Column) -> Column:
@@ -101,15 +110,25 @@ def strip_fence(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"^```[^\n]*\n", ""), r"\n?```$", ""), F.lit(" \t\r\n"))
 
 
-def positive_numbers(text: Column, span: int = 100) -> Column:
-    """Numbers and ranges (`3-5`, any dash) of a text as distinct positive integers in order; null if there are none or a range is wider than span."""
-    parts = F.regexp_extract_all(text, F.lit(r"\d+\s*[-–—]\s*\d+|\d+"), F.lit(0))
-    ends = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int").alias("a"), F.regexp_extract(p, r"(\d+)$", 1).try_cast("int").alias("b")))
-    bad = F.exists(ends, lambda e: e["a"].isNull() | e["b"].isNull() | (e["a"] < 1) | (e["b"] < e["a"]) | (e["b"] - e["a"] > span))
-    numbers = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(e["a"], e["b"]))))
+def positive_numbers(values: Column, span: int = 100) -> Column:
+    """An array of texts, each a number or a range (`3-5`, any dash), as distinct positive integers in order.
+
+    Null if there is none, or if one of them is anything else: other text around it, zero, a range that falls or is wider than span."""
+    ends = F.transform(
+        F.transform(values, lambda v: F.btrim(v, F.lit(" \t\r\n"))),
+        lambda p: F.when(p.rlike(r"^\d+(\s*[-–—]\s*\d+)?$"), F.struct(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int").alias("a"), F.regexp_extract(p, r"(\d+)$", 1).try_cast("int").alias("b"))),
+    )
+    bad = F.exists(ends, lambda e: F.coalesce(e["a"].isNull() | e["b"].isNull() | (e["a"] < 1) | (e["b"] < e["a"]) | (e["b"] - e["a"] > span), F.lit(True)))
+    numbers = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.when((e["a"] >= 1) & (e["b"] >= e["a"]) & (e["b"] - e["a"] <= span), F.sequence(e["a"], e["b"])))))
     return F.when(~bad & (F.size(ends) > 0), numbers)
 
 
+def json_numbers(json: Column, span: int = 100) -> Column:
+    """positive_numbers of a JSON number, text, or array of these, nested up to three deep; null for anything else."""
+    leaves = lambda v, deep: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: leaves(x, deep - 1))) if deep else F.array(F.lit("").cast("string"))).otherwise(F.array(F.when(F.schema_of_variant(v).isin("STRING", "BIGINT"), F.try_variant_get(v, "$", "string")).otherwise("")))
+    return positive_numbers(leaves(F.try_parse_json(json), 3), span)
+
+
 def registry_text(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
