@@ -79,24 +79,58 @@ def multipart(plan: dict, document: bytes, boundary: str) -> bytes:
     return body + f"--{boundary}--\r\n".encode()
 
 
-def render_plans(plans: DataFrame, plan: str = "plan", json_col: str = "json") -> DataFrame:
-    """(plan, docx, multipart, error). The boundary follows from the plan's text; null, other JSON and plans without a device have an error and no bytes."""
+def _made(plans: DataFrame, plan: str, json_col: str, columns: tuple[str, ...], make) -> DataFrame:
+    """A column for each of what `make` gives for a plan's text and its JSON, and `error` in place of these."""
     kind = plans.schema[plan].dataType.simpleString()
 
-    def one(text: str | None) -> tuple[bytes | None, bytes | None, str | None]:
+    def one(text: str | None) -> tuple:
         try:
-            parsed = json.loads(text)
-            made = docx(parsed)
-            return made, multipart(parsed, made, f"plan-{uuid.uuid5(uuid.NAMESPACE_OID, text).hex}"), None
+            return *make(text, json.loads(text)), None
         except (ValueError, TypeError, KeyError, AttributeError) as e:
-            return None, None, f"{type(e).__name__}: {e}"
+            return *(None for _ in columns), f"{type(e).__name__}: {e}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [one(t) for t in f[json_col]]
-            yield pd.DataFrame({plan: f[plan], **{c: [g[k] for g in got] for k, c in enumerate(("docx", "multipart", "error"))}})
+            yield pd.DataFrame({plan: f[plan], **{c: [g[k] for g in got] for k, c in enumerate((*columns, "error"))}})
+
+    return plans.select(plan, json_col).mapInPandas(run, f"{plan} {kind}, " + "".join(f"{c} binary, " for c in columns) + "error string")
+
+
+def render_documents(plans: DataFrame, plan: str = "plan", json_col: str = "json") -> DataFrame:
+    """(plan, docx, error): as render_plans, without the multipart bodies."""
+    return _made(plans, plan, json_col, ("docx",), lambda _, parsed: (docx(parsed),))
+
+
+def read_texts(documents: DataFrame, column: str = "docx") -> DataFrame:
+    """Replace a column of DOCX bytes by `paragraphs`, the texts of their paragraphs in order; null bytes have null."""
+    names = [c for c in documents.columns if c not in (column, "paragraphs")]
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names) + ", paragraphs array<string>"
+
+    def texts(data: bytes | None) -> list[str] | None:
+        import xml.etree.ElementTree as tree
+
+        if data is None:
+            return None
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            root = tree.fromstring(z.read("word/document.xml"))
+        return ["".join(t.text or "" for t in p.iter(f"{{{_W}}}t")) for p in root.iter(f"{{{_W}}}p")][:-1]  # the last one closes the table
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[names].assign(paragraphs=[texts(bytes(d) if d is not None else None) for d in f[column]])
+
+    return documents.select(*names, column).mapInPandas(run, schema)
+
+
+def render_plans(plans: DataFrame, plan: str = "plan", json_col: str = "json") -> DataFrame:
+    """(plan, docx, multipart, error). The boundary follows from the plan's text; null, other JSON and plans without a device have an error and no bytes."""
+
+    def make(text: str, parsed: dict) -> tuple[bytes, bytes]:
+        made = docx(parsed)
+        return made, multipart(parsed, made, f"plan-{uuid.uuid5(uuid.NAMESPACE_OID, text).hex}")
 
-    return plans.select(plan, json_col).mapInPandas(run, f"{plan} {kind}, docx binary, multipart binary, error string")
+    return _made(plans, plan, json_col, ("docx", "multipart"), make)
 
 
 def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
