@@ -44,10 +44,11 @@ def _pages(spark, sf_dir):
 
 @query(f"""WITH {LINES} SELECT doc, line, pages, edge_pages FROM f WHERE pages > 1""")
 def line_frequency(spark, sf_dir):
-    return noise.line_frequency(noise.lines(_pages(spark, sf_dir), "doc", "page", "text")).where("pages > 1")
+    return noise.line_frequency(noise.page_lines(_pages(spark, sf_dir), "doc", "page", "text")).where("pages > 1")
 
 
-_NOISE = f"""WITH {LINES}, z AS (SELECT f.doc, line, pages FROM f JOIN p ON f.doc = p.doc WHERE pages >= greatest(3, ceil(n_pages * {NOISE_RATIO})) AND (edge_pages >= greatest(3, ceil(n_pages * {NOISE_RATIO})) OR regexp_matches(line, 'https?://|www\\.'))
+_URL = r"https?://\S|www\.\S|[\p{L}\p{N}_-]\.\p{L}{2,}|(^|\s)\.\p{L}{2,}([^\p{L}\p{N}_]|$)"
+_NOISE = f"""WITH {LINES}, z AS (SELECT f.doc, line, pages FROM f JOIN p ON f.doc = p.doc WHERE pages >= greatest(3, ceil(n_pages * {NOISE_RATIO})) AND (edge_pages >= greatest(3, ceil(n_pages * {NOISE_RATIO})) OR regexp_matches(line, '{_URL}'))
   AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+.+'))"""
 
 
@@ -70,10 +71,15 @@ def clean_pages(spark, sf_dir):
     return noise.clean_pages(pages, noise.line_noise(pages, ratio=NOISE_RATIO))
 
 
-@query(f"""WITH {LINES}, z AS (SELECT f.doc, line, pages FROM f JOIN p ON f.doc = p.doc WHERE length(line) BETWEEN 2 AND 7 AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '\\p{{N}}') AND pages >= 1)
-SELECT doc, line, pages FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS k FROM z) WHERE k >= 2""")
+_SHORT = LINES.replace("coalesce(text, '')", "coalesce(text, '') || chr(10) || 'kg.' || chr(10) || chr((97 + doc_id // 16 % 8)::INTEGER) || 'q'")
+
+
+@query(f"""WITH {_SHORT}, z AS (SELECT f.doc, line, pages FROM f JOIN p ON f.doc = p.doc WHERE length(line) BETWEEN 2 AND 7 AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '\\p{{N}}') AND pages >= greatest(3, ceil(n_pages * 0.05)) AND regexp_replace(line, '\\p{{P}}', '', 'g') NOT IN ({', '.join(repr(x) for x in noise.PROTECTED)}))
+SELECT doc, line, pages FROM (SELECT *, count(*) OVER (PARTITION BY doc) AS k FROM z) WHERE k >= 6""")
 def fragment_noise(spark, sf_dir):
-    return noise.fragment_noise(_pages(spark, sf_dir), ratio=0.0, least=1, gate=2)
+    """The documents with a unit and one of eight short marks at the end of each page."""
+    tail = F.concat(F.lit("\nkg.\n"), F.char(97 + F.floor(F.col("page") / 16) % 8), F.lit("q"))
+    return noise.fragment_noise(_pages(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), tail)), ratio=0.05)
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, chr(160), ' ', 'g'), '\r\n|\r|\f', chr(10), 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \t\n') AS normal FROM documents""")
@@ -81,7 +87,7 @@ def page_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.normalize_page(F.col("text")).alias("normal"))
 
 
-@query(r"""SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::BIGINT AS letters, len(regexp_extract_all(text, '[\p{L}\p{N}]+'))::BIGINT AS words, md5(regexp_replace(translate(lower(text), 'ё', 'е'), '[^\p{L}\p{N}]+', '', 'g')) AS compact_md5,
+@query(r"""SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::BIGINT AS letters, CASE WHEN trim(text, E' \t\r\n') = '' THEN 1 ELSE len(regexp_extract_all(text, '[\p{L}\p{N}]+')) + CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') AND regexp_matches(trim(text, E' \t\r\n'), '^[^\p{L}\p{N}]') THEN 1 ELSE 0 END END::BIGINT AS words, md5(regexp_replace(translate(lower(text), 'ё', 'е'), '[^\p{L}\p{N}]+', '', 'g')) AS compact_md5,
  CASE WHEN length(text) <= 420 THEN text ELSE text[1:320] || chr(10) || '…' || chr(10) || right(text, 90) END AS excerpt FROM documents""")
 def text_measures(spark, sf_dir):
     t = F.col("text")
@@ -93,19 +99,19 @@ def html_text(spark, sf_dir):
     return html.read_html(_t(spark, sf_dir, "pages")).select("page_id", T.normalize_page(F.col("text")).alias("text"))
 
 
-_RECTS = """r AS (SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS id,
+_RECTS = """r AS (SELECT l_suppkey AS doc, l_linenumber AS page, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS id,
  (l_partkey % 60 * 10)::BIGINT AS t, (l_orderkey % 40 * 10)::BIGINT AS l, (l_partkey % 60 * 10 + 15 + l_quantity)::BIGINT AS b, (l_orderkey % 40 * 10 + 20 + l_quantity)::BIGINT AS r, (l_quantity)::BIGINT AS q FROM lineitem)"""
 
 
 def _rects(spark, sf_dir):
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     return _t(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("page"), F.row_number().over(order).cast("long").alias("id"), (F.col("l_partkey") % 60 * 10).alias("t"), (F.col("l_orderkey") % 40 * 10).alias("l"),
+        F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), F.row_number().over(order).cast("long").alias("id"), (F.col("l_partkey") % 60 * 10).alias("t"), (F.col("l_orderkey") % 40 * 10).alias("l"),
         (F.col("l_partkey") % 60 * 10 + 15 + F.col("l_quantity")).cast("long").alias("b"), (F.col("l_orderkey") % 40 * 10 + 20 + F.col("l_quantity")).cast("long").alias("r"), F.col("l_quantity").cast("long").alias("q"),
     )
 
 
-_PAIRS = f"""WITH {_RECTS}, o AS (SELECT a.page, a.id AS a, b.id AS b, (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) AS shared FROM r a JOIN r b ON a.page = b.page AND a.id < b.id AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b
+_PAIRS = f"""WITH {_RECTS}, o AS (SELECT a.doc, a.page, a.id AS a, b.id AS b, (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) AS shared FROM r a JOIN r b ON a.doc = b.doc AND a.page = b.page AND a.id < b.id AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b
  WHERE 100 * (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) >= 70 * least((a.r - a.l) * (a.b - a.t), (b.r - b.l) * (b.b - b.t)))"""
 
 
@@ -114,7 +120,7 @@ def rectangle_overlaps(spark, sf_dir):
     return geometry.overlaps(_rects(spark, sf_dir))
 
 
-@query(f"{_PAIRS}, s AS (SELECT page, a, b FROM o UNION ALL SELECT page, b, a FROM o) SELECT DISTINCT x.page, x.a AS id FROM s x JOIN s y ON x.page = y.page AND x.a = y.a AND x.b < y.b LEFT JOIN o ON o.page = x.page AND o.a = x.b AND o.b = y.b WHERE o.page IS NULL")
+@query(f"{_PAIRS}, s AS (SELECT doc, page, a, b FROM o UNION ALL SELECT doc, page, b, a FROM o) SELECT DISTINCT x.doc, x.page, x.a AS id FROM s x JOIN s y ON x.doc = y.doc AND x.page = y.page AND x.a = y.a AND x.b < y.b LEFT JOIN o ON o.doc = x.doc AND o.page = x.page AND o.a = x.b AND o.b = y.b WHERE o.page IS NULL")
 def spanning_rectangles(spark, sf_dir):
     return geometry.spanning(_rects(spark, sf_dir))
 
@@ -136,7 +142,7 @@ def table_islands(spark, sf_dir):
 
 _HEADINGS = """h AS (SELECT CAST(r_regionkey AS VARCHAR) AS doc, r_regionkey * 1000000 AS ord, (r_regionkey + 1) || ' ' || r_name AS line FROM region
  UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_regionkey * 1000000 + (n_nationkey + 1) * 10000, (n_regionkey + 1) || '.' || (n_nationkey + 1) || ' ' || replace(n_name, '_', ' ') FROM nation
- UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_regionkey * 1000000 + (n_nationkey + 1) * 10000 + s_suppkey % 10000, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) WHEN s_suppkey % 3 = 1 THEN 'IV. ' || s_name ELSE 'about ' || s_name || ' ' || s_suppkey END FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+ UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_regionkey * 1000000 + (n_nationkey + 1) * 10000 + 1 + s_suppkey % 9999, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) WHEN s_suppkey % 3 = 1 THEN 'IV. ' || s_name ELSE 'about ' || s_name || ' ' || s_suppkey END FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 def _headings(spark, sf_dir):
@@ -146,7 +152,7 @@ def _headings(spark, sf_dir):
     mid = nation.select(F.col("n_regionkey").cast("string").alias("doc"), at.alias("ord"), F.concat(F.col("n_regionkey") + 1, F.lit("."), F.col("n_nationkey") + 1, F.lit(" "), F.replace(F.col("n_name"), F.lit("_"), F.lit(" "))).alias("line"))
     k = F.col("s_suppkey") % 3
     name = F.when(k == 0, F.upper("s_name")).when(k == 1, F.concat(F.lit("IV. "), "s_name")).otherwise(F.concat(F.lit("about "), "s_name", F.lit(" "), F.col("s_suppkey").cast("string")))
-    low = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("doc"), (at + F.col("s_suppkey") % 10000).alias("ord"), name.alias("line"))
+    low = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("doc"), (at + 1 + F.col("s_suppkey") % 9999).alias("ord"), name.alias("line"))
     return top.unionByName(mid).unionByName(low)
 
 
@@ -159,12 +165,14 @@ def heading_schemes(spark, sf_dir):
     return found.withColumn("level", F.coalesce(structure.heading_level(F.col("scheme"), line, F.lit(False)), F.lit(0)))
 
 
-@query()
+@query(rf"""WITH {_HEADINGS}, s AS (SELECT *, CASE WHEN regexp_matches(line, '^\d+ \p{{L}}') THEN line END AS one, CASE WHEN regexp_matches(line, '^\d+\.\d+ \p{{L}}') THEN line END AS two FROM h),
+w AS (SELECT doc, ord, last_value(one IGNORE NULLS) OVER v AS a, last_value(two IGNORE NULLS) OVER v AS b FROM s WINDOW v AS (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING))
+SELECT doc, ord, concat_ws(' > ', a, b) AS path FROM w""")
 def section_paths(spark, sf_dir):
     line = F.col("line")
     found = _headings(spark, sf_dir).withColumn("scheme", structure.heading_scheme(line))
     decimal = F.col("scheme") == "DECIMAL"
-    return structure.section_paths(found.select("doc", "ord", F.when(decimal, structure.heading_level(F.col("scheme"), line, F.lit(False))).alias("level"), F.when(decimal, line).alias("heading")))
+    return structure.section_paths(found.select("doc", "ord", F.when(decimal, structure.heading_level(F.col("scheme"), line, F.lit(False))).alias("level"), F.when(decimal, line).alias("heading"))).withColumn("path", F.array_join("path", " > "))
 
 
 @query(rf"""WITH {LINES} SELECT doc, page, count(CASE WHEN regexp_matches(line, '\.{{2,}}|…{{2,}}') OR (regexp_matches(line, '\s\d{{1,4}}\s*$') AND length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) >= 3) THEN 1 END) AS entries, count(*) AS lines FROM e GROUP BY doc, page""")
@@ -211,27 +219,21 @@ def contrast_search(spark, sf_dir):
 
 @query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) ::INTEGER AS new_number, max(c) OVER (PARTITION BY conv_id) = 1 AS valid FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS c FROM conversations)""")
 def renumbered_rows(spark, sf_dir):
-    turns = _t(spark, sf_dir, "conversations").withColumn("number", F.struct("turn", "role", "text"))
-    found = registry.renumber(turns, "conv_id", "number").drop("valid")
-    times = found.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn")))
-    return times.withColumn("valid", F.max("c").over(Window.partitionBy("conv_id")) == 1).select("conv_id", "turn", "role", "new_number", "valid")
+    return registry.renumber(_t(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "new_number", "valid")
 
 
-@query(r"""WITH g AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size % 4 <> 0 AS active, 'R' || p_partkey AS registration FROM part),
-w AS (SELECT id, active, registration, string_split(trim(regexp_replace(name, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM g),
-q AS (SELECT DISTINCT p_name AS query FROM part), t AS (SELECT query, list_filter(list_distinct(string_split(trim(regexp_replace(lower(query), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')), lambda x: length(x) >= 2) AS ts FROM q),
-h AS (SELECT query, count(CASE WHEN active THEN 1 END) AS n, count(CASE WHEN NOT active THEN 1 END) AS m, arg_max(registration, CASE WHEN active THEN id END) AS live, arg_max(registration, CASE WHEN NOT active THEN id END) AS old FROM t JOIN w ON list_has_all(ws, ts) WHERE len(ts) > 0 GROUP BY query)
-SELECT t.query, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'AMBIGUOUS' WHEN m > 0 THEN 'EXPIRED' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN live WHEN n = 0 AND m > 0 THEN old END AS registration FROM t LEFT JOIN h USING (query)""")
+@query(r"""WITH w AS (SELECT p_partkey AS id, regexp_replace(lower(p_name || ' ' || p_brand || ' X' || p_partkey), '[^\p{L}\p{N}]+', ' ', 'g') AS name, p_size % 4 <> 0 AS active, 'R' || p_partkey AS registration FROM part),
+q AS (SELECT DISTINCT substr(p_name, 2) || ' ' || substr(p_brand, 4) || ' ' || p_size % 7 AS query FROM part), t AS (SELECT query, list_filter(list_distinct(string_split(trim(regexp_replace(lower(query), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')), lambda x: length(x) >= 2) AS ts FROM q),
+h AS (SELECT query, count(CASE WHEN active THEN 1 END) AS n, count(CASE WHEN NOT active THEN 1 END) AS m, arg_max(registration, CASE WHEN active THEN id END) AS live, arg_max(registration, CASE WHEN NOT active THEN id END) AS old FROM t JOIN w ON len(list_filter(ts, lambda x: NOT contains(name, x))) = 0 WHERE len(ts) > 0 GROUP BY query)
+SELECT t.query, CASE WHEN n = 1 THEN 'FOUND' WHEN n > 1 THEN 'AMBIGUOUS' WHEN m = 1 THEN 'EXPIRED' WHEN m > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN live WHEN n = 0 AND m = 1 THEN old END AS registration FROM t LEFT JOIN h USING (query)""")
 def registry_lookup(spark, sf_dir):
+    """Queries of parts of words, looked up in a registry of all parts."""
     part = _t(spark, sf_dir, "part")
-    reg = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("registration"), F.col("p_name").alias("name"), (F.col("p_size") % 4 != 0).alias("active"))
-    return registry.lookup(part.select(F.col("p_name").alias("query")), reg, by_word=True)  # held to the SQL; the reference matches parts of words
-
-
-@query(r"""SELECT event_id, CAST(list_distinct(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS INTEGER))) IS NOT NULL AS BOOLEAN) AS has, len(list_distinct(list_filter(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL)))::INTEGER AS n FROM events""")
-def event_numbers(spark, sf_dir):
-    numbers = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("props", F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
-    return _t(spark, sf_dir, "events").select("event_id", numbers.isNotNull().alias("has"), F.size(numbers).alias("n"))
+    s = lambda c: F.col(c).cast("string")
+    names = F.concat("p_name", F.lit(" "), "p_brand", F.lit(" X"), s("p_partkey"))
+    reg = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("R"), s("p_partkey")).alias("registration"), names.alias("name"), (F.col("p_size") % 4 != 0).alias("active"))
+    asked = F.concat(F.substr("p_name", F.lit(2)), F.lit(" "), F.substr("p_brand", F.lit(4)), F.lit(" "), (F.col("p_size") % 7).cast("string"))
+    return registry.lookup(part.select(asked.alias("query")), reg).select("query", "status", "registration")
 
 
 _GRIDS = """g AS (SELECT o_custkey AS id, list_concat(CASE WHEN o_custkey % 2 = 0 THEN [['Order', 'Priority', 'Status']] ELSE [] END,
@@ -285,7 +287,7 @@ def text_outside_tables(spark, sf_dir):
     return found.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-_MARKED = """m AS (SELECT o_custkey % 40 AS doc, (o_orderkey // 7 % 60)::INTEGER AS page, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['I', 'III', 'IV', 'VI', 'IX', 'V'][o_orderkey // 6 % 6 + 1] ELSE ['A', 'C', 'D', 'А'][o_orderkey // 2 % 4 + 1] END AS marker, o_orderkey % 2 = 0 AS roman FROM orders WHERE o_orderkey % 3 = 0)"""
+_MARKED = """m AS (SELECT o_custkey % 40 AS doc, (o_orderkey // 7 % 60)::INTEGER AS page, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['I', 'III', 'IV', 'VI', 'IX', 'V'][o_orderkey // 6 % 6 + 1] ELSE ['A', 'C', 'D', 'А'][o_orderkey // 2 % 4 + 1] END AS marker, o_orderkey % 2 = 0 AS roman FROM orders)"""
 
 
 def _marked(spark, sf_dir):
@@ -293,7 +295,7 @@ def _marked(spark, sf_dir):
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     half, roman = F.floor(key / 2), key % 2 == 0
     marker = F.when(roman, pick(["I", "III", "IV", "VI", "IX", "V"], F.floor(key / 6) % 6)).otherwise(pick(["A", "C", "D", "А"], half % 4))
-    return _t(spark, sf_dir, "orders").where(key % 3 == 0).select((F.col("o_custkey") % 40).alias("doc"), (F.floor(key / 7) % 60).cast("int").alias("page"), "o_orderkey", marker.alias("marker"), roman.alias("roman"))
+    return _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("doc"), (F.floor(key / 7) % 60).cast("int").alias("page"), "o_orderkey", marker.alias("marker"), roman.alias("roman"))
 
 
 @query(f"""WITH {_MARKED}, n AS (SELECT *, CASE marker WHEN 'I' THEN 1 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'VI' THEN 6 WHEN 'IX' THEN 9 ELSE 5 END AS v FROM m WHERE roman)
@@ -348,11 +350,11 @@ def cell_prefixes(spark, sf_dir):
     return headings.cell_prefixes(lines, part.where("p_partkey % 2 = 0").select(*at, F.array(F.array("p_name")).alias("rows"))).select("p_partkey")
 
 
-@query("""WITH t AS (SELECT l_orderkey, (l_linenumber % 3)::DOUBLE AS top, l_partkey::DOUBLE AS lft, CAST(l_quantity::BIGINT AS VARCHAR) AS cell FROM lineitem WHERE l_orderkey % 4 <> 0)
+@query("""WITH t AS (SELECT l_orderkey, (l_linenumber % 3)::DOUBLE AS top, l_partkey::DOUBLE AS lft, CAST(l_quantity::BIGINT AS VARCHAR) AS cell FROM lineitem)
 SELECT o_orderkey, count(cell)::INTEGER AS n_tables, coalesce(string_agg(cell, ',' ORDER BY top, lft, cell), '') AS cells FROM orders LEFT JOIN t ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def pages_with_tables(spark, sf_dir):
     at = [F.lit("d").alias("doc"), F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 3).cast("double").alias("top"), F.col("l_partkey").cast("double").alias("left")]
-    boxes = _t(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").select(*at, F.array(F.array(F.col("l_quantity").cast("long").cast("string"))).alias("rows"))
+    boxes = _t(spark, sf_dir, "lineitem").select(*at, F.array(F.array(F.col("l_quantity").cast("long").cast("string"))).alias("rows"))
     pages = _t(spark, sf_dir, "orders").select(F.lit("d").alias("doc"), F.col("o_orderkey").alias("page")).distinct()
     found = overlap.pages_with_tables(pages, boxes)
     return found.select(F.col("page").alias("o_orderkey"), F.size("tables").alias("n_tables"), F.array_join(F.transform("tables", lambda t: t["rows"][0][0]), ",").alias("cells"))
@@ -421,15 +423,25 @@ def registry_records(spark, sf_dir):
     return registry_source.read_records(answers).drop("expires")
 
 
-@query("""SELECT conv_id, turn, '{"sections": [], "consumables": []}' AS content FROM conversations""")
+def _echo(prompt: str) -> str:
+    if len(prompt) % 11 == 0:
+        raise TimeoutError
+    return prompt[:40] if len(prompt) % 5 else "  "
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(t) % 5 > 0 AND length(t) % 11 > 0 THEN substr(t, 1, 40) END AS content, CASE WHEN length(t) % 11 = 0 THEN 'TimeoutError' WHEN length(t) % 5 = 0 THEN 'LLM_INVALID_RESPONSE' END AS error FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
 def completions(spark, sf_dir):
     prompts = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("prompt"))
-    return completion_source.complete(prompts.select(F.to_json("id").alias("id"), "prompt")).select(F.get_json_object("id", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("id", "$.turn").cast(prompts.schema["id"].dataType["turn"].dataType).alias("turn"), "content")
+    return completion_source.complete(prompts.select(F.to_json("id").alias("id"), "prompt"), _echo).select(F.get_json_object("id", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("id", "$.turn").cast(prompts.schema["id"].dataType["turn"].dataType).alias("turn"), "content", "error")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 3 <> 0 AS made FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN concat_ws('|', '""" + docx.TITLE + """' || o_orderpriority, """ + ", ".join(f"'{h}'" for h in docx.HEADINGS) + """, o_custkey, o_orderpriority, '', '— ' || o_orderstatus, '', '', '') END AS text FROM orders""")
 def rendered_plans(spark, sf_dir):
+    """The texts of the made documents, paragraph by paragraph; a plan without a device has none."""
     key = F.col("o_orderkey")
     row = F.struct(F.col("o_custkey").alias("number"), F.when(key % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("deviceName"), F.array("o_orderstatus").alias("maintenanceWorkDescription"))
     plans = _t(spark, sf_dir, "orders").select(key.alias("plan"), F.to_json(F.struct(F.array(F.struct(F.array(row).alias("rows"))).alias("sections"))).alias("json"))
-    return docx.render_plans(plans).select(F.col("plan").alias("o_orderkey"), F.coalesce(F.col("error").isNull() & (F.length("docx") > 0), F.lit(False)).alias("made"))
+    return docx.read_texts(docx.render_documents(plans)).select(F.col("plan").alias("o_orderkey"), F.array_join("paragraphs", "|").alias("text"))
+
+
+from lectern.plans import document_queries  # noqa: E402, F401  registers its queries here
