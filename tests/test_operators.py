@@ -13,8 +13,12 @@ def test_text_functions(spark):
     assert one(spark, "A  B​c ", T.normalize_for_compare) == "a bc"
     assert one(spark, "xiv", T.roman_value) == 14
     assert one(spark, "1.2.99999999999", T.decimal_number) == [1, 2, None]
-    assert one(spark, "3, 5-7 and 5", T.positive_numbers) == [3, 5, 6, 7]
-    assert one(spark, "0", T.positive_numbers) is None
+    for json, want in (('"3"', [3]), ('["3", "5 – 7", 5]', [3, 5, 6, 7]), ('[[1], [2, ["4-4"]]]', [1, 2, 4]), ("7", [7])):
+        assert one(spark, json, T.json_numbers) == want
+    for json in ('"0"', '"page 3 of 5"', '"5-3"', '"1-200"', "[]", "{}", "1.5", "true", "null", None, "no json"):
+        assert one(spark, json, T.json_numbers) is None
+    assert one(spark, "007.010 x", T.leading_number) == "7.10" and one(spark, "x 1", T.leading_number) is None
+    assert [one(spark, x, T.count_words) for x in ("a b", "(a) b", "", " - ")] == [2, 3, 1, 0]
     assert one(spark, "```json\n{}\n```", T.strip_fence) == "{}"
     assert one(spark, "a\r\n\r\n\r\n b ", T.normalize_page) == "a\n\nb"
 
