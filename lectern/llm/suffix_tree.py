@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over tokens.
 
 Symbols are the lower-cased words of a text, then one end; all words that training never met are one symbol, unknown.
-States are contexts of up to DEPTH tokens of the text. A context's successors are kept if they follow it at least LEAST
+States are contexts of up to three tokens of the text. A context's successors are kept if they follow it at least LEAST
 times; a context is retained if its count times the Kullback-Leibler divergence of its next-symbol distribution (its
 kept successors, and all others as one) from that of the context without its first token reaches MIN_GAIN nats. Both
 bounds are absolute: the tree grows with the input, and a passage is treated alike in a small and in a large table.
@@ -9,15 +9,19 @@ bounds are absolute: the tree grows with the input, and a passage is treated ali
 Smoothing: a count loses DISCOUNT, what is freed goes to the shorter retained suffix, at the root to the unknown symbol.
 Every token is predicted from the longest retained suffix of what stands before it, and every distribution adds up to 1.
 
-All training texts are counted, by shuffles on the hash of words and sequences; sequences first by their hash alone, then
-those that a filter of a fixed size (2**FILTER_BITS, it never turns a frequent one away) lets through with their context
-and suffix. The tree is a table of nodes by the hash of the sequence: its weight after its context (for a word, its count)
-and what it leaves to its suffix as a context. Nodes are joined to the different sequences of each block of texts, and
-the found ones grouped with the texts of their block. Where a filter is full it lets all through: slower, the same result.
-Counts of words of at least HEAD_MIN of all tokens (at most 1 / HEAD_MIN) are broadcast too.
+The tree is dealt by the last token of a context: all contexts that end with one token, and so each with all its suffixes, are
+in one shard. Each block of texts sends every different run of four tokens once to the shard of its third token, with
+how often training met it and which texts of the block have it; the shard adds up the counts of all blocks, grows its part of the tree,
+and scores the same runs with it. Texts, sequences and tree cross the network once, in this one shuffle of packed runs;
+what comes back are sums for each text. A shard has about SHARD runs: a token with more than that is dealt to several by the token before
+it, and each of these gets the token's own successors, counted beforehand.
+Counts of the HEADS most frequent words at most are broadcast, and give runs short codes; counts of rarer words are joined to the shards
+that need them.
 
 Defined cases: null text is empty: one token, the end. No training rows: N = V = 0 and every score is 0. Repeated
-rows are rows of their own; a null doc_id counts as empty text in the split. Other columns are not read.
+rows are rows of their own; a null doc_id counts as empty text in the split. Ties: none matters. Texts of any length are scored
+whole: sums of a text are added up in double precision from single-precision sums of its runs by shard, so that they hold about
+seven digits. An empty table gives an empty one. Columns that aren't asked for aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, discard, materialize, merged_counters, mix, sliced, table, word_hashes
+from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, materialize, mix, sliced, table, trim, word_hashes
 
-DEPTH, LEAST, MIN_GAIN, HEAD_MIN, FILTER_BITS = 3, 2, 10.0, 1e-6, 26
-BLOCK_TOKENS, BLOCK_BYTES = 1_000_000, 1 << 21
+LEAST, MIN_GAIN, HEADS, SHARD, BLOCK_TOKENS = 2, 10.0, 1 << 20, 1 << 21, 1 << 19
 END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
+RUNS, COUNTS, PAIRS, IDS, SUMS = range(5)  # kinds of rows
 
 
 def token_stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,46 +54,33 @@ def token_stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return tokens, sizes
 
 
-def sequences(tokens: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 2 .. depth + 1: end positions, keys of the n tokens, of their contexts, and of them without the first token."""
-    ok = np.ones(len(tokens), bool)
-    ends = tokens == END
-    key = mix(tokens + U64(1))
-    whole, power = tokens.copy(), U64(1)
-    for n in range(2, depth + 2):
-        with np.errstate(over="ignore"):
-            power = power * GOLD
-            if len(tokens) < n:
-                return
-            step = np.zeros(len(tokens), U64)
-            step[n - 1 :] = tokens[: len(tokens) - n + 1] * power
-            whole = whole + step
-            ok[: n - 1] = False
-            ok[n - 1 :] &= ~ends[: len(tokens) - n + 1]
-            now = mix(whole + U64(n))
-        p = np.nonzero(ok)[0]
-        yield n, p, now[p], key[p - 1], key[p]
-        key = now
-
-
-def blocks(batches: Iterator[pa.RecordBatch], text: int = 0) -> Iterator[np.ndarray]:
-    held, n = [], 0
+def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of about BLOCK_TOKENS tokens, their tokens, and the number of tokens of each row; a longer text is a block."""
+    rows, held, n = [], [], 0
+
+    def made():
+        return pa.Table.from_batches(rows), np.concatenate([t for t, _ in held]), np.concatenate([s for _, s in held])
+
+    trim()
     for b in (part for whole in batches for part in sliced(whole, text)):
-        tokens, _ = token_stream(binary_values(b.column(text)))
-        held.append(tokens)
+        tokens, sizes = token_stream(binary_values(b.column(text)))
+        rows.append(b)
+        held.append((tokens, sizes))
         n += len(tokens)
         if n >= BLOCK_TOKENS:
-            yield np.concatenate(held)
-            held, n = [], 0
+            yield made()
+            rows, held, n = [], [], 0
     if held:
-        yield np.concatenate(held)
+        yield made()
+    rows, held, b = [], [], None
+    trim()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """One text column -> (h, c): counts of tokens by hash, the end among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens in blocks(batches):
+        for _, tokens, _ in blocks(batches, 0):
             u, c = np.unique(tokens, return_counts=True)
             for at in range(0, len(u), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 500_000].view(np.int64)), pa.array(c[at : at + 500_000])], names=["h", "c"])
@@ -97,192 +88,484 @@ def count_words(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Lookup:
-    """Keys with values; a bitmap over the keys' first bits turns most other keys away."""
-
-    bits = 22
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        self.met = np.zeros(1 << self.bits, bool)
-        self.met[(keys >> U64(64 - self.bits)).astype(np.int64)] = True
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in wanted that have a value, and the values."""
-        at = np.nonzero(self.met[(wanted >> U64(64 - self.bits)).astype(np.int64)])[0]
-        if not len(at):
-            return at, self.values[:0]
-        i = np.minimum(np.searchsorted(self.keys, wanted[at]), len(self.keys) - 1)
-        hit = self.keys[i] == wanted[at]
-        return at[hit], self.values[i[hit]]
-
-
 @dataclass
-class Tree:
-    depth: int
+class Model:
+    """What all shards share: totals, and the counts of the most frequent words, by code (frequent first) and by hash."""
+
     total: int
     different: int
     discount: float
-    heads: tuple[np.ndarray, np.ndarray]  # hash, count
-    nodes: DataFrame  # k: key of a sequence, w: its weight after its context (of a word, its count), rest: what it leaves to its suffix
+    shards: int
+    split: int  # a word with more occurrences is dealt to several shards
+    hashes: np.ndarray  # sorted
+    codes: np.ndarray  # of the sorted hashes
+    counts: np.ndarray  # by code
 
     @property
     def unknown(self) -> float:
         return self.discount * self.different / self.total if self.total else 1.0
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts - self.discount) / self.total
-
+    @property
+    def floor(self) -> float:
+        return float(np.log10(self.total + self.different + 1))
+
+    def code(self, words: np.ndarray) -> np.ndarray:
+        """Codes of word hashes, -1 for words that are none of the heads."""
+        if not len(self.hashes):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.codes[at], -1)
+
+    def parts(self, codes: np.ndarray) -> np.ndarray:
+        """To how many shards the words of these codes are dealt."""
+        c = np.where(codes >= 0, self.counts[np.maximum(codes, 0)], 0) if len(self.counts) else np.zeros(len(codes), np.int64)
+        return np.maximum(1, -(-c // self.split))
+
+    def shard(self, word: np.ndarray, part: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(word + (part.astype(U64) + U64(1)) * GOLD) % U64(self.shards)).astype(np.int64)
 
-def longs(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(U64)
 
+def prepare(words: DataFrame, shard: int = SHARD, heads: int = HEADS) -> Model:
+    """The totals and heads of a table of word counts; at most `heads` words reach the driver."""
+    total, different, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    met = {r[0]: r[1] for r in words.groupBy(F.least("c", F.lit(4096)).alias("c")).count().collect()}
+    least, n = 4097, 0
+    for c in range(4096, 0, -1):
+        n += met.get(c, 0)
+        if n > heads:
+            break
+        least = c
+    if least > 4096 and met:  # more frequent words than fit: those of a share of all tokens that only so many can have
+        least = max(4097, -(-total // max(heads, 1)))
+    head = words.where(F.col("c") >= least).toPandas()
+    order = np.lexsort((head["h"].to_numpy(np.int64), -head["c"].to_numpy(np.int64)))
+    hashes, counts = head["h"].to_numpy(np.int64).view(U64)[order], head["c"].to_numpy(np.int64)[order]
+    by_hash = np.argsort(hashes)
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Model(int(total), int(different), once / (once + 2 * twice) if once and twice else 0.5, max(partitions, -(-int(total) // shard)), max(1, shard // 2), hashes[by_hash], by_hash, counts)
 
-def key_filter(rows: DataFrame) -> np.ndarray:
-    """Packed bits, by the first bits of the keys in a column."""
-    return np.packbits(merged_counters(rows, lambda batch: longs(batch.column(0)), FILTER_BITS, flags=True))
 
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of nonnegative 32-bit integers, byte by byte of all, compressed."""
+    import zstandard
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys >> U64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    parts = [np.array([len(c) for c in columns], np.uint32).tobytes()]
+    for c in columns:
+        parts.append(np.ascontiguousarray(np.asarray(c).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def word_keys(words: DataFrame) -> DataFrame:
-    """(h, c) -> (k, c): keys of words as sequences of one token."""
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(longs(b.column(0)) + U64(1)).view(np.int64)), b.column(1)], names=["k", "c"])
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes, at, out = np.frombuffer(raw, np.uint32, n), 4 * n, []
+    for size in sizes.tolist():
+        planes = np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size)
+        out.append(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1).astype(np.int64))
+        at += 4 * size
+    return out
 
-    return arrow_map(words.select("h", "c"), run, "k long, c long")
 
+def _before(tokens: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+    """The token k places before each, 0 where the text begins later."""
+    out = np.zeros(len(tokens), U64)
+    out[k:] = tokens[: len(tokens) - k]
+    out[reach < k] = 0
+    return out
 
-def count_sequences(texts: DataFrame, depth: int, least: int) -> DataFrame:
-    """One text column -> (key, ctx, suf, c) of all sequences of 2 .. depth + 1 tokens that occur at least `least` times."""
-    spark = texts.sparkSession
 
-    def count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens in blocks(batches):
-            for _, _, key, _, _ in sequences(tokens, depth):
-                u, c = np.unique(key, return_counts=True)
-                for at in range(0, len(u), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 200_000].view(np.int64)), pa.array(c[at : at + 200_000].astype(np.int32))], names=["key", "c"])
+def _reach(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    frequent = materialize(arrow_map(texts, count_keys, "key long, c int").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key"))
-    sent = spark.sparkContext.broadcast(key_filter(frequent))
-    discard(frequent)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens in blocks(batches):
-            for _, _, key, ctx, suf in sequences(tokens, depth):
-                may = np.nonzero(passes(sent.value, key))[0]
-                u, first, c = np.unique(key[may], return_index=True, return_counts=True)
-                first = may[first]
-                cols = [*(x.view(np.int64) for x in (u, ctx[first], suf[first])), c]
-                for at in range(0, len(u), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in cols], names=["key", "ctx", "suf", "c"])
+def _dealt(model: Model, before: np.ndarray, word: np.ndarray, codes: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The shard of each run: that of its third token, or of the last one where the text begins with it."""
+    part = (mix(before + U64(1)) % model.parts(codes).astype(U64)).astype(np.int64)
+    return np.where(word == 0, model.shard(token, np.zeros(len(token), np.int64)), model.shard(word, part))
 
-    counted = arrow_map(texts, count, "key long, ctx long, suf long, c long").groupBy("key", "ctx", "suf").agg(F.sum("c").alias("c"))
-    return materialize(counted.where(F.col("c") >= least))
 
+def deal(rows: DataFrame, model, id_fields: list[T.StructField]) -> DataFrame:
+    """(text, train, ids..) -> rows of kind RUNS (shard, block, data) and IDS (block, idx, n_tokens, n_known, base, ids..)."""
+    names = [f.name for f in id_fields]
 
-def grow(texts: DataFrame, words: DataFrame, depth: int = DEPTH, least: int = LEAST, min_gain: float = MIN_GAIN, head_min: float = HEAD_MIN) -> Tree:
-    """The tree of a text column, given its word counts."""
-    total, different, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    head = words.where(F.col("c") >= head_min * total).toPandas()  # at most 1 / head_min rows
-    heads = head["h"].to_numpy(np.int64).view(U64), head["c"].to_numpy(np.float64)
-    counted = count_sequences(texts, depth, least)
-    known = materialize(word_keys(words))
-    # counts of contexts: sequences that are one shorter, at length 1 words
-    contexts = known.where(F.col("c") >= least).select(F.col("k").alias("ctx"), F.col("c").alias("size")).unionByName(counted.select(F.col("key").alias("ctx"), F.col("c").alias("size")))
-    sized = materialize(counted.join(contexts, "ctx"))
-    # the same successor after the context without its first token
-    parents = known.where(F.col("c") >= least).select(F.col("k").alias("suf"), F.col("c").alias("pc"), F.lit(total).alias("ps")).unionByName(sized.select(F.col("key").alias("suf"), F.col("c").alias("pc"), F.col("size").alias("ps")))
-    c, size, q = (F.col(x).cast("double") for x in ("c", "size", "q"))
-    after = materialize(sized.join(parents, "suf").select("key", "ctx", "c", "size", (F.col("pc") / F.col("ps")).alias("q")))
-    found = after.groupBy("ctx").agg(F.max(size).alias("size"), F.sum(c).alias("c"), F.sum(q).alias("q"), F.sum(c * F.log(c / size / q)).alias("gain"), F.sum((c - 0.5) / size).alias("w"))
-    left = F.col("size") - F.col("c")
-    gain = F.col("gain") + F.when(left > 0, left * F.log(left / F.col("size") / F.greatest(1 - F.col("q"), F.lit(1e-12)))).otherwise(0.0)
-    kept = materialize(found.where(gain >= min_gain).select("ctx", F.greatest(1 - F.col("w"), F.lit(1e-9)).alias("rest")))
-    none = F.lit(None).cast("double")
-    parts = (
-        known.select("k", F.col("c").cast("double").alias("w"), none.alias("rest")),
-        after.join(kept.select("ctx"), "ctx").select(F.col("key").alias("k"), ((c - 0.5) / size).alias("w"), none.alias("rest")),
-        kept.select(F.col("ctx").alias("k"), none.alias("w"), "rest"),
-    )
-    nodes = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("k").agg(F.max("w").alias("w"), F.max("rest").alias("rest")))
-    discard(counted, known, sized, after, kept)
-    return Tree(depth, int(total), int(different), discount, heads, nodes)
-
-
-def in_blocks(source: DataFrame) -> DataFrame:
-    """A block number for each row; its last column is the text, blocks have about BLOCK_BYTES of it."""
-    fields = T.StructType([T.StructField("block", T.LongType()), *source.schema.fields])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        block = TaskContext.get().partitionId() << 32
+        for held, tokens, sizes in blocks(batches, 0):
+            train = np.nan_to_num(held.column(1).to_numpy(zero_copy_only=False).astype(np.float64)).astype(bool)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            u, inverse = np.unique(tokens, return_inverse=True)
+            code = m.code(u)
+            c = np.where(code >= 0, m.counts[np.maximum(code, 0)], 0) if len(m.counts) else np.zeros(len(u), np.int64)
+            known, base = (np.bincount(doc, weights=x[inverse], minlength=len(sizes)) for x in ((c > 0).astype(np.float64), np.where(code >= 0, np.log10(c + 1.0), 0.0)))
+            # ids of rows; their counts of rarer words come from the shards
+            yield _batch(names, kind=np.full(len(sizes), IDS), shard=np.arange(len(sizes)) % m.shards, block=np.full(len(sizes), block), idx=np.arange(len(sizes)), n_tokens=sizes, n_known=known.astype(np.int64), base=base - sizes * m.floor, ids=[held.column(n + 2).combine_chunks() for n in range(len(names))])
+            reach = _reach(sizes)
+            # a block's own numbers of tokens: heads by code, then the others
+            other = np.nonzero(code < 0)[0]
+            own = code.copy()
+            own[other] = len(m.hashes) + np.arange(len(other))
+            x = own[inverse] + 1  # 0 is the start
+            w, b, a = (np.where(reach >= k, np.concatenate([np.zeros(min(k, len(x)), np.int64), x[:-k]]), 0) if len(x) > k else np.zeros(len(x), np.int64) for k in (1, 2, 3))
+            head, tail = w << 32 | b, a << 32 | x
+            order = np.lexsort((doc, tail, head))
+            head, tail, doc = head[order], tail[order], doc[order]
+            new = np.ones(len(head), bool)
+            new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
+            first = np.flatnonzero(new)  # of each different run
+            post = new.copy()
+            post[1:] |= doc[1:] != doc[:-1]
+            at = np.flatnonzero(post)  # of each text that has it
+            times = np.diff(np.append(at, len(doc)))
+            learnt = np.add.reduceat(train[doc].astype(np.int64), first) if len(first) else first
+            texts = np.add.reduceat(post.astype(np.int64), first) if len(first) else first
+            lookup = np.concatenate([np.zeros(1, U64), np.zeros(len(m.hashes), U64), u[other]])
+            if len(m.hashes):
+                lookup[1 + m.codes] = m.hashes
+            word, before, token = lookup[head[first] >> 32], lookup[head[first] & 0xFFFFFFFF], lookup[tail[first] & 0xFFFFFFFF]
+            codes = np.where((head[first] >> 32) <= len(m.hashes), (head[first] >> 32) - 1, -1)
+            shard = _dealt(m, before, word, codes, token)
+            by = np.argsort(shard, kind="stable")
+            ends = np.cumsum(texts)
+            cuts = np.searchsorted(shard[by], np.arange(m.shards + 1))
+            out = []
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                g = by[cuts[s] : cuts[s + 1]]
+                cols = [head[first[g]] >> 32, head[first[g]] & 0xFFFFFFFF, tail[first[g]] >> 32, tail[first[g]] & 0xFFFFFFFF]
+                rare = np.unique(np.concatenate([v[v > len(m.hashes)] for v in cols]))
+                cols = [np.where(v > len(m.hashes), len(m.hashes) + 1 + np.searchsorted(rare, v), v) for v in cols]
+                which = np.repeat(ends[g] - texts[g], texts[g]) + np.arange(int(texts[g].sum())) - np.repeat(np.cumsum(texts[g]) - texts[g], texts[g])
+                hashes = lookup[rare]
+                out.append((s, pack([*cols, learnt[g], texts[g], doc[at[which]], times[which], hashes >> U64(32), hashes & U64(0xFFFFFFFF)])))
+            for lo in range(0, len(out), 64):
+                part = out[lo : lo + 64]
+                yield _batch(names, kind=np.full(len(part), RUNS), shard=np.array([s for s, _ in part]), block=np.full(len(part), block), data=[d for _, d in part], fields=id_fields)
+            block += 1
+
+    kinds = T.StructType([*_FIELDS.fields, *id_fields])
+    arrow = _arrow(kinds)
+
+    def _batch(names: list[str], ids=None, fields=None, **given) -> pa.RecordBatch:
+        n = len(given["kind"])
+        cols = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in list(arrow)[: len(_FIELDS)]]
+        cols += [c.cast(f.type) for c, f in zip(ids, list(arrow)[len(_FIELDS) :])] if ids is not None else [pa.nulls(n, f.type) for f in list(arrow)[len(_FIELDS) :]]
+        return pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, f.type) for f in arrow]))
+
+    return arrow_map(rows, run, kinds)
+
+
+_FIELDS = T.StructType().add("kind", "integer").add("shard", "long").add("block", "long").add("data", "binary").add("word", "long").add("next", "long").add("c", "long").add("idx", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double")
+
+
+def _arrow(fields: T.StructType) -> pa.Schema:
+    from lectern.llm.common import to_arrow
+
+    return to_arrow(fields)
+
+
+def rare_counts(texts: DataFrame, words: DataFrame, model) -> DataFrame:
+    """(shard, word, c): the counts of words that aren't heads, for the shards that predict them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for part in (part for whole in batches for part in sliced(whole, len(fields) - 2, BLOCK_BYTES // 4)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), *part.columns], names=fields.fieldNames())
-            held += part.column(len(fields) - 2).nbytes
-            if held >= BLOCK_BYTES:
-                block, held = block + 1, 0
+        m: Model = model.value
+        for _, tokens, sizes in blocks(batches, 0):
+            at = np.flatnonzero(m.code(tokens) < 0)
+            if not len(at):
+                continue
+            reach = _reach(sizes)
+            w, b = _before(tokens, reach, 1)[at], _before(tokens, reach, 2)[at]
+            shard = _dealt(m, b, w, m.code(w), tokens[at])
+            pairs = np.unique(np.stack([shard.astype(np.int64), tokens[at].view(np.int64)]), axis=1)
+            for lo in range(0, pairs.shape[1], 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 200_000]), pa.array(pairs[1, lo : lo + 200_000])], names=["shard", "word"])
 
-    return materialize(arrow_map(source, run, fields))
+    wanted = arrow_map(texts, run, "shard long, word long").distinct()
+    return wanted.join(words.select(F.col("h").alias("word"), "c"), "word").select("shard", "word", "c")
 
 
-def score(docs: DataFrame, words: DataFrame, tree: Tree, id_cols: list[str], text_col: str = "text", head_min: float = HEAD_MIN) -> DataFrame:
-    """id_cols and n_tokens, n_known, train_tokens, base_score, score for the texts of docs; words: the training counts."""
-    context = docs.sparkSession.sparkContext
-    fields = T.StructType([docs.schema[c] for c in id_cols]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    depth, total, discount, unknown = tree.depth, tree.total, tree.discount, tree.unknown
-    denominator = float(np.log10(tree.total + tree.different + 1))
-    sent, may = context.broadcast(tree.heads), context.broadcast(key_filter(tree.nodes.select("k")))
-    blocked = in_blocks(docs.select(*id_cols, F.col(text_col).cast("string").alias("__text")))
+def split_pairs(texts: DataFrame, model, least: int) -> DataFrame:
+    """(shard, word, next, c): what follows the words that are dealt to several shards, for each of these."""
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for _, tokens, sizes in blocks(batches, 0):
+            w = _before(tokens, _reach(sizes), 1)
+            at = np.flatnonzero((w != 0) & (m.parts(m.code(w)) > 1))
+            order = np.lexsort((tokens[at], w[at]))
+            x, y = w[at][order], tokens[at][order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            first = np.flatnonzero(new)
+            c = np.diff(np.append(first, len(x)))
+            for lo in range(0, len(first), 200_000):
+                f = first[lo : lo + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x[f].view(np.int64)), pa.array(y[f].view(np.int64)), pa.array(c[lo : lo + 200_000])], names=["word", "next", "c"])
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for b in batches:
+            word = np.asarray(b.column(0)).view(U64)
+            parts = m.parts(m.code(word))
+            row = np.repeat(np.arange(len(word)), parts)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            taken = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(m.shard(word[row], part)), *taken.columns], names=["shard", "word", "next", "c"])
+
+    counted = arrow_map(texts, count, "word long, next long, c long").groupBy("word", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return arrow_map(counted, copies, "shard long, word long, next long, c long").distinct()
+
+
+class Level:
+    """Contexts of one length in a shard: kept successors and, for retained contexts, what they leave to their suffix.
+
+    ctx and keys are sorted; a successor's key is its context's place and the code of the token."""
+
+    def __init__(self, ctx: np.ndarray, row_ctx: np.ndarray, x: np.ndarray, c: np.ndarray, size: np.ndarray, q: np.ndarray, least: int, min_gain: float):
+        kept = c >= least
+        place, x, c, q = row_ctx[kept], x[kept], c[kept].astype(np.float64), q[kept]
+        n = len(ctx)
+        of = size[place].astype(np.float64) if len(place) else np.zeros(0)
+        add = lambda v: np.bincount(place, weights=v, minlength=n) if len(place) else np.zeros(n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = add(c * np.log(c / of / q))
+            left = size - add(c)
+            gain += np.where(left > 0, left * np.log(left / size / np.maximum(1 - add(q), 1e-12)), 0.0)
+        some = add(np.ones(len(place))) > 0
+        self.ctx, self.size = ctx, size
+        self.retained = some & (gain >= min_gain)
+        self.rest = np.maximum(1 - add((c - 0.5) / of if len(of) else c), 1e-9)
+        self.keys, self.c, self.weight = place << 32 | x, c, (c - 0.5) / of if len(of) else c
+
+    def share(self, place: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """c / size of successors of contexts that have them."""
+        at = np.searchsorted(self.keys, place << 32 | x)
+        return self.c[at] / self.size[place]
+
+    def predict(self, place: np.ndarray, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities by the contexts at these places (-1: none), given those by their suffixes."""
+        there = place >= 0
+        there[there] = self.retained[place[there]]
+        at = np.flatnonzero(there)
+        if not len(at):
+            return p
+        key = place[at] << 32 | x[at]
+        k = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        own = np.where(self.keys[k] == key, self.weight[k], 0.0)
+        out = p.copy()
+        out[at] = own + self.rest[place[at]] * p[at]
+        return out
+
+
+def find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted values, -1 for those that aren't there."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return np.where(sorted_[at] == wanted, at, -1)
+
+
+def summed(keys: tuple[np.ndarray, ...], c: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Different rows of the key columns (the first sorts first), and the sums of c."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return tuple(k[first] for k in keys), np.add.reduceat(c[order], first) if len(first) else c[:0]
+
+
+class Shard:
+    """One shard's part of the tree."""
+
+    def __init__(self, m: Model, runs: list[bytes], counts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int, min_gain: float):
+        self.m, heads = m, len(m.hashes)
+        rare = [unpack(d, 10)[8:] for d in runs]
+        self.rare = np.unique(np.concatenate([(hi.astype(U64) << U64(32)) | lo.astype(U64) for hi, lo in rare] + [pairs[0], pairs[1], counts[0]])) if runs or len(pairs[0]) else np.zeros(0, U64)
+        self.rare = self.rare[m.code(self.rare) < 0]
+        self.count = np.zeros(len(self.rare), np.int64)
+        at = find(self.rare, counts[0])
+        self.count[at[at >= 0]] = counts[1][at >= 0]
+        table_: list[list[np.ndarray]] = []
+        for d in runs:
+            w, b, a, x, learnt = self.read(d)[:5]
+            t = learnt > 0
+            if t.any():
+                table_.append([w[t] << 32 | b[t], a[t] << 32 | x[t], learnt[t]])
+        head, tail, c = (np.concatenate([t[k] for t in table_]) if table_ else np.zeros(0, np.int64) for k in range(3))
+        (head, tail), c = summed((head, tail), c)
+        keep = head >> 32 > 0  # runs at the start of a text have no context
+        head, tail, c = head[keep], tail[keep], c[keep]
+        x = tail & 0xFFFFFFFF
+        # one token
+        (w1, x1), c1 = summed((head >> 32, x), c)
+        split = np.flatnonzero(m.parts(np.where(w1 <= heads, w1 - 1, -1)) > 1)
+        if len(split) or len(pairs[0]):
+            own = np.ones(len(w1), bool)
+            own[split] = False
+            w1, x1, c1 = (np.concatenate([v[own], p]) for v, p in ((w1, self.number(pairs[0])), (x1, self.number(pairs[1])), (c1, pairs[2])))
+            (w1, x1), c1 = summed((w1, x1), c1)
+        ctx, place = np.unique(w1, return_inverse=True)
+        size = np.bincount(place, weights=c1, minlength=len(ctx)) if len(ctx) else np.zeros(0)
+        whole = m.parts(np.where(ctx <= heads, ctx - 1, -1)) > 1  # of a split word all occurrences are known, not only pairs that are kept
+        size[whole] = m.counts[ctx[whole] - 1]
+        self.one = Level(ctx, place, x1, c1, size, self.unigram(x1) / max(m.total, 1), least, min_gain)
+        # two tokens
+        two = (head & 0xFFFFFFFF) > 0
+        (k2, x2), c2 = summed((head[two], x[two]), c[two])
+        ctx, place = np.unique(k2, return_inverse=True)
+        size = np.bincount(place, weights=c2, minlength=len(ctx)) if len(ctx) else np.zeros(0)
+        ok = c2 >= least
+        q = np.ones(len(c2))
+        q[ok] = self.one.share(np.searchsorted(self.one.ctx, ctx[place[ok]] >> 32), x2[ok])
+        self.two = Level(ctx, place, x2, c2, size, q, least, min_gain)
+        # three tokens: a context is the place of its last two and the first
+        three = (tail >> 32) > 0
+        h3, t3, c3 = head[three], tail[three], c[three]
+        key = np.searchsorted(self.two.ctx, h3) << 32 | t3 >> 32
+        ctx, place = np.unique(key, return_inverse=True)
+        size = np.bincount(place, weights=c3, minlength=len(ctx)) if len(ctx) else np.zeros(0)
+        ok, x3 = c3 >= least, t3 & 0xFFFFFFFF
+        q = np.ones(len(c3))
+        q[ok] = self.two.share(key[ok] >> 32, x3[ok])
+        order = np.lexsort((x3, place))
+        self.three = Level(ctx, place[order], x3[order], c3[order], size, q[order], least, min_gain)
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """The shard's numbers of tokens: heads by code, then the others; 0 is the start."""
+        code = self.m.code(words)
+        return np.where(code >= 0, code, len(self.m.hashes) + np.searchsorted(self.rare, words)) + 1
+
+    def unigram(self, numbers: np.ndarray) -> np.ndarray:
+        known = np.concatenate([self.m.counts, self.count])
+        return known[numbers - 1].astype(np.float64) if len(known) else np.zeros(len(numbers))
+
+    def read(self, data: bytes) -> list[np.ndarray]:
+        cols = unpack(data, 10)
+        heads = len(self.m.hashes)
+        back = heads + 1 + np.searchsorted(self.rare, (cols[8].astype(U64) << U64(32)) | cols[9].astype(U64))
+        if len(back):
+            cols[:4] = [np.where(v > heads, back[np.maximum(v - heads - 1, 0)], v) for v in cols[:4]]
+        return cols[:8]
+
+    def score(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of the block that have runs in this shard; sums of log10 p; how many rarer words are known; and their part of the base."""
+        w, b, a, x, _, texts, doc, times = self.read(data)
+        c = self.unigram(x)
+        m = self.m
+        p = np.where(c > 0, (c - m.discount) / max(m.total, 1), m.unknown)
+        p = self.one.predict(find(self.one.ctx, w), x, p)
+        at = find(self.two.ctx, w << 32 | b)
+        at[b == 0] = -1
+        p = self.two.predict(at, x, p)
+        deep = find(self.three.ctx, np.maximum(at, 0) << 32 | a)
+        deep[(at < 0) | (a == 0)] = -1
+        p = self.three.predict(deep, x, p)
+        run = np.repeat(np.arange(len(w)), texts)
+        rarer = x[run] > len(m.hashes)
+        met, place = np.unique(doc, return_inverse=True)
+        add = lambda v: np.bincount(place, weights=v * times, minlength=len(met))
+        return met, add(np.log10(p)[run]), add(rarer & (c[run] > 0)), add(np.where(rarer, np.log10(c + 1)[run], 0.0))
+
+
+def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "text", least: int = LEAST, min_gain: float = MIN_GAIN, shard: int = SHARD, heads: int = HEADS) -> DataFrame:
+    """id_cols and n_tokens, n_known, train_tokens, base_score, score of all texts of docs, by the tree of those where train is true."""
+    context = docs.sparkSession.sparkContext
+    text = F.col(text_col).cast("string").alias("text")
+    learnt = docs.where(train).select(text)
+    words = materialize(count_words(learnt))
+    m = prepare(words, shard, heads)
+    sent = context.broadcast(m)
+    id_fields = [T.StructField(f"id{k}", docs.schema[c].dataType) for k, c in enumerate(id_cols)]
+    rows = docs.select(text, F.coalesce(train, F.lit(False)).cast("int").alias("train"), *[F.col(c).alias(f.name) for c, f in zip(id_cols, id_fields)])
+    dealt = deal(rows, sent, id_fields)
+    columns = dealt.columns
+
+    def as_rows(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*[F.lit(kind).alias("kind") if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(dealt.schema[c].dataType).alias(c) for c in columns])
+
+    if m.different > len(m.hashes):  # else every word is a head
+        dealt = dealt.unionByName(as_rows(rare_counts(docs.select(text), words, sent), COUNTS))
+    if len(m.counts) and m.counts[0] > m.split:
+        dealt = dealt.unionByName(as_rows(split_pairs(learnt, sent, least), PAIRS))
+    ids = [f.name for f in id_fields]
+    out = T.StructType([f for f in dealt.schema.fields if f.name in ("block", "data", "idx", "n_tokens", "n_known", "base", *ids)])
+    arrow = _arrow(out)
+
+    def grow(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, blocks_, counts, pairs = [], [], [], []
+        for b in batches:
+            kind = np.asarray(b.column(b.schema.get_field_index("kind")))
+            col = lambda name, at: b.column(b.schema.get_field_index(name)).take(pa.array(at))  # noqa: B023, E731
+            if (kind == IDS).any():
+                at = np.flatnonzero(kind == IDS)
+                yield pa.RecordBatch.from_arrays([col(f.name, at).cast(f.type) for f in arrow], schema=arrow)
+            at = np.flatnonzero(kind == RUNS)
+            runs += col("data", at).to_pylist()
+            blocks_ += col("block", at).to_pylist()
+            for k, held, names in ((COUNTS, counts, ("word", "c")), (PAIRS, pairs, ("word", "next", "c"))):
+                at = np.flatnonzero(kind == k)
+                if len(at):
+                    held.append([np.asarray(col(n, at)) for n in names])
+        if not runs:
+            return
+        joined = lambda held, k, t: np.concatenate([h[k] for h in held]).view(t) if held else np.zeros(0, t)
+        part = Shard(sent.value, runs, (joined(counts, 0, U64), joined(counts, 1, np.int64)), (joined(pairs, 0, U64), joined(pairs, 1, U64), joined(pairs, 2, np.int64)), least, min_gain)
+        made: list[tuple[int, bytes]] = []
+        for block, data in zip(blocks_, runs):
+            met, *sums = part.score(data)
+            made.append((block, pack([met, *[s.astype(np.float32).view(np.uint32) for s in sums]])))
+            if len(made) == 256:
+                yield _sums(made)
+                made = []
+        if made:
+            yield _sums(made)
+        part = runs = None
+        trim()
+
+    def _sums(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        given = {"block": pa.array([b for b, _ in made], pa.int64()), "data": pa.array([d for _, d in made], pa.binary())}
+        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(len(made), f.type) for f in arrow], schema=arrow)
+
+    final = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in id_cols]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    wanted = _arrow(final)
+
+    def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_, sums = [], None
         for b in batches:
-            numbers = longs(b.column(0)).view(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                tokens, _ = token_stream(binary_values(b.column(1).slice(lo, hi - lo)))
-                keys = np.unique(np.concatenate([mix(tokens + U64(1)), *(key for _, _, key, _, _ in sequences(tokens, depth))]))
-                keys = keys[passes(may.value, keys)]
-                for at in range(0, len(keys), 200_000):
-                    part = keys[at : at + 200_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), numbers[lo])), pa.array(part)], names=["block", "k"])
-
-    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        k = longs(found.column("k"))
-        w, rest = (found.column(x).to_numpy().astype(np.float64) for x in ("w", "rest"))
-        weights, rests = (Lookup(k[ok], x[ok]) for x in (w, rest) for ok in (~np.isnan(x),))
-        tokens, sizes = token_stream(binary_values(texts.column("__text").combine_chunks()))
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        c = np.zeros(len(tokens))
-        for lookup, by in ((weights, mix(tokens + U64(1))), (Lookup(*sent.value), tokens)):
-            if len(lookup.keys):
-                at, v = lookup.find(by)
-                c[at] = v
-        p = np.where(c > 0, (c - discount) / max(total, 1), unknown)
-        for _, pos, key, ctx, _ in sequences(tokens, depth):
-            if not len(rests.keys):
-                break
-            hit, left = rests.find(ctx)
-            if len(hit):
-                w = np.zeros(len(hit))
-                got, value = weights.find(key[hit])
-                w[got] = value
-                p[pos[hit]] = w + left * p[pos[hit]]
-        sums = [np.bincount(doc, weights=x.astype(np.float64), minlength=len(sizes)).astype(np.float64) for x in (c > 0, np.log10(c + 1), np.log10(p))]
-        made = [sizes.astype(np.int64), sums[0].astype(np.int64), np.full(len(sizes), total, np.int64), sums[1] - sizes * denominator, sums[2]]
-        return pa.table([*(texts.column(x) for x in id_cols), *map(pa.array, made)], names=fields.fieldNames())
-
-    hits = arrow_map(blocked.select("block", "__text"), wanted, "block long, k long").join(tree.nodes, "k").select("block", "k", "w", "rest")
-    return blocked.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(scored, fields)
+            col = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
+            has = np.asarray(col("data").is_valid())
+            if (~has).any():
+                rows_.append(b.filter(pa.array(~has)))
+            for data in col("data").filter(pa.array(has)).to_pylist():
+                doc, *v = unpack(data, 4)
+                v = [x.astype(np.uint32).view(np.float32).astype(np.float64) for x in v]
+                if sums is None or (len(doc) and doc[-1] >= sums.shape[1]):
+                    grown = np.zeros((3, max(1024, 2 * int(doc[-1] if len(doc) else 0) + 1)))
+                    if sums is not None:
+                        grown[:, : sums.shape[1]] = sums
+                    sums = grown
+                for k in range(3):
+                    sums[k, doc] += v[k]  # a text is in a shard's sums once
+        t = pa.Table.from_batches(rows_).combine_chunks() if rows_ else None
+        if t is None:
+            return
+        idx = t.column("idx").to_numpy()
+        if sums is None or sums.shape[1] <= idx.max():
+            grown = np.zeros((3, int(idx.max()) + 1))
+            if sums is not None:
+                grown[:, : sums.shape[1]] = sums
+            sums = grown
+        known = t.column("n_known").to_numpy() + np.rint(sums[1, idx]).astype(np.int64)
+        total = sent.value.total
+        scores = sums[0, idx] if total else np.zeros(len(idx))
+        cols = [*(t.column(c) for c in ids), t.column("n_tokens"), pa.array(known), pa.array(np.full(len(idx), total, np.int64)), pa.array(t.column("base").to_numpy() + sums[2, idx]), pa.array(scores)]
+        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, wanted)], schema=wanted)
+
+    return dealt.groupBy("shard").applyInArrow(grow, out).groupBy("block").applyInArrow(gather, final)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -291,6 +574,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
-    train = docs.where("not held_out").select(F.col("text").cast("string").alias("text"))
-    words = materialize(count_words(train))
-    return score(docs, words, grow(train, words), ["doc_id", "held_out"])
+    return score(docs, ~F.col("held_out"), ["doc_id", "held_out"])

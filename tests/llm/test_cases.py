@@ -61,11 +61,10 @@ def test_overlaps_over_blocks_are_exact(spark):
 
 
 def test_suffix_tree_without_training_rows(spark):
-    none = spark.createDataFrame([], "text string")
-    words = suffix_tree.count_words(none)
-    tree = suffix_tree.grow(none, words)
-    got = suffix_tree.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), words, tree, ["doc_id"]).orderBy("doc_id").collect()
-    assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = suffix_tree.score(docs, F.lit(False), ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
+    assert suffix_tree.score(docs.where("doc_id = 9"), F.lit(True), ["doc_id"]).count() == 0
 
 
 def test_clashing_names(spark):

@@ -97,50 +97,45 @@ def test_contamination_passes(spark, docs):
 
 
 def test_suffix_tree(docs):
-    train = docs.where(~suffix_tree.held_out()).select("text")
-    words = suffix_tree.count_words(train)
-    tree = suffix_tree.grow(train, words)
-    got = suffix_tree.score(docs, words, tree, ["doc_id"]).collect()
+    got = suffix_tree.score(docs, ~suffix_tree.held_out(), ["doc_id"]).collect()
     assert len(got) == len(corpus()) and all(r.score <= 0 and r.n_known <= r.n_tokens for r in got)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    heads = tree.root(tree.heads[1]).sum() + tree.unknown
-    assert heads == pytest.approx(1.0)  # all words are heads here
 
 
 def test_suffix_tree_keeps_passages_at_any_size(spark):
     r = random.Random(4)
     filler = [(" ".join(r.choice("ba ce di fo gu".split()) for _ in range(3000)),) for _ in range(400)]  # 4e-6 of 1.2 million tokens is 4.8
     passages = [("zeta eta theta iota kappa",)] * 3
-    asked = spark.createDataFrame([(1, "zeta eta theta iota kappa"), (2, "kappa iota theta eta zeta")], "doc_id long, text string")
     found = []
     for rows in (passages + filler[:4], passages + filler):
-        train = spark.createDataFrame(rows, "text string")
-        words = suffix_tree.count_words(train)
-        by = {x.doc_id: x.score for x in suffix_tree.score(asked, words, suffix_tree.grow(train, words), ["doc_id"]).collect()}
+        docs = spark.createDataFrame([(None, *x) for x in rows] + [(1, "zeta eta theta iota kappa"), (2, "kappa iota theta eta zeta")], "doc_id long, text string")
+        by = {x.doc_id: x.score for x in suffix_tree.score(docs, F.col("doc_id").isNull(), ["doc_id"]).where("doc_id is not null").collect()}
         found.append(by[1] - by[2])
     assert found[0] > 5 and found[1] > 5
 
 
-def test_suffix_tree_brute_force(spark):
-    rows = ["a b c d e"] * 8 + ["x b c q", "q b c q a", "", None, "a A b"] + ["u v w"] * 6
-    train = spark.createDataFrame([(x,) for x in rows], "text string")
-    asked = ["a b c d e", "x b c d", "v w zzz a", None, "q b c q"]
+def brute_force_tree(rows, asked):
+    """(n_tokens, n_known, base, score) of the asked texts, by sequences listed one by one."""
     lists = [[*(x or "").lower().split(), 0] for x in rows]
     n = Counter(tuple(x[i - k + 1 : i + 1]) for x in lists for i in range(len(x)) for k in range(1, 5) if i >= k - 1)
     total, kinds = sum(map(len, lists)), [v for k, v in n.items() if len(k) == 1]
     discount = kinds.count(1) / (kinds.count(1) + 2 * kinds.count(2)) if kinds.count(1) and kinds.count(2) else 0.5
     share = lambda ctx, w: n[(*ctx, w)] / (n[ctx] if ctx else total)
     tree = {}
-    for ctx in {k[:-1] for k, v in n.items() if len(k) > 1 and v >= 2}:
-        after = {k[-1]: v for k, v in n.items() if k[:-1] == ctx and v >= 2}
+    follow = {}
+    for k, v in n.items():
+        if len(k) > 1 and v >= 2:
+            follow.setdefault(k[:-1], {})[k[-1]] = v
+    for ctx, after in follow.items():
         left, left_q = n[ctx] - sum(after.values()), max(1 - sum(share(ctx[1:], w) for w in after), 1e-12)
         gain = sum(v * math.log(v / n[ctx] / share(ctx[1:], w)) for w, v in after.items()) + (left * math.log(left / n[ctx] / left_q) if left else 0)
         if gain >= 10:
             weights = {w: (v - 0.5) / n[ctx] for w, v in after.items()}
             tree[ctx] = weights, max(1 - sum(weights.values()), 1e-9)
     assert tree
-
-    def log_p(words):
+    out = []
+    for text in asked:
+        words = [*(text or "").lower().split(), 0]
         score = 0.0
         for i, w in enumerate(words):
             p = (n[(w,)] - discount) / total if (w,) in n else discount * len(kinds) / total
@@ -148,16 +143,21 @@ def test_suffix_tree_brute_force(spark):
                 if (ctx := tuple(words[i - k : i])) in tree:
                     p = tree[ctx][0].get(w, 0.0) + tree[ctx][1] * p
             score += math.log10(p)
-        return score
-
-    words = suffix_tree.count_words(train)
-    for head_min in (1e-6, 2.0):  # all words broadcast, none
-        grown = suffix_tree.grow(train, words, head_min=head_min)
-        got = {x.doc_id: x for x in suffix_tree.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), words, grown, ["doc_id"]).collect()}
-        for i, x in enumerate(asked):
-            w = [*(x or "").lower().split(), 0]
-            assert got[i].score == pytest.approx(log_p(w)) and got[i].n_known == sum((y,) in n for y in w) and got[i].n_tokens == len(w)
-            assert got[i].base_score == pytest.approx(sum(math.log10((n[(y,)] + 1) / (total + len(kinds) + 1)) for y in w))
+        out.append((len(words), sum((y,) in n for y in words), sum(math.log10((n[(y,)] + 1) / (total + len(kinds) + 1)) for y in words), score))
+    return out
+
+
+def test_suffix_tree_brute_force(spark):
+    r = random.Random(11)
+    words = [a + b for a in "ka lo mi ne".split() for b in "ba ce di".split()]
+    rows = ["a b c d e"] * 8 + ["x b c q", "q b c q a", "", None, "a A b"] + ["u v w"] * 6 + [" ".join(r.choice(words) for _ in range(40)) for _ in range(30)] + ["a " * 60]
+    asked = ["a b c d e", "x b c d", "v w zzz a", None, "q b c q", "a a a a zz", " ".join(words), ""]
+    want = brute_force_tree(rows, asked)
+    docs = spark.createDataFrame([(k, x, False) for k, x in enumerate(asked)] + [(None, x, True) for x in rows], "doc_id long, text string, learn boolean").repartition(3)
+    for options in ({}, {"heads": 3}, {"heads": 0}, {"shard": 8}, {"shard": 8, "heads": 5}):  # all words broadcast, few, none; words dealt to several shards
+        got = {x.doc_id: x for x in suffix_tree.score(docs, F.col("learn"), ["doc_id", "learn"], **options).where("not learn").collect()}
+        for k, (n_tokens, n_known, base, score) in enumerate(want):
+            assert (got[k].n_tokens, got[k].n_known) == (n_tokens, n_known) and got[k].base_score == pytest.approx(base, rel=1e-5) and got[k].score == pytest.approx(score, rel=1e-5)
 
 
 def test_language_id():
