@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, materialize, mix, sliced, table, trim, word_hashes
 
-LEAST, MIN_GAIN, HEADS, SHARD, BLOCK_TOKENS = 2, 10.0, 1 << 20, 1 << 21, 1 << 19
+LEAST, MIN_GAIN, HEADS, SHARD, BLOCK_TOKENS = 2, 10.0, 1 << 19, 1 << 21, 1 << 19
 END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
 RUNS, COUNTS, PAIRS, IDS, SUMS = range(5)  # kinds of rows
 
@@ -76,12 +77,47 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Ta
     trim()
 
 
+def factor(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each token among the different ones, and these, in the order in which they come."""
+    inverse, u = pd.factorize(tokens.view(np.int64))
+    return inverse, u.view(U64)
+
+
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys replaced by small numbers of the same order, and how many there are."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.zeros(len(keys), np.int64)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new)
+    return out, int(new.sum()) + 1
+
+
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """As np.lexsort, the first key sorting first: keys are put into one number, which sorts faster than each by itself."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    whole, held = keys[0], None
+    for k in keys[1:]:
+        width = int(k.max()).bit_length()
+        if held is None or held + width > 62:
+            whole, n = ranks(whole)
+            held = n.bit_length()
+            if held + width > 62:
+                k, n = ranks(k)
+                width = n.bit_length()
+        whole, held = whole << width | k, held + width
+    return np.argsort(whole)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """One text column -> (h, c): counts of tokens by hash, the end among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, _ in blocks(batches, 0):
-            u, c = np.unique(tokens, return_counts=True)
+            inverse, u = factor(tokens)
+            c = np.bincount(inverse, minlength=len(u))
             for at in range(0, len(u), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 500_000].view(np.int64)), pa.array(c[at : at + 500_000])], names=["h", "c"])
 
@@ -138,9 +174,10 @@ def prepare(words: DataFrame, shard: int = SHARD, heads: int = HEADS) -> Model:
         least = c
     if least > 4096 and met:  # more frequent words than fit: those of a share of all tokens that only so many can have
         least = max(4097, -(-total // max(heads, 1)))
-    head = words.where(F.col("c") >= least).toPandas()
-    order = np.lexsort((head["h"].to_numpy(np.int64), -head["c"].to_numpy(np.int64)))
-    hashes, counts = head["h"].to_numpy(np.int64).view(U64)[order], head["c"].to_numpy(np.int64)[order]
+    head = words.where(F.col("c") >= least).select("h", "c").toArrow()
+    hashes, counts = head.column(0).to_numpy().astype(np.int64), head.column(1).to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes.view(U64)[order], counts[order]
     by_hash = np.argsort(hashes)
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Model(int(total), int(different), once / (once + 2 * twice) if once and twice else 0.5, max(partitions, -(-int(total) // shard)), max(1, shard // 2), hashes[by_hash], by_hash, counts)
@@ -163,7 +200,7 @@ def unpack(data: bytes, n: int) -> list[np.ndarray]:
     sizes, at, out = np.frombuffer(raw, np.uint32, n), 4 * n, []
     for size in sizes.tolist():
         planes = np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size)
-        out.append(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1).astype(np.int64))
+        out.append(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1))
         at += 4 * size
     return out
 
@@ -196,7 +233,7 @@ def deal(rows: DataFrame, model, id_fields: list[T.StructField]) -> DataFrame:
         for held, tokens, sizes in blocks(batches, 0):
             train = np.nan_to_num(held.column(1).to_numpy(zero_copy_only=False).astype(np.float64)).astype(bool)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            u, inverse = np.unique(tokens, return_inverse=True)
+            inverse, u = factor(tokens)
             code = m.code(u)
             c = np.where(code >= 0, m.counts[np.maximum(code, 0)], 0) if len(m.counts) else np.zeros(len(u), np.int64)
             known, base = (np.bincount(doc, weights=x[inverse], minlength=len(sizes)) for x in ((c > 0).astype(np.float64), np.where(code >= 0, np.log10(c + 1.0), 0.0)))
@@ -210,7 +247,7 @@ def deal(rows: DataFrame, model, id_fields: list[T.StructField]) -> DataFrame:
             x = own[inverse] + 1  # 0 is the start
             w, b, a = (np.where(reach >= k, np.concatenate([np.zeros(min(k, len(x)), np.int64), x[:-k]]), 0) if len(x) > k else np.zeros(len(x), np.int64) for k in (1, 2, 3))
             head, tail = w << 32 | b, a << 32 | x
-            order = np.lexsort((doc, tail, head))
+            order = ordered(head, a, x, doc)
             head, tail, doc = head[order], tail[order], doc[order]
             new = np.ones(len(head), bool)
             new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
@@ -271,15 +308,21 @@ def rare_counts(texts: DataFrame, words: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for _, tokens, sizes in blocks(batches, 0):
-            at = np.flatnonzero(m.code(tokens) < 0)
+            inverse, u = factor(tokens)
+            code = m.code(u)
+            at = np.flatnonzero(code[inverse] < 0)
             if not len(at):
                 continue
             reach = _reach(sizes)
             w, b = _before(tokens, reach, 1)[at], _before(tokens, reach, 2)[at]
-            shard = _dealt(m, b, w, m.code(w), tokens[at])
-            pairs = np.unique(np.stack([shard.astype(np.int64), tokens[at].view(np.int64)]), axis=1)
-            for lo in range(0, pairs.shape[1], 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 200_000]), pa.array(pairs[1, lo : lo + 200_000])], names=["shard", "word"])
+            shard = _dealt(m, b, w, np.where(reach[at] > 0, code[inverse[np.maximum(at - 1, 0)]], -1), tokens[at])
+            order = ordered(inverse[at], shard)
+            x, shard = inverse[at][order], shard[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (shard[1:] != shard[:-1])
+            x, shard = u[x[new]].view(np.int64), shard[new]
+            for lo in range(0, len(x), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lo : lo + 200_000]), pa.array(x[lo : lo + 200_000])], names=["shard", "word"])
 
     wanted = arrow_map(texts, run, "shard long, word long").distinct()
     return wanted.join(words.select(F.col("h").alias("word"), "c"), "word").select("shard", "word", "c")
@@ -291,14 +334,17 @@ def split_pairs(texts: DataFrame, model, least: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for _, tokens, sizes in blocks(batches, 0):
-            w = _before(tokens, _reach(sizes), 1)
-            at = np.flatnonzero((w != 0) & (m.parts(m.code(w)) > 1))
-            order = np.lexsort((tokens[at], w[at]))
-            x, y = w[at][order], tokens[at][order]
+            inverse, u = factor(tokens)
+            hot = m.parts(m.code(u)) > 1
+            at = np.flatnonzero((_reach(sizes)[1:] > 0) & hot[inverse[:-1]])  # the hot token stands at `at`, what follows at `at` + 1
+            x, y = inverse[at], inverse[at + 1]
+            order = ordered(x, y)
+            x, y = x[order], y[order]
             new = np.ones(len(x), bool)
             new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             first = np.flatnonzero(new)
             c = np.diff(np.append(first, len(x)))
+            x, y = u[x], u[y]
             for lo in range(0, len(first), 200_000):
                 f = first[lo : lo + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(x[f].view(np.int64)), pa.array(y[f].view(np.int64)), pa.array(c[lo : lo + 200_000])], names=["word", "next", "c"])
@@ -368,7 +414,7 @@ def find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def summed(keys: tuple[np.ndarray, ...], c: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Different rows of the key columns (the first sorts first), and the sums of c."""
-    order = np.lexsort(keys[::-1])
+    order = ordered(*keys)
     keys = tuple(k[order] for k in keys)
     new = np.ones(len(order), bool)
     if len(order):
@@ -377,23 +423,36 @@ def summed(keys: tuple[np.ndarray, ...], c: np.ndarray) -> tuple[tuple[np.ndarra
     return tuple(k[first] for k in keys), np.add.reduceat(c[order], first) if len(first) else c[:0]
 
 
+def grouped(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted array, and the place of each value among them."""
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return sorted_[new], np.cumsum(new) - 1
+
+
 class Shard:
     """One shard's part of the tree."""
 
     def __init__(self, m: Model, runs: list[bytes], counts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int, min_gain: float):
         self.m, heads = m, len(m.hashes)
-        rare = [unpack(d, 10)[8:] for d in runs]
-        self.rare = np.unique(np.concatenate([(hi.astype(U64) << U64(32)) | lo.astype(U64) for hi, lo in rare] + [pairs[0], pairs[1], counts[0]])) if runs or len(pairs[0]) else np.zeros(0, U64)
+        self.runs = [unpack(d, 10) for d in runs]
+        met = [(r[8].astype(U64) << U64(32)) | r[9].astype(U64) for r in self.runs]
+        self.rare = np.unique(np.concatenate([*met, pairs[0], pairs[1], counts[0]]))
         self.rare = self.rare[m.code(self.rare) < 0]
-        self.count = np.zeros(len(self.rare), np.int64)
+        count = np.zeros(len(self.rare), np.int64)
         at = find(self.rare, counts[0])
-        self.count[at[at >= 0]] = counts[1][at >= 0]
+        count[at[at >= 0]] = counts[1][at >= 0]
+        self.known = np.concatenate([m.counts, count])
         table_: list[list[np.ndarray]] = []
-        for d in runs:
-            w, b, a, x, learnt = self.read(d)[:5]
-            t = learnt > 0
+        for r, words in zip(self.runs, met):
+            if len(words):
+                back = (heads + 1 + np.searchsorted(self.rare, words)).astype(np.uint32)
+                r[:4] = [np.where(v > heads, back[np.maximum(v.astype(np.int64) - heads - 1, 0)], v) for v in r[:4]]
+            del r[8:]
+            t = r[4] > 0
             if t.any():
-                table_.append([w[t] << 32 | b[t], a[t] << 32 | x[t], learnt[t]])
+                w, b, a, x, learnt = (v[t].astype(np.int64) for v in r[:5])
+                table_.append([w << 32 | b, a << 32 | x, learnt])
         head, tail, c = (np.concatenate([t[k] for t in table_]) if table_ else np.zeros(0, np.int64) for k in range(3))
         (head, tail), c = summed((head, tail), c)
         keep = head >> 32 > 0  # runs at the start of a text have no context
@@ -407,7 +466,7 @@ class Shard:
             own[split] = False
             w1, x1, c1 = (np.concatenate([v[own], p]) for v, p in ((w1, self.number(pairs[0])), (x1, self.number(pairs[1])), (c1, pairs[2])))
             (w1, x1), c1 = summed((w1, x1), c1)
-        ctx, place = np.unique(w1, return_inverse=True)
+        ctx, place = grouped(w1)
         size = np.bincount(place, weights=c1, minlength=len(ctx)) if len(ctx) else np.zeros(0)
         whole = m.parts(np.where(ctx <= heads, ctx - 1, -1)) > 1  # of a split word all occurrences are known, not only pairs that are kept
         size[whole] = m.counts[ctx[whole] - 1]
@@ -415,7 +474,7 @@ class Shard:
         # two tokens
         two = (head & 0xFFFFFFFF) > 0
         (k2, x2), c2 = summed((head[two], x[two]), c[two])
-        ctx, place = np.unique(k2, return_inverse=True)
+        ctx, place = grouped(k2)
         size = np.bincount(place, weights=c2, minlength=len(ctx)) if len(ctx) else np.zeros(0)
         ok = c2 >= least
         q = np.ones(len(c2))
@@ -425,13 +484,12 @@ class Shard:
         three = (tail >> 32) > 0
         h3, t3, c3 = head[three], tail[three], c[three]
         key = np.searchsorted(self.two.ctx, h3) << 32 | t3 >> 32
-        ctx, place = np.unique(key, return_inverse=True)
+        ctx, place = grouped(key)
         size = np.bincount(place, weights=c3, minlength=len(ctx)) if len(ctx) else np.zeros(0)
         ok, x3 = c3 >= least, t3 & 0xFFFFFFFF
         q = np.ones(len(c3))
         q[ok] = self.two.share(key[ok] >> 32, x3[ok])
-        order = np.lexsort((x3, place))
-        self.three = Level(ctx, place[order], x3[order], c3[order], size, q[order], least, min_gain)
+        self.three = Level(ctx, place, x3, c3, size, q, least, min_gain)
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """The shard's numbers of tokens: heads by code, then the others; 0 is the start."""
@@ -439,20 +497,11 @@ class Shard:
         return np.where(code >= 0, code, len(self.m.hashes) + np.searchsorted(self.rare, words)) + 1
 
     def unigram(self, numbers: np.ndarray) -> np.ndarray:
-        known = np.concatenate([self.m.counts, self.count])
-        return known[numbers - 1].astype(np.float64) if len(known) else np.zeros(len(numbers))
-
-    def read(self, data: bytes) -> list[np.ndarray]:
-        cols = unpack(data, 10)
-        heads = len(self.m.hashes)
-        back = heads + 1 + np.searchsorted(self.rare, (cols[8].astype(U64) << U64(32)) | cols[9].astype(U64))
-        if len(back):
-            cols[:4] = [np.where(v > heads, back[np.maximum(v - heads - 1, 0)], v) for v in cols[:4]]
-        return cols[:8]
-
-    def score(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Texts of the block that have runs in this shard; sums of log10 p; how many rarer words are known; and their part of the base."""
-        w, b, a, x, _, texts, doc, times = self.read(data)
+        return self.known[numbers - 1].astype(np.float64) if len(self.known) else np.zeros(len(numbers))
+
+    def score(self, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of a block that have runs in this shard; sums of log10 p; how many rarer words are known; and their part of the base."""
+        w, b, a, x, _, texts, doc, times = (v.astype(np.int64) for v in self.runs[block])
         c = self.unigram(x)
         m = self.m
         p = np.where(c > 0, (c - m.discount) / max(m.total, 1), m.unknown)
@@ -465,8 +514,8 @@ class Shard:
         p = self.three.predict(deep, x, p)
         run = np.repeat(np.arange(len(w)), texts)
         rarer = x[run] > len(m.hashes)
-        met, place = np.unique(doc, return_inverse=True)
-        add = lambda v: np.bincount(place, weights=v * times, minlength=len(met))
+        met = np.flatnonzero(np.bincount(doc))
+        add = lambda v: np.bincount(doc, weights=v * times)[met]
         return met, add(np.log10(p)[run]), add(rarer & (c[run] > 0)), add(np.where(rarer, np.log10(c + 1)[run], 0.0))
 
 
@@ -514,8 +563,8 @@ def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "t
         joined = lambda held, k, t: np.concatenate([h[k] for h in held]).view(t) if held else np.zeros(0, t)
         part = Shard(sent.value, runs, (joined(counts, 0, U64), joined(counts, 1, np.int64)), (joined(pairs, 0, U64), joined(pairs, 1, U64), joined(pairs, 2, np.int64)), least, min_gain)
         made: list[tuple[int, bytes]] = []
-        for block, data in zip(blocks_, runs):
-            met, *sums = part.score(data)
+        for k, block in enumerate(blocks_):
+            met, *sums = part.score(k)
             made.append((block, pack([met, *[s.astype(np.float32).view(np.uint32) for s in sums]])))
             if len(made) == 256:
                 yield _sums(made)
@@ -541,7 +590,7 @@ def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "t
                 rows_.append(b.filter(pa.array(~has)))
             for data in col("data").filter(pa.array(has)).to_pylist():
                 doc, *v = unpack(data, 4)
-                v = [x.astype(np.uint32).view(np.float32).astype(np.float64) for x in v]
+                doc, v = doc.astype(np.int64), [x.view(np.float32).astype(np.float64) for x in v]
                 if sums is None or (len(doc) and doc[-1] >= sums.shape[1]):
                     grown = np.zeros((3, max(1024, 2 * int(doc[-1] if len(doc) else 0) + 1)))
                     if sums is not None:
