@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, materialize, mix, sliced, table, trim, word_hashes
 
-LEAST, MIN_GAIN, HEADS, SHARD, BLOCK_TOKENS = 2, 10.0, 1 << 19, 1 << 21, 1 << 19
+LEAST, MIN_GAIN, HEADS, SHARD, BLOCK_TOKENS = 2, 10.0, 1 << 19, 1 << 20, 1 << 19
 END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
 RUNS, COUNTS, PAIRS, IDS, SUMS = range(5)  # kinds of rows
 
@@ -180,7 +180,7 @@ def prepare(words: DataFrame, shard: int = SHARD, heads: int = HEADS) -> Model:
     hashes, counts = hashes.view(U64)[order], counts[order]
     by_hash = np.argsort(hashes)
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Model(int(total), int(different), once / (once + 2 * twice) if once and twice else 0.5, max(partitions, -(-int(total) // shard)), max(1, shard // 2), hashes[by_hash], by_hash, counts)
+    return Model(int(total), int(different), once / (once + 2 * twice) if once and twice else 0.5, max(partitions, -(-int(total) // shard)), max(1, shard // 4), hashes[by_hash], by_hash, counts)
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -435,7 +435,10 @@ class Shard:
 
     def __init__(self, m: Model, runs: list[bytes], counts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int, min_gain: float):
         self.m, heads = m, len(m.hashes)
-        self.runs = [unpack(d, 10) for d in runs]
+        self.runs = []
+        while runs:  # packed ones go as they are unpacked
+            self.runs.append(unpack(runs.pop(), 10))
+        self.runs.reverse()
         met = [(r[8].astype(U64) << U64(32)) | r[9].astype(U64) for r in self.runs]
         self.rare = np.unique(np.concatenate([*met, pairs[0], pairs[1], counts[0]]))
         self.rare = self.rare[m.code(self.rare) < 0]
@@ -454,9 +457,11 @@ class Shard:
                 w, b, a, x, learnt = (v[t].astype(np.int64) for v in r[:5])
                 table_.append([w << 32 | b, a << 32 | x, learnt])
         head, tail, c = (np.concatenate([t[k] for t in table_]) if table_ else np.zeros(0, np.int64) for k in range(3))
+        del table_, met
         (head, tail), c = summed((head, tail), c)
         keep = head >> 32 > 0  # runs at the start of a text have no context
         head, tail, c = head[keep], tail[keep], c[keep]
+        del keep
         x = tail & 0xFFFFFFFF
         # one token
         (w1, x1), c1 = summed((head >> 32, x), c)
