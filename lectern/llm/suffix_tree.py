@@ -13,8 +13,10 @@ The tree is dealt by the last token of a context: all contexts that end with one
 in one shard. Each block of texts sends every different run of four tokens once to the shard of its third token, with
 how often training met it and which texts of the block have it; the shard adds up the counts of all blocks, grows its part of the tree,
 and scores the same runs with it. Texts, sequences and tree cross the network once, in this one shuffle of packed runs;
-what comes back are sums for each text. A shard has about SHARD runs: a token with more than that is dealt to several by the token before
-it, and each of these gets the token's own successors, counted beforehand.
+what comes back are sums for each text. A shard has about SHARD runs, and one with more holds them packed and grows and scores its part
+in passes of about as many: contexts that end with a token are in one pass, or, of a token with too many, those that end with the same
+two. A token with more than 2 * HELD occurrences is dealt to several shards in this way, HELD in each. Its own successors, which all of
+them need, are counted beforehand, in a shard by a pass over its packed runs.
 Counts of the HEADS most frequent words at most are broadcast, and give runs short codes; counts of rarer words are joined to the shards
 that need them.
 
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import GOLD, U64, arrow_map, binary_values, crc_mod, materialize, mix, sliced, table, trim, word_hashes
 
-LEAST, MIN_GAIN, HEADS, SHARD, BLOCK_TOKENS = 2, 10.0, 1 << 19, 1 << 20, 1 << 19
+LEAST, MIN_GAIN, HEADS, SHARD, HELD, BLOCK_TOKENS = 2, 10.0, 1 << 19, 1 << 20, 1 << 23, 1 << 19
 END = U64(0x0E0D)  # words are hashes; that one of them is this value is as unlikely as any collision
 RUNS, COUNTS, PAIRS, IDS, SUMS = range(5)  # kinds of rows
 
@@ -132,10 +134,12 @@ class Model:
     different: int
     discount: float
     shards: int
-    split: int  # a word with more occurrences is dealt to several shards
+    capacity: int  # runs of one pass
+    held: int  # a word with more than twice as many occurrences is dealt to several shards
     hashes: np.ndarray  # sorted
     codes: np.ndarray  # of the sorted hashes
     counts: np.ndarray  # by code
+    words: np.ndarray  # hashes by code
 
     @property
     def unknown(self) -> float:
@@ -155,14 +159,14 @@ class Model:
     def parts(self, codes: np.ndarray) -> np.ndarray:
         """To how many shards the words of these codes are dealt."""
         c = np.where(codes >= 0, self.counts[np.maximum(codes, 0)], 0) if len(self.counts) else np.zeros(len(codes), np.int64)
-        return np.maximum(1, -(-c // self.split))
+        return np.where(c > 2 * self.held, -(-c // self.held), 1)
 
     def shard(self, word: np.ndarray, part: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (mix(word + (part.astype(U64) + U64(1)) * GOLD) % U64(self.shards)).astype(np.int64)
 
 
-def prepare(words: DataFrame, shard: int = SHARD, heads: int = HEADS) -> Model:
+def prepare(words: DataFrame, shard: int = SHARD, heads: int = HEADS, held: int = HELD) -> Model:
     """The totals and heads of a table of word counts; at most `heads` words reach the driver."""
     total, different, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     met = {r[0]: r[1] for r in words.groupBy(F.least("c", F.lit(4096)).alias("c")).count().collect()}
@@ -180,7 +184,7 @@ def prepare(words: DataFrame, shard: int = SHARD, heads: int = HEADS) -> Model:
     hashes, counts = hashes.view(U64)[order], counts[order]
     by_hash = np.argsort(hashes)
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Model(int(total), int(different), once / (once + 2 * twice) if once and twice else 0.5, max(partitions, -(-int(total) // shard)), max(1, shard // 4), hashes[by_hash], by_hash, counts)
+    return Model(int(total), int(different), once / (once + 2 * twice) if once and twice else 0.5, max(partitions, -(-int(total) // shard)), shard, held, hashes[by_hash], by_hash, counts, hashes)
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -278,13 +282,13 @@ def deal(rows: DataFrame, model, id_fields: list[T.StructField]) -> DataFrame:
                 out.append((s, pack([*cols, learnt[g], texts[g], doc[at[which]], times[which], hashes >> U64(32), hashes & U64(0xFFFFFFFF)])))
             for lo in range(0, len(out), 64):
                 part = out[lo : lo + 64]
-                yield _batch(names, kind=np.full(len(part), RUNS), shard=np.array([s for s, _ in part]), block=np.full(len(part), block), data=[d for _, d in part], fields=id_fields)
+                yield _batch(names, kind=np.full(len(part), RUNS), shard=np.array([s for s, _ in part]), block=np.full(len(part), block), data=[d for _, d in part], c=np.diff(cuts)[[s for s, _ in part]])
             block += 1
 
     kinds = T.StructType([*_FIELDS.fields, *id_fields])
     arrow = _arrow(kinds)
 
-    def _batch(names: list[str], ids=None, fields=None, **given) -> pa.RecordBatch:
+    def _batch(names: list[str], ids=None, **given) -> pa.RecordBatch:
         n = len(given["kind"])
         cols = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in list(arrow)[: len(_FIELDS)]]
         cols += [c.cast(f.type) for c, f in zip(ids, list(arrow)[len(_FIELDS) :])] if ids is not None else [pa.nulls(n, f.type) for f in list(arrow)[len(_FIELDS) :]]
@@ -430,16 +434,83 @@ def grouped(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[new], np.cumsum(new) - 1
 
 
+def rare_words(run: list[np.ndarray]) -> np.ndarray:
+    return (run[8].astype(U64) << U64(32)) | run[9].astype(U64)
+
+
+def word_hashes_of(m: Model, numbers: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Hashes of a block's numbers of tokens, 0 for the start."""
+    out, n, heads = np.zeros(len(numbers), U64), numbers.astype(np.int64), len(m.words)
+    known, other = (n > 0) & (n <= heads), n > heads
+    out[known], out[other] = m.words[n[known] - 1], rare[n[other] - heads - 1]
+    return out
+
+
+def passes(m: Model, packed: list[bytes], n_runs: int) -> Iterator[tuple[list[int], list[list[np.ndarray]], tuple]]:
+    """The runs of a shard in parts of about m.capacity: blocks, unpacked runs, and the successors (word, next, c) and occurrences
+    (word, size) of tokens that are in several parts."""
+    none = (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)), (np.zeros(0, U64), np.zeros(0, np.int64))
+    parts = max(1, -(-n_runs // m.capacity))
+    if parts == 1:
+        runs = []
+        while packed:  # packed ones go as they are unpacked
+            runs.append(unpack(packed.pop(), 10))
+        yield list(range(len(runs) - 1, -1, -1)), runs, none
+        return
+    heads = len(m.words)
+    met = np.zeros(heads + 1, np.int64)
+    for d in packed:
+        w = unpack(d, 10)[0]
+        met += np.bincount(w[w <= heads], minlength=heads + 1)
+    busy = met > m.capacity // 4
+    busy[0] = False
+    hot = busy & np.concatenate([[False], m.parts(np.arange(heads)) == 1])  # of the others the successors are known already
+    pairs, waiting, size = ((np.zeros(0, U64), np.zeros(0, U64)), np.zeros(0, np.int64)), [], np.zeros(heads + 1, np.int64)
+    for k, d in enumerate(packed):
+        run = unpack(d, 10)
+        at = np.flatnonzero((run[0] <= heads) & (run[4] > 0))
+        at = at[hot[run[0][at]]]
+        if len(at):
+            size += np.bincount(run[0][at], weights=run[4][at], minlength=heads + 1).astype(np.int64)
+            waiting.append((m.words[run[0][at].astype(np.int64) - 1], word_hashes_of(m, run[3][at], rare_words(run)), run[4][at].astype(np.int64)))
+        if waiting and (k % 32 == 31 or k == len(packed) - 1):
+            keys, c = pairs
+            pairs = summed_words(*(np.concatenate([x, *(v[i] for v in waiting)]) for i, x in enumerate((*keys, c))))
+            waiting = []
+    given = (*pairs[0], pairs[1]), (m.words[np.flatnonzero(hot) - 1], size[hot])
+    for part in range(parts):
+        blocks_, runs = [], []
+        for k, d in enumerate(packed):
+            run = unpack(d, 10)
+            rare = rare_words(run)
+            w = run[0].astype(np.int64)
+            by = word_hashes_of(m, run[0], rare)
+            split = (w <= heads) & busy[np.minimum(w, heads)]
+            by[split] = mix(word_hashes_of(m, run[1][split], rare) + U64(1))
+            first = w == 0  # no context: by what follows
+            by[first] = word_hashes_of(m, run[3][first], rare)
+            mine = mix(by + GOLD) % U64(parts) == U64(part)
+            if mine.any():
+                posts = np.repeat(mine, run[5].astype(np.int64))
+                runs.append([*(v[mine] for v in run[:6]), *(v[posts] for v in run[6:8]), *run[8:]])
+                blocks_.append(k)
+        if runs:
+            yield blocks_, runs, given
+
+
+def summed_words(w: np.ndarray, x: np.ndarray, c: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """summed for columns of hashes."""
+    (a, b), c = summed((ranks(w)[0], ranks(x)[0]), c)
+    return (np.unique(w)[a], np.unique(x)[b]), c
+
+
 class Shard:
-    """One shard's part of the tree."""
+    """One shard's part of the tree, or a part of that. pairs and sizes: successors and occurrences of tokens that are in other parts too."""
 
-    def __init__(self, m: Model, runs: list[bytes], counts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int, min_gain: float):
+    def __init__(self, m: Model, runs: list[list[np.ndarray]], counts: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], least: int, min_gain: float):
         self.m, heads = m, len(m.hashes)
-        self.runs = []
-        while runs:  # packed ones go as they are unpacked
-            self.runs.append(unpack(runs.pop(), 10))
-        self.runs.reverse()
-        met = [(r[8].astype(U64) << U64(32)) | r[9].astype(U64) for r in self.runs]
+        self.runs = runs
+        met = [rare_words(r) for r in self.runs]
         self.rare = np.unique(np.concatenate([*met, pairs[0], pairs[1], counts[0]]))
         self.rare = self.rare[m.code(self.rare) < 0]
         count = np.zeros(len(self.rare), np.int64)
@@ -465,16 +536,13 @@ class Shard:
         x = tail & 0xFFFFFFFF
         # one token
         (w1, x1), c1 = summed((head >> 32, x), c)
-        split = np.flatnonzero(m.parts(np.where(w1 <= heads, w1 - 1, -1)) > 1)
-        if len(split) or len(pairs[0]):
-            own = np.ones(len(w1), bool)
-            own[split] = False
-            w1, x1, c1 = (np.concatenate([v[own], p]) for v, p in ((w1, self.number(pairs[0])), (x1, self.number(pairs[1])), (c1, pairs[2])))
-            (w1, x1), c1 = summed((w1, x1), c1)
+        elsewhere = np.sort(self.number(sizes[0]))
+        own = find(elsewhere, w1) < 0
+        (w1, x1), c1 = summed((np.concatenate([w1[own], self.number(pairs[0])]), np.concatenate([x1[own], self.number(pairs[1])])), np.concatenate([c1[own], pairs[2]]))
         ctx, place = grouped(w1)
         size = np.bincount(place, weights=c1, minlength=len(ctx)) if len(ctx) else np.zeros(0)
-        whole = m.parts(np.where(ctx <= heads, ctx - 1, -1)) > 1  # of a split word all occurrences are known, not only pairs that are kept
-        size[whole] = m.counts[ctx[whole] - 1]
+        at = find(ctx, self.number(sizes[0]))  # of these tokens all occurrences are known, not only the pairs that are given
+        size[at[at >= 0]] = sizes[1][at >= 0]
         self.one = Level(ctx, place, x1, c1, size, self.unigram(x1) / max(m.total, 1), least, min_gain)
         # two tokens
         two = (head & 0xFFFFFFFF) > 0
@@ -524,13 +592,13 @@ class Shard:
         return met, add(np.log10(p)[run]), add(rarer & (c[run] > 0)), add(np.where(rarer, np.log10(c + 1)[run], 0.0))
 
 
-def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "text", least: int = LEAST, min_gain: float = MIN_GAIN, shard: int = SHARD, heads: int = HEADS) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "text", least: int = LEAST, min_gain: float = MIN_GAIN, shard: int = SHARD, heads: int = HEADS, held: int = HELD) -> DataFrame:
     """id_cols and n_tokens, n_known, train_tokens, base_score, score of all texts of docs, by the tree of those where train is true."""
     context = docs.sparkSession.sparkContext
     text = F.col(text_col).cast("string").alias("text")
     learnt = docs.where(train).select(text)
     words = materialize(count_words(learnt))
-    m = prepare(words, shard, heads)
+    m = prepare(words, shard, heads, held)
     sent = context.broadcast(m)
     id_fields = [T.StructField(f"id{k}", docs.schema[c].dataType) for k, c in enumerate(id_cols)]
     rows = docs.select(text, F.coalesce(train, F.lit(False)).cast("int").alias("train"), *[F.col(c).alias(f.name) for c, f in zip(id_cols, id_fields)])
@@ -542,14 +610,14 @@ def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "t
 
     if m.different > len(m.hashes):  # else every word is a head
         dealt = dealt.unionByName(as_rows(rare_counts(docs.select(text), words, sent), COUNTS))
-    if len(m.counts) and m.counts[0] > m.split:
+    if len(m.counts) and m.counts[0] > 2 * m.held:
         dealt = dealt.unionByName(as_rows(split_pairs(learnt, sent, least), PAIRS))
     ids = [f.name for f in id_fields]
     out = T.StructType([f for f in dealt.schema.fields if f.name in ("block", "data", "idx", "n_tokens", "n_known", "base", *ids)])
     arrow = _arrow(out)
 
     def grow(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, blocks_, counts, pairs = [], [], [], []
+        runs, blocks_, counts, pairs, n_runs = [], [], [], [], 0
         for b in batches:
             kind = np.asarray(b.column(b.schema.get_field_index("kind")))
             col = lambda name, at: b.column(b.schema.get_field_index(name)).take(pa.array(at))  # noqa: B023, E731
@@ -559,6 +627,7 @@ def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "t
             at = np.flatnonzero(kind == RUNS)
             runs += col("data", at).to_pylist()
             blocks_ += col("block", at).to_pylist()
+            n_runs += int(np.asarray(col("c", at)).sum()) if len(at) else 0
             for k, held, names in ((COUNTS, counts, ("word", "c")), (PAIRS, pairs, ("word", "next", "c"))):
                 at = np.flatnonzero(kind == k)
                 if len(at):
@@ -566,17 +635,24 @@ def score(docs: DataFrame, train: Column, id_cols: list[str], text_col: str = "t
         if not runs:
             return
         joined = lambda held, k, t: np.concatenate([h[k] for h in held]).view(t) if held else np.zeros(0, t)
-        part = Shard(sent.value, runs, (joined(counts, 0, U64), joined(counts, 1, np.int64)), (joined(pairs, 0, U64), joined(pairs, 1, U64), joined(pairs, 2, np.int64)), least, min_gain)
+        known = (joined(counts, 0, U64), joined(counts, 1, np.int64))
+        m: Model = sent.value
+        given = joined(pairs, 0, U64), joined(pairs, 1, U64), joined(pairs, 2, np.int64)
+        split = np.unique(given[0])
+        of = m.counts[m.code(split)] if len(split) else np.zeros(0, np.int64)
         made: list[tuple[int, bytes]] = []
-        for k, block in enumerate(blocks_):
-            met, *sums = part.score(k)
-            made.append((block, pack([met, *[s.astype(np.float32).view(np.uint32) for s in sums]])))
-            if len(made) == 256:
-                yield _sums(made)
-                made = []
+        for at, part_runs, (near, sizes) in passes(m, runs, n_runs):
+            part = Shard(m, part_runs, known, tuple(np.concatenate(v) for v in zip(given, near)), (np.concatenate([split, sizes[0]]), np.concatenate([of, sizes[1]])), least, min_gain)
+            for k, block in enumerate(at):
+                met, *sums = part.score(k)
+                made.append((blocks_[block], pack([met, *[s.astype(np.float32).view(np.uint32) for s in sums]])))
+                if len(made) == 256:
+                    yield _sums(made)
+                    made = []
+            part = part_runs = None
         if made:
             yield _sums(made)
-        part = runs = None
+        runs = None
         trim()
 
     def _sums(made: list[tuple[int, bytes]]) -> pa.RecordBatch:

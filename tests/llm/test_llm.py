@@ -154,7 +154,7 @@ def test_suffix_tree_brute_force(spark):
     asked = ["a b c d e", "x b c d", "v w zzz a", None, "q b c q", "a a a a zz", " ".join(words), ""]
     want = brute_force_tree(rows, asked)
     docs = spark.createDataFrame([(k, x, False) for k, x in enumerate(asked)] + [(None, x, True) for x in rows], "doc_id long, text string, learn boolean").repartition(3)
-    for options in ({}, {"heads": 3}, {"heads": 0}, {"shard": 8}, {"shard": 8, "heads": 5}):  # all words broadcast, few, none; words dealt to several shards
+    for options in ({}, {"heads": 0}, {"shard": 64, "heads": 5}, {"held": 4}, {"shard": 64, "held": 20}):  # all words broadcast, none; shards in passes; words dealt to several shards
         got = {x.doc_id: x for x in suffix_tree.score(docs, F.col("learn"), ["doc_id", "learn"], **options).where("not learn").collect()}
         for k, (n_tokens, n_known, base, score) in enumerate(want):
             assert (got[k].n_tokens, got[k].n_known) == (n_tokens, n_known) and got[k].base_score == pytest.approx(base, rel=1e-5) and got[k].score == pytest.approx(score, rel=1e-5)
