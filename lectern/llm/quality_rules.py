@@ -26,10 +26,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_LOST = 0.5
 #: Fixed phrases of the boilerplate rule, in English, German, French and Spanish.
 BOILERPLATE = (
-    r"(?iu)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|accept (all )?cookies|enable javascript|subscribe to our|sign up for|click here|skip to (main )?content"
-    r"|alle rechte vorbehalten|cookies akzeptieren|newsletter abonnieren|zum inhalt springen|tous droits réservés|politique de confidentialité|accepter les cookies|cliquez ici"
-    r"|todos los derechos reservados|política de privacidad|aceptar (las )?cookies|haga clic aquí)"
-)
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "accept cookies", "accept all cookies", "enable javascript", "subscribe to our", "sign up for", "click here", "skip to content", "skip to main content",
+    "alle rechte vorbehalten", "cookies akzeptieren", "newsletter abonnieren", "zum inhalt springen", "tous droits réservés", "politique de confidentialité", "accepter les cookies", "cliquez ici",
+    "todos los derechos reservados", "política de privacidad", "aceptar cookies", "aceptar las cookies", "haga clic aquí",
+)
 _BLANKS = " \t\n\x0b\x0c\r"
 _PILED = r"[\p{L}\p{N}.,;:][!#*$%&|<>?]{2,}"
 
@@ -48,19 +48,31 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_failure(line: Column) -> Column:
-    """Which rule a line fails: punctuation, navigation or boilerplate; null if none."""
-    words = F.regexp_count(line, F.lit(WORD))
-    visible = _without(line, _BLANKS)
-    marks = _left(line, r"[\p{L}\p{N}\x20\x09-\x0D]+")
+def measured(line: Column) -> Column:
+    """What the rules need of a line more than once."""
+    return F.struct(
+        line.alias("line"),
+        F.lower(line).alias("low"),
+        F.regexp_count(line, F.lit(WORD)).alias("words"),
+        _left(line, r"[\p{L}\p{N}\x20\x09-\x0D]+").alias("marks"),
+        _without(line, _BLANKS).alias("visible"),
+    )
+
+
+def line_failure(m: Column) -> Column:
+    """Which rule a measured line fails: punctuation, navigation or boilerplate; null if none."""
+    line, words, marks, visible = m["line"], m["words"], m["marks"], m["visible"]
     letters = _left(line, r"\P{L}+")
     upper = _left(line, r"\P{Lu}+")
     piled = F.regexp_count(line, F.lit(_PILED))
     separators = F.length(line) - _without(line, "|»›•>")
+    stock = F.lit(False)
+    for phrase in BOILERPLATE:
+        stock = stock | F.contains(m["low"], F.lit(phrase))
     return (
         F.when((10 * marks > 4 * visible) | ((words >= 5) & (10 * upper > 6 * letters) & (letters > 0)) | ((marks >= 6) & (piled >= 3) & (4 * piled >= words)), F.lit("punctuation"))
-        .when((separators >= 3) & (5 * separators >= words), F.lit("navigation"))
-        .when((words <= 20) & line.rlike(BOILERPLATE), F.lit("boilerplate"))
+        .when((marks >= 3) & (separators >= 3) & (5 * separators >= words), F.lit("navigation"))
+        .when((words <= 20) & stock, F.lit("boilerplate"))
     )
 
 
@@ -84,7 +96,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX
     d = _cols(d, {p: F.sort_array(F.transform(twice, lambda v: v["i"]))})
     covered = F.aggregate(F.transform(p, lambda v, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(F.col(p), j + 1), v + 3) - v)), F.lit(0).cast("bigint"), lambda a, v: a + v)
     d = _cols(d, {r: covered, c: _without(F.col(t), _BLANKS).cast("bigint")})
-    d = _cols(d, {k: F.filter(l_, lambda x: line_failure(x).isNull())})
+    d = _cols(d, {k: F.transform(l_, measured)})
+    d = _cols(d, {k: F.transform(F.filter(k, lambda m: line_failure(m).isNull()), lambda m: m["line"])})
     kept_chars = _without(F.array_join(k, ""), _BLANKS)
     d = _cols(d, {lost: F.when(F.col(c) > 0, F.col(c) - kept_chars).otherwise(F.lit(0)).cast("bigint")})
     base_failed = (n < 50) | (100 * F.col(r) > 50 * n)
