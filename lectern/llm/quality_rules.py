@@ -30,7 +30,6 @@ BOILERPLATE = (
     "alle rechte vorbehalten", "cookies akzeptieren", "newsletter abonnieren", "zum inhalt springen", "tous droits réservés", "politique de confidentialité", "accepter les cookies", "cliquez ici",
     "todos los derechos reservados", "política de privacidad", "aceptar cookies", "aceptar las cookies", "haga clic aquí",
 )
-_BLANKS = " \t\n\x0b\x0c\r"
 _PILED = r"[\p{L}\p{N}.,;:][!#*$%&|<>?]{2,}"
 
 
@@ -38,37 +37,37 @@ def _cols(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     return df.withColumns(named)
 
 
-def _without(text: Column, characters: str) -> Column:
-    """Code points of text that are none of these characters."""
-    return F.length(F.translate(text, characters, ""))
-
-
 def _left(text: Column, pattern: str) -> Column:
     """Code points of text that are left without the runs that match: far fewer matches than one for each character."""
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
 def measured(line: Column) -> Column:
-    """What the rules need of a line more than once."""
+    """What the rules need of a line more than once; `signs` are its characters that are no letter, digit or blank."""
     return F.struct(
         line.alias("line"),
-        F.lower(line).alias("low"),
         F.regexp_count(line, F.lit(WORD)).alias("words"),
-        _left(line, r"[\p{L}\p{N}\x20\x09-\x0D]+").alias("marks"),
-        _without(line, _BLANKS).alias("visible"),
+        F.regexp_replace(line, r"[\p{L}\p{N}\x20\x09-\x0D]+", "").alias("signs"),
+        _left(line, r"[\x20\x09-\x0D]+").alias("visible"),
     )
 
 
+def _stock(low: Column) -> Column:
+    """Whether a line in lower case holds a stock phrase."""
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | F.contains(low, F.lit(phrase))
+    return found
+
+
 def line_failure(m: Column) -> Column:
     """Which rule a measured line fails: punctuation, navigation or boilerplate; null if none."""
-    line, words, marks, visible = m["line"], m["words"], m["marks"], m["visible"]
+    line, words, marks, visible = m["line"], m["words"], F.length(m["signs"]), m["visible"]
     letters = _left(line, r"\P{L}+")
     upper = _left(line, r"\P{Lu}+")
     piled = F.regexp_count(line, F.lit(_PILED))
-    separators = F.length(line) - _without(line, "|»›•>")
-    stock = F.lit(False)
-    for phrase in BOILERPLATE:
-        stock = stock | F.contains(m["low"], F.lit(phrase))
+    separators = marks - F.length(F.translate(m["signs"], "|»›•>", ""))
+    stock = F.exists(F.array(F.lower(line)), _stock)  # lower case once for all phrases
     return (
         F.when((10 * marks > 4 * visible) | ((words >= 5) & (10 * upper > 6 * letters) & (letters > 0)) | ((marks >= 6) & (piled >= 3) & (4 * piled >= words)), F.lit("punctuation"))
         .when((marks >= 3) & (separators >= 3) & (5 * separators >= words), F.lit("navigation"))
@@ -89,27 +88,30 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: float = MAX
     there = spare(d, "__there")[0]
     d = d.withColumnRenamed(s, there)
     n = F.size(w)
-    hashes = F.transform(F.slice(F.col(w), F.lit(1), F.greatest(F.lit(0), n - 2)), lambda x, i: F.struct(F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("h"), i.cast("bigint").alias("i")))
-    d = _cols(d, {s: F.sort_array(hashes)})
+    # most texts repeat no window: only the others' windows are sorted
+    keys = F.transform(F.slice(F.col(w), F.lit(1), F.greatest(F.lit(0), n - 2)), lambda x, i: F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)))
+    d = _cols(d, {s: keys})
+    pairs = F.transform(F.col(s), lambda h, i: F.struct(h.alias("h"), i.cast("bigint").alias("i")))
+    d = _cols(d, {s: F.when(F.size(F.array_distinct(s)) < F.size(s), F.sort_array(pairs)).otherwise(F.slice(pairs, 1, 0))})
     same = lambda v, j: F.coalesce(v["h"] == F.get(F.col(s), j)["h"], F.lit(False))
     twice = F.filter(s, lambda v, j: same(v, j + 1) | ((j > 0) & same(v, F.greatest(j - 1, F.lit(0)))))
     d = _cols(d, {p: F.sort_array(F.transform(twice, lambda v: v["i"]))})
     covered = F.aggregate(F.transform(p, lambda v, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(F.col(p), j + 1), v + 3) - v)), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    d = _cols(d, {r: covered, c: _without(F.col(t), _BLANKS).cast("bigint")})
+    d = _cols(d, {r: covered, c: F.length(F.array_join(w, "")).cast("bigint")})
     d = _cols(d, {k: F.transform(l_, measured)})
-    d = _cols(d, {k: F.transform(F.filter(k, lambda m: line_failure(m).isNull()), lambda m: m["line"])})
-    kept_chars = _without(F.array_join(k, ""), _BLANKS)
-    d = _cols(d, {lost: F.when(F.col(c) > 0, F.col(c) - kept_chars).otherwise(F.lit(0)).cast("bigint")})
+    d = _cols(d, {k: F.filter(k, lambda m: line_failure(m).isNull())})
+    kept_chars = F.aggregate(k, F.lit(0).cast("bigint"), lambda a, m: a + m["visible"])
+    d = _cols(d, {lost: F.col(c) - kept_chars})
     base_failed = (n < 50) | (100 * F.col(r) > 50 * n)
     rules = F.struct(
         n.cast("bigint").alias("n_words"),
         F.col(c).alias("word_chars"),
-        (F.length(t) - _without(F.col(t), "#*$%&|<>")).cast("bigint").alias("n_symbols"),
+        _left(F.col(t), "[^#*$%&|<>]+").cast("bigint").alias("n_symbols"),
         (F.size(l_) - F.size(F.array_distinct(l_))).cast("bigint").alias("n_dup_lines"),
         F.col(r).alias("n_repeat_words"),
         base_failed.alias("base_failed"),
         F.col(lost).alias("lost_chars"),
-        F.when(F.col(there), F.array_join(k, "\n")).alias("clean_text"),
+        F.when(F.col(there), F.array_join(F.col(k)["line"], "\n")).alias("clean_text"),
         (~base_failed & (F.col(lost) <= max_lost * F.col(c))).alias("kept"),
     )
     return d.select(*[d[x] for x in names], rules.alias("rules"))
