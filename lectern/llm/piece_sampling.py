@@ -39,7 +39,7 @@ from lectern.llm.common import GOLD, U64, arrow_map, binary_values, mix, spare,
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-BLOCK_CHARS, MOST_EDGES = 400_000, 6_000_000
+BLOCK_CHARS, MOST_EDGES = 200_000, 2_000_000
 
 
 class Vocabulary:
