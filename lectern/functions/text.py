@@ -74,10 +74,21 @@ def roman_value(text: Column) -> Column:
     return F.aggregate(F.reverse(digits), start, lambda a, d: F.struct((a["sum"] + F.when(d < a["last"], -d).otherwise(d)).alias("sum"), F.greatest(d, a["last"]).alias("last")))["sum"]
 
 
+#: Letters whose capital is not one letter of Unicode 15, and what upper_letters makes of them: the one letter that stands for the capital, or themselves.
+_NO_CAPITAL = "ƛɤ" + "".join(c for c in map(chr, range(0x110000)) if len(c.upper()) > 1)
+_CAPITAL = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _NO_CAPITAL)
+
+
+def upper_letters(text: Column) -> Column:
+    """Upper case letter by letter: no letter becomes two, so that ß is ẞ and not SS. For short texts."""
+    one = lambda c: F.when(F.contains(F.lit(_NO_CAPITAL), c), F.translate(c, _NO_CAPITAL, _CAPITAL)).otherwise(F.upper(c))
+    return F.when(text.rlike(f"[{_NO_CAPITAL}]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(F.upper(text))
+
+
 def header_fingerprint(text: Column) -> Column:
-    """The first ten letters, with digits that are read as letters; null if there are fewer."""
-    t = F.regexp_replace(F.translate(F.upper(text), "015", "OIS"), r"[^\p{L}]", "")
-    return F.when(F.length(t) >= 10, F.substring(t, 1, 10))
+    """The first ten letters in upper case, with digits that are read as letters; null if there are fewer."""
+    t = F.substring(F.regexp_replace(text, r"[^\p{L}\x{345}015]", ""), 1, 10)  # U+0345 is no letter, but its capital is
+    return F.when(F.length(t) >= 10, F.translate(upper_letters(t), "015", "OIS"))
 
 
 def hamming(a: Column, b: Column, width: int = 10) -> Column:

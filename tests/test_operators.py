@@ -79,3 +79,13 @@ def test_contrast_search_chooses_by_rounded_similarity(spark):
     found = lambda **how: [(r.id, r.sim) for r in contrast_search(items, query, contrast, 0.5, 0.1, 2, **how).collect()]
     assert found(digits=3) == [(3, 0.6), (1, 0.5)]  # 4 doesn't reach the threshold, though it rounds to it
     assert found() == [(3, 0.6), (2, 0.5004)]
+
+
+def test_header_fingerprint_keeps_letters_apart(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.text import header_fingerprint
+
+    want = {"Straße und 1 Haus": "STRAẞEUNDI", "ﬁne-ﬁlter 0815": "ﬁNEﬁLTEROI", "Fußgängerzone": "FUẞGÄNGERZ", "ßßßßß": None, "ᾳ big header": "ᾼBIGHEADER", "plain header line": "PLAINHEADE", None: None}
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", header_fingerprint(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == want
