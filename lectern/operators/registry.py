@@ -33,6 +33,11 @@ def choose(queries: DataFrame, answers: DataFrame, base_url: str = "") -> DataFr
     record = F.struct("id", "registration", "name")
     per = a.groupBy("query", "active").agg(F.count(F.lit(1)).alias("all"), F.count_if("exact").alias("n"), F.max(record).alias("any"), F.max(F.when(F.col("exact"), record)).alias("best"))
     per = per.select("query", "active", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("n"), F.coalesce("best", "any").alias("r"))
+    return _decide(q, per, base_url)
+
+
+def _decide(q: DataFrame, per: DataFrame, base_url: str) -> DataFrame:
+    """What choose returns for queries q, from (query, active, n, r): how many records count, and one of them."""
     both = per.groupBy("query").agg(F.max(F.when(F.col("active"), F.struct("n", "r"))).alias("live"), F.max(F.when(~F.col("active"), F.struct("n", "r"))).alias("old"))
     one, used = F.coalesce("live", "old"), F.when(F.col("live").isNotNull(), "FOUND").otherwise("EXPIRED")
     status = F.when(one.isNull(), "NOT_FOUND").when(one["n"] == 1, used).otherwise("AMBIGUOUS")
@@ -56,8 +61,37 @@ def search(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def lookup(queries: DataFrame, registry: DataFrame, base_url: str = "") -> DataFrame:
-    """As choose, with a registry table in place of the search service."""
-    return choose(queries, search(queries, registry), base_url)
+    """As choose, with a registry table in place of the search service; the result is that of choose on all that search finds.
+
+    The records that answer a query are counted, not listed: queries with equal tokens are looked up once, and of the records that hold
+    the same of all queries' tokens only their number and the greatest are kept. Sets of tokens meet these by the token that the
+    fewest of them hold."""
+    q = queries.select("query").distinct().withColumn("tokens", F.array_sort(tokens(F.col("query"))))
+    sets = q.where(F.size("tokens") > 0).select("tokens").distinct()
+    held = _by_tokens(registry, sets.select(F.explode("tokens").alias("token")).distinct())
+    by_token = held.select("held", "active", "n", "r", F.explode("held").alias("token"))
+    often = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    # a token that no record holds has no count, and its sets no answer
+    rarest = sets.select("tokens", F.explode("tokens").alias("token")).join(often, "token", "left").groupBy("tokens").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
+    met = rarest.join(by_token, "token").where(F.forall("tokens", lambda t: F.array_contains(F.col("held"), t)))
+    per = met.groupBy("tokens", "active").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
+    return _decide(q.select("query"), q.join(per, "tokens").select("query", "active", "n", "r"), base_url)
+
+
+def _by_tokens(registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(held, active, n, r): for the records whose names hold the same of the wanted tokens, and one at least, which these are, how many
+    records there are, and the greatest of them. Tokens have no blanks, so that one is in a name if it is in one of its words."""
+    record = F.struct("id", "registration", "name")
+    named = registry.select(registry_text(F.col("name")).alias("words"), F.coalesce("active", F.lit(False)).alias("active"), record.alias("r")).where("words is not null")
+    named = named.groupBy("words", "active").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r"))
+    word = F.explode(F.split("words", " ")).alias("word")
+    by_gram = named.select(word).distinct().select("word", F.explode(F.array_distinct(F.concat(_grams(F.col("word"), 2), _grams(F.col("word"), 3)))).alias("key"))
+    grams = wanted.select("token", F.explode(_grams(F.col("token"), F.least(F.length("token"), F.lit(3)))).alias("key"))
+    common = by_gram.groupBy("key").agg(F.count(F.lit(1)).alias("words"))
+    rarest = grams.join(common, "key").groupBy("token").agg(F.min_by("key", F.struct("words", "key")).alias("key"))
+    holds = rarest.join(by_gram, "key").where(F.contains(F.col("word"), F.col("token"))).select("word", "token")
+    held = named.select("words", "active", "n", "r", word).join(holds, "word").groupBy("words", "active").agg(F.array_sort(F.collect_set("token")).alias("held"), F.first("n").alias("n"), F.first("r").alias("r"))
+    return held.groupBy("held", "active").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
 
 
 def expiry_notice(status: Column, expires: Column) -> Column:

@@ -89,3 +89,19 @@ def test_header_fingerprint_keeps_letters_apart(spark):
     want = {"Straße und 1 Haus": "STRAẞEUNDI", "ﬁne-ﬁlter 0815": "ﬁNEﬁLTEROI", "Fußgängerzone": "FUẞGÄNGERZ", "ßßßßß": None, "ᾳ big header": "ᾼBIGHEADER", "plain header line": "PLAINHEADE", None: None}
     got = spark.createDataFrame([(t,) for t in want], "t string").select("t", header_fingerprint(F.col("t")).alias("f")).collect()
     assert {r.t: r.f for r in got} == want
+
+
+def test_registry_lookup_counts_records_by_the_tokens_they_hold(spark):
+    from lectern.operators import registry as R
+
+    names = [f"Lens pro X{i}" for i in range(300)] + ["lens (PRO) x7", None, "", "pump 16", "Pump x163", "ПРОБА-ЛМ 5"]
+    rows = [(i, f"R {i}", n, None if i % 50 == 7 else i % 3 > 0) for i, n in enumerate(names)] + [(3, "R 3", names[3], False)] * 2
+    registry = spark.createDataFrame(rows, "id long, registration string, name string, active boolean")
+    asked = spark.createDataFrame([(x,) for x in ["pro lens", "LENS pro q", "ens", "x7", "x299 lens", "pump 16", "pump 163", "лм проба", "16 none", "e", "", None, "x3 x3"]], "query string")
+    wanted = spark.createDataFrame([("lens",), ("pro",), ("none",)], "token string")
+    held = {(tuple(r.held), r.active): r.n for r in R._by_tokens(registry, wanted).collect()}
+    live = sum(1 for _, _, n, a in rows if n and "lens" in n.lower() and a)
+    assert held == {(("lens", "pro"), True): live, (("lens", "pro"), False): 303 - live}  # two rows stand for 303 records
+    got = sorted(map(tuple, R.lookup(asked, registry, "b").collect()), key=str)
+    assert got == sorted(map(tuple, R.choose(asked, R.search(asked, registry), "b").collect()), key=str) and len(got) == 13
+    assert {r[0]: r[1] for r in got}["x299 lens"] == "FOUND"
