@@ -37,11 +37,11 @@ def reaches(n_all: int, starts: np.ndarray | None = None) -> np.ndarray:
     return at - np.repeat(starts[:-1], np.diff(starts))
 
 
-def grams(cp: np.ndarray, orders: int, starts: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(cp: np.ndarray, orders: int, starts: np.ndarray | None = None, reach: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each order n: positions, keys of the n-grams that end there, keys of their contexts, and of the n-grams without
-    their first symbol. starts: as of stream; without it, all symbols are one text."""
+    their first symbol. starts: as of stream; without it, all symbols are one text. reach: in place of starts, of a part of a text."""
     n_all = len(cp)
-    reach = reaches(n_all, starts)
+    reach = reaches(n_all, starts) if reach is None else reach
     sym = (cp + 1).astype(U64)
     whole = sym.copy()
     before = np.zeros(n_all, U64)  # of the n - 1 symbols that end one earlier
@@ -66,6 +66,17 @@ def grams(cp: np.ndarray, orders: int, starts: np.ndarray | None = None) -> Iter
             yield n, p, keys[p], before[p], shorter[p]
 
 
+def last_symbols(cp: np.ndarray, reach: np.ndarray, at: np.ndarray, orders: int) -> np.ndarray:
+    """Keys of the last symbols of a text, `orders` of them or as many as there are, at these positions."""
+    far = np.minimum(reach[at], orders - 1)
+    key, power = far.astype(U64) * _ORDER, U64(1)
+    with np.errstate(over="ignore"):
+        for j in range(orders):
+            key += np.where(far >= j, (cp[at - j] + 1).astype(U64) * power, U64(0))
+            power = power * GOLD
+    return mix(key)
+
+
 def gram_counts(texts: DataFrame, orders: int, block: int = 1 << 20) -> DataFrame:
     """(text binary, c long) -> (n, key, ctx, suf, c): counts of n-grams, added up in each task by blocks of about `block` bytes."""
 
@@ -87,10 +98,22 @@ def gram_counts(texts: DataFrame, orders: int, block: int = 1 << 20) -> DataFram
 
     def counted(pending: list) -> Iterator[pa.RecordBatch]:
         cp, starts = stream([t for t, _ in pending])
-        yield from rows(cp, starts, np.repeat(np.array([c for _, c in pending], np.int64), np.diff(starts)))
-
-    def rows(cp: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for n, p, key, ctx, suf in grams(cp, orders, starts):
+        reach, weight = reaches(len(cp), starts), np.repeat(np.array([c for _, c in pending], np.int64), np.diff(starts))
+        for lo in range(0, len(cp), block):  # long texts in parts, that begin with the last symbols of the part before
+            a = max(lo - orders, 0)
+            part = slice(a, lo + block)
+            yield from rows(cp[part], reach[part], weight[part], lo - a)
+
+    def rows(cp: np.ndarray, reach: np.ndarray, weight: np.ndarray, skip: int) -> Iterator[pa.RecordBatch]:
+        # positions with the same last symbols have the same n-grams of all orders: the first of them stands for all
+        at = skip + np.nonzero(reach[skip:])[0]
+        _, first, inverse = np.unique(last_symbols(cp, reach, at, orders), return_index=True, return_inverse=True)
+        weight = np.bincount(at[first][inverse], weights=weight[at], minlength=len(cp))
+        stands = np.zeros(len(cp), bool)
+        stands[at[first]] = True
+        for n, p, key, ctx, suf in grams(cp, orders, reach=reach):
+            ours = stands[p]
+            p, key, ctx, suf = p[ours], key[ours], ctx[ours], suf[ours]
             u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             c = np.bincount(inverse, weights=weight[p]).astype(np.int64)
             cols = [np.full(len(u), n, np.int32), u.view(np.int64), ctx[first].view(np.int64), suf[first].view(np.int64), c]
@@ -189,13 +212,7 @@ class TextScores:
         return sums, np.diff(starts) - 1
 
     def _found(self, cp: np.ndarray, reach: np.ndarray, at: np.ndarray) -> np.ndarray:
-        far = np.minimum(reach[at], self.model.orders - 1)
-        key, power = far.astype(U64) * _ORDER, U64(1)
-        with np.errstate(over="ignore"):
-            for j in range(self.model.orders):
-                key += np.where(far >= j, (cp[at - j] + 1).astype(U64) * power, U64(0))
-                power = power * GOLD
-        key = mix(key)
+        key = last_symbols(cp, reach, at, self.model.orders)
         slot = (key >> U64(64 - self.bits)).astype(np.int64)
         out = self.values[slot]
         new = np.nonzero(self.keys[slot] != key)[0]

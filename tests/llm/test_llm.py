@@ -234,6 +234,25 @@ def test_quality_thresholds_of_all_trusted(spark):
     assert all(q.kept for _, q in got.values())
 
 
+def test_quality_model_counts_all_trusted_texts_whole(spark, monkeypatch):
+    made = []
+    whole = quality_model._weights
+    monkeypatch.setattr(quality_model, "_weights", lambda *a: made.append(whole(*a)) or made[-1])
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(f"one two three four w{i % 7}".split()) for _ in range(30 if i else 4000)), "en", "") for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    quality_model.quality_filter(docs, spark.createDataFrame([(x[0], 1) for x in rows], "doc_id long, quality int")).count()
+    want = whole(gram_model.gram_counts(spark.createDataFrame([(bytearray(x[1].encode()), 1) for x in rows], "text binary, c long"), quality_model.ORDER))
+    assert np.array_equal(made[-1].weight.keys, want.weight.keys) and np.allclose(made[-1].weight.values, want.weight.values)
+    assert len(made) == 3 and all(0 < len(m.weight.keys) <= len(want.weight.keys) for m in made)
+
+
+def test_gram_counts_of_a_long_text_in_parts(spark):
+    text = spark.createDataFrame([(bytearray(b"abra cad abra " * 40), 2), (bytearray(b"x y"), 1)], "text binary, c long")
+    counts = [sorted(map(tuple, gram_model.gram_counts(text, 5, block).collect())) for block in (7, 50, 1 << 20)]
+    assert counts[0] == counts[1] == counts[2]
+
+
 def test_quality_shares():
     got = quality_model.shares({"en": 9000, "de": 500, None: 100}, 2000)
     assert got == {None: 1.0, "de": 1.0, "en": pytest.approx(1400 / 9000)} and quality_model.shares({"en": 5}, 10) == {"en": 1.0}
