@@ -51,3 +51,27 @@ def test_run(spark, tmp_path, monkeypatch):
     everything = {i for i, _ in docs}
     assert [ids for _, ids in seen][:4] == [everything, everything - {22}, everything - {22, 20}, everything - {22, 20, 21}]
     assert kept == set(range(8)) and got.count() == 16
+
+
+def test_classify_bounds_no_trusted_texts(monkeypatch):
+    import inspect
+
+    import corpus_pipeline
+    from lectern.llm.quality_model import quality_filter
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **how):
+        raise Asked(inspect.signature(quality_filter).bind(*args, **how))
+
+    monkeypatch.setattr(corpus_pipeline, "quality_filter", asked)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: None)
+    try:
+        corpus_pipeline.classify(None, None, "")
+    except Asked as e:
+        bound = e.args[0]
+        bound.apply_defaults()
+        assert bound.arguments["max_trusted"] is None
+    else:
+        raise AssertionError("not asked")
