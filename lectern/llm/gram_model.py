@@ -66,62 +66,126 @@ def grams(cp: np.ndarray, orders: int, starts: np.ndarray | None = None, reach:
             yield n, p, keys[p], before[p], shorter[p]
 
 
-def last_symbols(cp: np.ndarray, reach: np.ndarray, at: np.ndarray, orders: int) -> np.ndarray:
-    """Keys of the last symbols of a text, `orders` of them or as many as there are, at these positions."""
-    far = np.minimum(reach[at], orders - 1)
-    key, power = far.astype(U64) * _ORDER, U64(1)
+def last_symbols(cp: np.ndarray, reach: np.ndarray, lo: int, hi: int, orders: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions from lo to hi that aren't the start of a text, and keys of the last symbols of the text there, `orders` of them
+    or as many as there are."""
+    first = max(lo - orders + 1, 0)
+    sym = (cp[first:hi] + 1).astype(U64)
+    reach = reach[first:hi]
+    short = np.nonzero(reach < orders - 1)[0]
     with np.errstate(over="ignore"):
+        key, power = np.full(len(sym), U64(orders - 1) * _ORDER), U64(1)
         for j in range(orders):
-            key += np.where(far >= j, (cp[at - j] + 1).astype(U64) * power, U64(0))
+            key[j:] += sym[: len(sym) - j] * power
             power = power * GOLD
-    return mix(key)
+        few, power = reach[short].astype(U64) * _ORDER, U64(1)
+        for j in range(orders - 1):
+            far = reach[short] >= j
+            few[far] += sym[short[far] - j] * power
+            power = power * GOLD
+    key[short] = few
+    at = lo - first + np.nonzero(reach[lo - first :])[0]
+    return first + at, mix(key[at])
 
 
-def gram_counts(texts: DataFrame, orders: int, block: int = 1 << 20) -> DataFrame:
-    """(text binary, c long) -> (n, key, ctx, suf, c): counts of n-grams, added up in each task by blocks of about `block` bytes."""
+class Windows:
+    """Counts of the last symbols of a text, by fold. Those that meet a free slot of a table of a fixed size are added up there;
+    what meets a slot that others have is given back at once."""
+
+    names = ("a", "b", "c0", "c1")
+
+    def __init__(self, orders: int, bits: int = 19):
+        if orders > 6:
+            raise ValueError("six symbols at most")
+        self.orders, self.bits = orders, bits
+        self.used, self.keys = np.zeros(1 << bits, bool), np.zeros(1 << bits, U64)
+        self.packed, self.counts = np.zeros((2, 1 << bits), np.int64), np.zeros(2 << bits, np.int64)
+
+    def pack(self, cp: np.ndarray, reach: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Symbols in two numbers, 21 bits for each, the last one in the first bits; 0 is none."""
+        out = np.zeros((2, len(at)), np.int64)
+        for j in range(self.orders):
+            out[j // 3] |= np.where(reach[at] >= j, cp[at - j] + 1, 0) << (21 * (j % 3))
+        return out
+
+    def add(self, cp: np.ndarray, reach: np.ndarray, lo: int, hi: int, weight: np.ndarray, fold: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, key = last_symbols(cp, reach, lo, hi, self.orders)
+        slot = (key >> U64(64 - self.bits)).astype(np.int64)
+        free = np.nonzero(~self.used[slot])[0]
+        if len(free):
+            u, first = np.unique(slot[free], return_index=True)
+            first = free[first]
+            self.used[u], self.keys[u], self.packed[:, u] = True, key[first], self.pack(cp, reach, at[first])
+        met = self.keys[slot] == key
+        self.counts += np.bincount(2 * slot[met] + fold[at[met]], weights=weight[at[met]], minlength=len(self.counts)).astype(np.int64)
+        if not met.all():
+            at, key = at[~met], key[~met]
+            u, first, back = np.unique(key, return_index=True, return_inverse=True)
+            counts = np.bincount(2 * back + fold[at], weights=weight[at], minlength=2 * len(u)).astype(np.int64)
+            yield from self._rows(self.pack(cp, reach, at[first]), counts)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield from self._rows(self.packed[:, self.used], self.counts.reshape(-1, 2)[self.used].ravel())
+
+    def _rows(self, packed: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cols = (*packed, counts[::2], counts[1::2])
+        for at in range(0, packed.shape[1], 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in cols], names=list(self.names))
+
+
+def fold_counts(texts: DataFrame, orders: int, block: int = 1 << 20, bits: int = 19) -> DataFrame:
+    """(text binary, c long, fold int, 0 or 1) -> (n, key, ctx, suf, c0, c1): counts of n-grams in each fold. What is sent are the
+    different sequences of the last `orders` symbols, added up over a task; n-grams of all orders are found from them."""
+    held_orders = max(orders, 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[bytes, int]] = []
-        held = 0
+        table, pending, held = Windows(held_orders, bits), [], 0
         for b in batches:
-            counts = np.asarray(b.column(1)).astype(np.int64)
+            counts, folds = np.asarray(b.column(1)).astype(np.int64), np.asarray(b.column(2)).astype(np.int64)
             for i, t in enumerate(binary_values(b.column(0))):
-                pending.append((t or b"", counts[i]))
+                pending.append((t or b"", counts[i], folds[i]))
                 held += len(t or b"")
                 if held >= block:
-                    yield from counted(pending)
+                    yield from counted(table, pending)
                     pending, held = [], 0
         if pending:
-            yield from counted(pending)
-        b = pending = None
+            yield from counted(table, pending)
+        yield from table.rest()
+        table = b = pending = None
         trim()
 
-    def counted(pending: list) -> Iterator[pa.RecordBatch]:
-        cp, starts = stream([t for t, _ in pending])
-        reach, weight = reaches(len(cp), starts), np.repeat(np.array([c for _, c in pending], np.int64), np.diff(starts))
-        for lo in range(0, len(cp), block):  # long texts in parts, that begin with the last symbols of the part before
-            a = max(lo - orders, 0)
-            part = slice(a, lo + block)
-            yield from rows(cp[part], reach[part], weight[part], lo - a)
-
-    def rows(cp: np.ndarray, reach: np.ndarray, weight: np.ndarray, skip: int) -> Iterator[pa.RecordBatch]:
-        # positions with the same last symbols have the same n-grams of all orders: the first of them stands for all
-        at = skip + np.nonzero(reach[skip:])[0]
-        _, first, inverse = np.unique(last_symbols(cp, reach, at, orders), return_index=True, return_inverse=True)
-        weight = np.bincount(at[first][inverse], weights=weight[at], minlength=len(cp))
-        stands = np.zeros(len(cp), bool)
-        stands[at[first]] = True
-        for n, p, key, ctx, suf in grams(cp, orders, reach=reach):
-            ours = stands[p]
-            p, key, ctx, suf = p[ours], key[ours], ctx[ours], suf[ours]
-            u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            c = np.bincount(inverse, weights=weight[p]).astype(np.int64)
-            cols = [np.full(len(u), n, np.int32), u.view(np.int64), ctx[first].view(np.int64), suf[first].view(np.int64), c]
-            for at in range(0, len(u), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in cols], names=["n", "key", "ctx", "suf", "c"])
-
-    made = arrow_map(texts, count, "n int, key long, ctx long, suf long, c long")
-    return made.groupBy("n", "key", "ctx", "suf").agg(F.sum("c").alias("c"))
+    def counted(table: Windows, pending: list) -> Iterator[pa.RecordBatch]:
+        cp, starts = stream([t for t, _, _ in pending])
+        reach, sizes = reaches(len(cp), starts), np.diff(starts)
+        weight, fold = (np.repeat(np.array([x[i] for x in pending], np.int64), sizes) for i in (1, 2))
+        for lo in range(0, len(cp), block):  # long texts in parts
+            yield from table.add(cp, reach, lo, min(lo + block, len(cp)), weight, fold)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each sequence as a small text of its own, whose last symbol counts."""
+        for b in batches:
+            packed = [np.asarray(b.column(i)) for i in (0, 1)]
+            symbols = np.stack([packed[j // 3] >> (21 * (j % 3)) & 0x1FFFFF for j in reversed(range(held_orders))], axis=1)
+            is_one = symbols > 0
+            sizes = is_one.sum(axis=1)
+            ends = np.cumsum(sizes)
+            starts = np.concatenate([[0], ends])
+            which = np.full(int(ends[-1]) if len(ends) else 0, -1)
+            which[ends - 1] = np.arange(len(ends))
+            for n, p, key, ctx, suf in grams(symbols[is_one] - 1, orders, starts):
+                last = which[p] >= 0
+                row = which[p[last]]
+                cols = [np.full(len(row), n, np.int32), *(x[last].view(np.int64) for x in (key, ctx, suf)), *(np.asarray(b.column(i))[row] for i in (2, 3))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["n", "key", "ctx", "suf", "c0", "c1"])
+
+    sums = F.sum("c0").alias("c0"), F.sum("c1").alias("c1")
+    made = arrow_map(texts, count, "a long, b long, c0 long, c1 long").groupBy("a", "b").agg(*sums)
+    return arrow_map(made, spread, "n int, key long, ctx long, suf long, c0 long, c1 long").groupBy("n", "key", "ctx", "suf").agg(*sums)
+
+
+def gram_counts(texts: DataFrame, orders: int, block: int = 1 << 20) -> DataFrame:
+    """(text binary, c long) -> (n, key, ctx, suf, c): counts of n-grams."""
+    return fold_counts(texts.withColumn("fold", F.lit(0)), orders, block).select("n", "key", "ctx", "suf", F.col("c0").alias("c"))
 
 
 class Tables:
@@ -155,6 +219,16 @@ class GramModel:
     def __init__(self, orders: int, keys: np.ndarray, weights: np.ndarray, contexts: np.ndarray, rests: np.ndarray, floor: float):
         self.orders, self.floor = orders, floor
         self.weight, self.rest = Tables(keys.view(U64), weights), Tables(contexts.view(U64), rests)
+        self._scores: TextScores | None = None
+
+    def scores(self) -> TextScores:
+        """One for this model, whose values the tasks of a worker share."""
+        if self._scores is None:
+            self._scores = TextScores(self)
+        return self._scores
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_scores": None}
 
     def symbol_probabilities(self, cp: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
         reach = reaches(len(cp), starts)
@@ -202,17 +276,22 @@ class TextScores:
 
     def logs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text: log10 of its probability, and the number of symbols that were predicted."""
+        return self.measured(texts)[:2]
+
+    def measured(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As logs, and the number of words."""
         cp, starts = stream(texts)
         reach = reaches(len(cp), starts)
         sums = np.zeros(len(texts))
         text = np.repeat(np.arange(len(texts)), np.diff(starts))
         for lo in range(0, len(cp), self.part):
-            at = lo + np.nonzero(reach[lo : lo + self.part])[0]
-            sums += np.bincount(text[at], weights=self._found(cp, reach, at), minlength=len(texts))
-        return sums, np.diff(starts) - 1
+            at, logs = self._found(cp, reach, lo, min(lo + self.part, len(cp)))
+            sums += np.bincount(text[at], weights=logs, minlength=len(texts))
+        words = np.bincount(text[cp == BOUND], minlength=len(texts)) - 1
+        return sums, np.diff(starts) - 1, words
 
-    def _found(self, cp: np.ndarray, reach: np.ndarray, at: np.ndarray) -> np.ndarray:
-        key = last_symbols(cp, reach, at, self.model.orders)
+    def _found(self, cp: np.ndarray, reach: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        at, key = last_symbols(cp, reach, lo, hi, self.model.orders)
         slot = (key >> U64(64 - self.bits)).astype(np.int64)
         out = self.values[slot]
         new = np.nonzero(self.keys[slot] != key)[0]
@@ -224,4 +303,4 @@ class TextScores:
             _, last = np.unique(slot[::-1], return_index=True)
             last = len(slot) - 1 - last
             self.keys[slot[last]], self.values[slot[last]] = u[last], values[last]
-        return out
+        return at, out

@@ -253,6 +253,51 @@ def test_gram_counts_of_a_long_text_in_parts(spark):
     assert counts[0] == counts[1] == counts[2]
 
 
+def test_fold_counts_against_listed_grams(spark):
+    r = random.Random(8)
+    rows = [(" ".join("".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 40))), r.randint(1, 3), r.randint(0, 1)) for _ in range(40)]
+    want = [Counter(), Counter()]
+    for text, c, fold in rows:
+        cp, starts = gram_model.stream([text.encode()])
+        for n, _, key, ctx, suf in gram_model.grams(cp, 4, starts):
+            for x in zip(key.view(np.int64).tolist(), ctx.view(np.int64).tolist(), suf.view(np.int64).tolist()):
+                want[fold][(n, *x)] += c
+    texts = spark.createDataFrame([(bytearray(t.encode()), c, fold) for t, c, fold in rows], "text binary, c long, fold int").repartition(3)
+    for block, bits in ((1 << 20, 19), (60, 3), (60, 1)):  # with few slots most sequences are sent at once
+        got = gram_model.fold_counts(texts, 4, block, bits).collect()
+        for k in (0, 1):
+            assert {tuple(x[:4]): x[4 + k] for x in got if x[4 + k]} == dict(want[k])
+
+
+def test_quality_filter_moves_no_text(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice("one two three four five six seven".split()) for _ in range(10_000)), "en", "") for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    doubles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, doubles, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, held = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many labels
+    try:
+        assert quality_model.quality_filter(docs, labels).count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert written() - before < 400_000  # the texts are 2.9 MB; 0.7 MB at 2 bits a letter
+
+
+def test_having_sent_and_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([("1", "a"), ("2", "b"), ("1", "c"), ("x", None)], "id string, text string")
+    ids = spark.createDataFrame([("1",), ("x",), ("1",), ("9",)], "id string")
+    for most in (quality_model.SENT_IDS, 1):
+        monkeypatch.setattr(quality_model, "SENT_IDS", most)
+        assert sorted(quality_model._having(texts, ids).collect(), key=str) == [("1", "a"), ("1", "c"), ("x", None)]
+        assert quality_model._having(texts, ids.limit(0)).count() == 0
+
+
 def test_quality_shares():
     got = quality_model.shares({"en": 9000, "de": 500, None: 100}, 2000)
     assert got == {None: 1.0, "de": 1.0, "en": pytest.approx(1400 / 9000)} and quality_model.shares({"en": 5}, 10) == {"en": 1.0}
