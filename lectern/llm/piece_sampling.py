@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,9 @@ from lectern.llm.common import GOLD, U64, arrow_map, binary_values, mix, spare,
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
+#: Gumbel noise of a 53-bit number is less than MOST_NOISE, that of numbers under _LOUD less than LOUD_NOISE.
+MOST_NOISE, LOUD_NOISE, FIRST_EDGES = 37.5, 5.0, 48
+_LOUD = np.uint64(int(0.993 * 2**53))
 BLOCK_CHARS, MOST_EDGES = 200_000, 2_000_000
 
 
@@ -114,24 +119,41 @@ class Vocabulary:
             open_ = open_[~hit & (found >= 0)]
         return out
 
-    def expand(self, codes: np.ndarray) -> np.ndarray:
-        """Piece ids of edge codes; negative codes are characters in bytes."""
-        if not (codes < 0).any():
-            return codes
-        parts = []
-        last = 0
-        for at in np.nonzero(codes < 0)[0].tolist():
-            parts.append(codes[last:at])
-            parts.append(np.array([self.byte_ids[b] for b in chr(-int(codes[at]) - 1).encode()], np.int32))
-            last = at + 1
-        parts.append(codes[last:])
-        return np.concatenate(parts)
+    def expanded(self, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of lists of edge codes; negative codes are characters in bytes."""
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
+        at = np.nonzero(flat < 0)[0]
+        if len(at):
+            u, back = np.unique(flat[at], return_inverse=True)
+            ids = [[self.byte_ids[b] for b in chr(-c - 1).encode()] for c in u.tolist()]
+            width = np.ones(len(flat), np.int64)
+            width[at] = np.array(list(map(len, ids)))[back]
+            stops = np.cumsum(width)
+            flat = np.repeat(flat, width)
+            table = np.zeros((len(u), 4), np.int32)
+            for i, x in enumerate(ids):
+                table[i, : len(x)] = x
+            for j in range(4):
+                has = width[at] > j
+                flat[(stops - width)[at[has]] + j] = table[back[has], j]
+            ends = np.concatenate([[0], stops])[ends]
+        return np.split(flat, ends[:-1]) if codes else []
 
     def decode(self, ids: Sequence[int]) -> bytes:
         data = b"".join(map(self.bytes.__getitem__, ids))
         return data[1:] if data[:1] == b" " else data
 
 
+def split_units(text: str) -> list[str]:
+    """The units of a text that isn't empty, with a blank put in front."""
+    if "  " in text or text[0] == " " or "\0" in text:
+        return _UNITS.findall(" " + text)
+    if "\n" in text:
+        return list(filter(None, (" " + text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+    return (" " + text).replace(" ", "\0 ").split("\0")[1:]
+
+
 class Lattices:
     """Nodes and edges of all units met so far; an edge has its probability, given its node.
 
@@ -143,7 +165,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers: dict[str, int] = defaultdict(count().__next__)  # in the order of first sight
         self.nodes = self.edges = self.built = 0
         self.root = np.zeros(0, np.int64)
         self.start, self.p, self.to, self.code = np.zeros(1, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -225,32 +247,16 @@ class Lattices:
     def of(self, units: list[str]) -> np.ndarray:
         """Root nodes of units."""
         numbers = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
-        new, self.numbers.new = self.numbers.new, []
-        held, batch = 0, []
-        for u in new:
-            batch.append(u)
-            held += len(u)
-            if held >= 150_000:
-                self.add(batch)
-                batch, held = [], 0
-        if batch:
-            self.add(batch)
+        new = list(islice(reversed(self.numbers), len(self.numbers) - self.built))[::-1]
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        at = 0
+        while at < len(new):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 150_000)) + 1
+            self.add(new[at:to])
+            at = to
         return self.root[numbers]
 
 
-class _Numbers(dict):
-    """unit -> number in the order of first sight."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self.new.append(unit)
-        number = self[unit] = len(self)
-        return number
-
-
 def uniform(keys: np.ndarray, counters: np.ndarray) -> np.ndarray:
     """In (0, 1), from 64-bit keys and counters."""
     with np.errstate(over="ignore"):
@@ -292,33 +298,77 @@ class Path:
 
     edges: np.ndarray
     unit: np.ndarray
-    logs: np.ndarray
+    total: float
     split: int
     excluded: tuple[int, ...]
     key: float
-    bounds: np.ndarray  # of the states that leave this path at each edge
-
-
-def _bounds(path_logs: np.ndarray, p: np.ndarray, split: int, spare: float, key: float, noise: np.ndarray) -> np.ndarray:
-    """Bounds of the states that leave a path, from `split` on; `spare` is the probability left at the split."""
-    before = np.cumsum(path_logs) - path_logs
-    left = 1.0 - p
-    if split < len(p):
-        left[split] = spare
-    with np.errstate(divide="ignore"):
-        mass = before + np.log(np.maximum(left, 0.0))
-        g = mass - np.log(-np.log(noise))
-    out = -np.logaddexp(-key, -g)
-    out[left < 1e-14] = -np.inf
-    out[:split] = -np.inf
+    bounds: np.ndarray  # of the states that leave this path at each edge, the k greatest at least
+
+
+def _bounds(logs: np.ndarray, p: np.ndarray, starts: np.ndarray, split: np.ndarray, spare: np.ndarray, key: np.ndarray, noise_keys: np.ndarray, k: int) -> np.ndarray:
+    """Bounds of the states that leave paths at each edge, from `split` on; `spare` is the probability left at the split.
+    Paths stand one after the other; starts: with the end.
+
+    A state's log mass is at most that of the path before it, and noise is bounded: what can't be among a path's k greatest by
+    the noise of the edge, or by any, isn't worked out and stays without a bound. No search asks for more than k of a path."""
+    sizes = np.diff(starts)
+    pos = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)
+    with np.errstate(over="ignore"):
+        bits = mix(_mixed(int(sizes.max(initial=0)))[pos] ^ np.repeat(noise_keys, sizes)) >> U64(11)
+    before = np.empty(len(logs))
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        np.cumsum(logs[a:b], out=before[a:b])
+    before -= logs
+    out = np.full(len(logs), -np.inf)
+    at_split = (starts[:-1] + split)[split < sizes]
+
+    def work_out(at: np.ndarray) -> np.ndarray:
+        left = 1.0 - p[at]
+        here = np.searchsorted(at, at_split)
+        met = here < len(at)
+        met[met] = at[here[met]] == at_split[met]
+        left[here[met]] = spare[split < sizes][met]
+        with np.errstate(divide="ignore"):
+            g = before[at] + np.log(np.maximum(left, 0.0)) - np.log(-np.log((bits[at].astype(np.float64) + 0.5) * 2.0**-53))
+        g[left < 1e-14] = -np.inf
+        path = np.searchsorted(starts, at, side="right") - 1
+        out[at] = -np.logaddexp(-key[path], -g)
+        return g
+
+    first = np.minimum(starts[:-1] + split + FIRST_EDGES, starts[1:])
+    counts = np.maximum(first - starts[:-1] - split, 0)
+    ends = np.cumsum(counts)
+    at = np.arange(int(counts.sum())) + np.repeat(starts[:-1] + split - (ends - counts), counts)
+    g = work_out(at)
+    worst = np.full(len(sizes), -np.inf)  # a path's k-th greatest so far
+    for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
+        if b - a >= k:
+            worst[i] = np.partition(g[a:b], b - a - k)[b - a - k]
+    need = np.repeat(worst, sizes) - before
+    rest = (need <= MOST_NOISE) & ((need <= LOUD_NOISE) | (bits >= _LOUD)) & (pos >= np.repeat(split + FIRST_EDGES, sizes))
+    work_out(np.nonzero(rest)[0])
     return out
 
 
+_MIXED: list[np.ndarray] = [np.zeros(0, U64)]
+
+
+def _mixed(n: int) -> np.ndarray:
+    """The counters' part of uniform, of 0 to n at least; kept for counters up to 2**16."""
+    if len(_MIXED[0]) >= n:
+        return _MIXED[0]
+    with np.errstate(over="ignore"):
+        made = mix(np.arange(max(n, 1 << 12), dtype=U64) + GOLD)
+    if n <= 1 << 16:
+        _MIXED[0] = made
+    return made
+
+
 def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k samples (piece ids, log probability, log inclusion score), greatest key first."""
     if lattices.edges > MOST_EDGES:
         lattices.clear()
-    units = [_UNITS.findall(" " + t) if t else [] for t in texts]
+    units = [split_units(t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], np.int64)
     roots = lattices.of([u for us in units for u in us])
     start, p, to, code = lattices.start, lattices.p, lattices.to, lattices.code
@@ -326,6 +376,8 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
     doc = np.repeat(np.arange(len(texts)), sizes)
     ordinal = np.arange(len(roots)) - np.repeat(ends - sizes, sizes)
     paths: list[list[Path]] = [[] for _ in texts]
+    with np.errstate(over="ignore"):
+        noise_keys = [mix(keys + U64(1000 + r)) for r in range(k)]
     root_key = -np.log(-np.log(uniform(keys, np.full(len(keys), 1))))
 
     def fresh(nodes: np.ndarray, d: np.ndarray, o: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,11 +385,13 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
 
     edges, per_unit = fresh(roots, doc, ordinal, 0)
     stop = np.cumsum(per_unit)
+    found = []
     for i in range(len(texts)):
         a, b = ends[i] - sizes[i], ends[i]
         lo, hi = (stop[a - 1] if a else 0), (stop[b - 1] if b else 0)
         e = edges[lo:hi]
-        _finish(paths[i], e, np.repeat(np.arange(b - a), per_unit[a:b]), 0, (), float(root_key[i]), p, keys[i], 0)
+        found.append((i, paths[i], e, np.repeat(np.arange(b - a), per_unit[a:b]), 0, (), float(root_key[i])))
+    _finish(found, p, noise_keys[0], k)
     for r in range(1, k):
         todo, nodes, d, o = [], [], [], []
         for i, have in enumerate(paths):
@@ -373,33 +427,42 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
         flat, per = fresh(np.concatenate(nodes), np.concatenate(d), np.concatenate(o), r)
         units_of = np.repeat(np.concatenate(o), per)
         done = np.cumsum(per)
-        first = 0
+        first, found = 0, []
         for i, q, t, e, out, key, count in todo:
             lo, hi = (done[first - 1] if first else 0), (done[first + count - 1] if first + count else 0)
             first += count
             path = np.concatenate([q.edges[:t], [e], flat[lo:hi]])
-            _finish(paths[i], path, np.concatenate([q.unit[: t + 1], units_of[lo:hi]]), t, out, key, p, keys[i], r)
+            found.append((i, paths[i], path, np.concatenate([q.unit[: t + 1], units_of[lo:hi]]), t, out, key))
+        _finish(found, p, noise_keys[r], k)
+    pieces = iter(lattices.v.expanded([code[q.edges] for have in paths for q in have]))
     made = []
     for have in paths:
         after = max((q.bounds.max(initial=-np.inf) for q in have), default=-np.inf)
         rows = []
         for q in have:
-            total = float(q.logs.sum())
-            rate = math.exp(min(total - after, 700.0)) if after > -np.inf else math.inf
-            inclusion = 0.0 if rate > 40 else math.log(-math.expm1(-rate)) if rate > 1e-12 else total - after
-            rows.append((lattices.v.expand(code[q.edges]), total, inclusion))
+            rate = math.exp(min(q.total - after, 700.0)) if after > -np.inf else math.inf
+            inclusion = 0.0 if rate > 40 else math.log(-math.expm1(-rate)) if rate > 1e-12 else q.total - after
+            rows.append((next(pieces), q.total, inclusion))
         made.append(rows)
     return made
 
 
-def _finish(have: list[Path], edges, unit, split, excluded, key, p, row_key, r) -> None:
-    own = p[edges]
-    logs = np.log(own)
-    spare = 1.0
-    if split < len(edges):
-        spare = 1.0 - float(p[list(excluded)].sum()) - float(own[split]) if excluded else 1.0 - float(own[split])
-    noise = uniform(np.full(len(edges), mix(np.array([row_key], U64) + U64(1000 + r))[0]), np.arange(len(edges)))
-    have.append(Path(edges, unit, logs, split, excluded, key, _bounds(logs, own, split, spare, key, noise)))
+def _finish(found: list[tuple], p: np.ndarray, noise_keys: np.ndarray, k: int) -> None:
+    """Put paths that are (text's number, its paths, edges, unit, split, excluded, key) to the paths of their texts."""
+    for lo in range(0, len(found), 256):
+        part = found[lo : lo + 256]
+        starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in part])])
+        own = p[np.concatenate([x[2] for x in part])]
+        logs = np.log(own)
+        spare = np.ones(len(part))
+        for j, (_, _, edges, _, split, excluded, _) in enumerate(part):
+            if split < len(edges):
+                spare[j] = 1.0 - sum(p[list(excluded)].tolist()) - float(own[starts[j] + split])
+        split, key = np.array([x[4] for x in part]), np.array([x[6] for x in part])
+        bounds = _bounds(logs, own, starts, split, spare, key, noise_keys[[x[0] for x in part]], k)
+        for j, (_, have, edges, unit, at, excluded, its_key) in enumerate(part):
+            here = slice(starts[j], starts[j + 1])
+            have.append(Path(edges, unit, float(logs[here].sum()), at, excluded, its_key, bounds[here]))
 
 
 _SHARED: dict[str, Lattices] = {}

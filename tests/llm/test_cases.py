@@ -182,6 +182,40 @@ def lattice(v, text):
     return {s: x - total for s, x in found}
 
 
+def test_units_and_pieces_of_whole_blocks():
+    import numpy as np
+
+    r = random.Random(4)
+    texts = ["a", " ", "\n", "\0", "a\0b c\n", " \n x  y\n\n z ", "\n a ", *("".join(r.choice(["the", " ", " cat", "\n", "日", "\t"]) for _ in range(30)) for _ in range(200))]
+    assert [piece_sampling.split_units(t) for t in texts] == [piece_sampling._UNITS.findall(" " + t) for t in texts]
+    v = piece_sampling.Vocabulary(open(piece_sampling.DEFAULT_MODEL, "rb").read())
+    codes = [np.array([r.choice([5, 77, -ord("é") - 1, -ord("\t") - 1, -ord("😀") - 1]) for _ in range(r.randint(0, 6))], np.int32) for _ in range(50)]
+    want = [[x for c in some.tolist() for x in ([c] if c >= 0 else [v.byte_ids[b] for b in chr(-c - 1).encode()])] for some in codes]
+    assert [x.tolist() for x in v.expanded(codes)] == want and v.expanded([]) == []
+
+
+def test_bounds_that_count_are_worked_out_and_few_others():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sizes, k = np.array([0, 1, 3, 700, 5000, 40, 5000]), 3
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    p = r.choice([1.0, 0.99, 0.9, 0.5], int(starts[-1]))
+    split, spare, key = np.array([0, 0, 1, 20, 4990, 39, 0]), r.uniform(0, 0.5, len(sizes)), r.gumbel(size=len(sizes))
+    noise_keys = piece_sampling.mix(np.arange(len(sizes), dtype=np.uint64))
+    got = piece_sampling._bounds(np.log(p), p, starts, split, spare, key, noise_keys, k)
+    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        left = 1.0 - p[a:b]
+        if split[i] < b - a:
+            left[split[i]] = spare[i]
+        with np.errstate(divide="ignore"):
+            g = np.cumsum(np.log(p[a:b])) - np.log(p[a:b]) + np.log(left) - np.log(-np.log(piece_sampling.uniform(np.full(b - a, noise_keys[i]), np.arange(b - a))))
+        want = np.where(np.arange(b - a) < split[i], -np.inf, -np.logaddexp(-key[i], -g))
+        top = np.argsort(-want, kind="stable")[:k]
+        assert np.allclose(got[a:b][top], want[top]) and ((got[a:b] == -np.inf) | (got[a:b] == want)).all()
+    assert (got[starts[6] :] > -np.inf).sum() < 150  # of the last path's 5,000
+
+
 def test_samples_against_the_listed_lattice():
     import math
     from collections import Counter
