@@ -48,14 +48,27 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: With this setting Spark deletes a query's shuffle files as the query ends, and not once the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends and lost executors cost nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends, lost executors cost nothing, and what was shuffled
+    for it goes at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        writer = df.write
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +78,8 @@ def discard(*tables: DataFrame) -> None:
         files = df.inputFiles()
         if files:
             folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            while "=" in folder.getName():  # of a column that the table is partitioned by
+                folder = folder.getParent()
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -189,7 +189,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pair = lambda a, b: [F.col(x + c).alias(n + y) for x, y in ((a, "a"), (b, "b")) for c, n in (("k", ""), ("n", "n"))]
     star = rows.where((F.col("k") != F.col("pivot.k")) & reach(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))).select(*pair("pivot.", "")).distinct()
     star = materialize(star)
-    first_links = materialize(linked(texts, star, width, share))
+    first_links = linked(texts, star, width, share)
     # rows that are in one component already need no second product
     mark = components(first_links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("k"), F.col("root").alias("m"))
     marked = met_twice.join(mark, "k", "left").select("h", "k", "n", "pos", F.coalesce("m", "k").alias("m"))
@@ -199,9 +199,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     second = l.join(r, F.col("l.h") == F.col("r.h")).where((F.col("l.k") < F.col("r.k")) & (F.col("l.m") != F.col("r.m")) & reach(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"))).select(*pair("l.", "r.")).distinct()
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(second.join(done, ["a", "b"], "left_anti"))
-    links = materialize(first_links.unionByName(linked(texts, second, width, share)))
-    discard(met_twice, star, second, open_rows, first_links)
+    discard(met_twice, star, open_rows, mark)
+    more_links = linked(texts, second, width, share)
+    links = first_links.unionByName(more_links)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(second, first_links, more_links)
     classes = first.join(roots, F.col("k") == F.col("node"), "left").select("k", "n", "rep", F.coalesce("root", "k").alias("root"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     class_of = classes.join(least, "root").select("k", "n", "root", "component_id")
@@ -216,7 +218,7 @@ def block_of(s: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def linked(texts: DataFrame, pairs: DataFrame, width: int, share: int, blocks: int = BLOCKS) -> DataFrame:
-    """The pairs (a, na, b, nb) of rows that link, as (a, b, common): overlap counts accumulated over the blocks of columns."""
+    """The pairs (a, na, b, nb) of rows that link, as a table (a, b, common): overlap counts accumulated over the blocks of columns."""
     spark = texts.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k"))
     flags = spark.sparkContext.broadcast(merged_counters(wanted, signed_keys, FILTER_BITS, flags=True))
@@ -251,10 +253,14 @@ def linked(texts: DataFrame, pairs: DataFrame, width: int, share: int, blocks: i
         theirs = rows.select(F.col("k").alias("other"), F.col("s").alias("y"))
         both = counts.join(theirs, F.col("b") == F.col("other")).join(ours, (F.col("a") == F.col("k")) & (F.col("salt") == F.col("copy")))
         now = F.col("common") + F.size(F.array_intersect("x", "y"))
-        counts = both.select("a", "na", "b", "nb", "salt", now.alias("common"), (F.col("la") - F.size("x")).alias("la"), (F.col("lb") - F.size("y")).alias("lb"))
+        after = both.select("a", "na", "b", "nb", "salt", now.alias("common"), (F.col("la") - F.size("x")).alias("la"), (F.col("lb") - F.size("y")).alias("lb"))
         most = F.col("common") + F.least("la", "lb")
-        counts = counts.where(100 * most >= share * (F.col("na") + F.col("nb") - most))
-    return counts.select("a", "b", "common")  # no columns are left: the bound is the condition itself
+        before, counts = counts, materialize(after.where(100 * most >= share * (F.col("na") + F.col("nb") - most)))  # one block's shuffle at a time is on the disk
+        if j:
+            discard(before)
+    found = materialize(counts.select("a", "b", "common"))  # no columns are left: the bound is the condition itself
+    discard(sets, salts, counts)
+    return found
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

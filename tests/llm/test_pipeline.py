@@ -75,3 +75,44 @@ def test_classify_bounds_no_trusted_texts(monkeypatch):
         assert bound.arguments["max_trusted"] is None
     else:
         raise AssertionError("not asked")
+
+
+def tables_left(folder):
+    return {p: pq.read_schema(next(p.rglob("*.parquet"))).names for p in folder.glob("lectern-*") if any(p.rglob("*.parquet"))}
+
+
+def test_stages_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    import time
+
+    from lectern.llm import common
+    from lectern.llm.ngram_join import ngram_components
+    from lectern.llm.quality_model import quality_filter
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+
+    def shuffles():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in (found.apply(i).toString() for i in range(found.size())) if b.startswith("shuffle_")}
+
+    # what was shuffled for a table goes with its query, and the caller's setting stays
+    before, set_to = shuffles(), spark.conf.get(common.SHUFFLES_GO, None)
+    t = common.materialize(spark.range(1000).selectExpr("id", "id % 2 AS part").repartition(3, "id"), "part")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(common.SHUFFLES_GO, None) == set_to and t.count() == 1000
+    common.discard(t)
+    assert not list(tmp_path.glob("lectern-*"))  # the whole of a partitioned table
+    # no sets of shingles, leading columns or pairs
+    texts = [prose(i) for i in range(6)]
+    rows = list(enumerate([*texts, *(t + " tail" for t in texts)]))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.id: r.component_id for r in got.collect()} == {i: i % 6 for i in range(12)}
+    assert sorted(map(tuple, tables_left(tmp_path).values())) == sorted([("id", "t", "k", "n", "segment", "data"), ("k", "n", "rep"), ("u", "v")])
+    # no copy of the texts
+    there = set(tables_left(tmp_path))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = quality_filter(docs, spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int"))
+    assert got.count() == 12
+    assert not [c for p, c in tables_left(tmp_path).items() if p not in there and {"given", "text"} & set(c)]
