@@ -100,10 +100,10 @@ def ordered(*keys: np.ndarray) -> np.ndarray:
     """As np.lexsort, the first key sorting first: keys are put into one number, which sorts faster than each by itself."""
     if not len(keys[0]):
         return np.zeros(0, np.int64)
-    whole, held = keys[0], None
+    whole, held = keys[0], int(keys[0].max()).bit_length()
     for k in keys[1:]:
         width = int(k.max()).bit_length()
-        if held is None or held + width > 62:
+        if held + width > 62:
             whole, n = ranks(whole)
             held = n.bit_length()
             if held + width > 62:
@@ -248,10 +248,13 @@ def deal(rows: DataFrame, model, id_fields: list[T.StructField]) -> DataFrame:
             other = np.nonzero(code < 0)[0]
             own = code.copy()
             own[other] = len(m.hashes) + np.arange(len(other))
-            x = own[inverse] + 1  # 0 is the start
+            dense = np.empty(len(own), np.int64)  # sorting takes them without gaps, in the same order
+            dense[np.argsort(own)] = np.arange(1, len(own) + 1)
+            numbers = np.concatenate([[0], own[np.argsort(own)] + 1])  # 0 is the start
+            x = dense[inverse]
             w, b, a = (np.where(reach >= k, np.concatenate([np.zeros(min(k, len(x)), np.int64), x[:-k]]), 0) if len(x) > k else np.zeros(len(x), np.int64) for k in (1, 2, 3))
-            head, tail = w << 32 | b, a << 32 | x
-            order = ordered(head, a, x, doc)
+            order = ordered(w, b, a, x, doc)
+            head, tail = numbers[w] << 32 | numbers[b], numbers[a] << 32 | numbers[x]
             head, tail, doc = head[order], tail[order], doc[order]
             new = np.ones(len(head), bool)
             new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])

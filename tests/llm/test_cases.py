@@ -269,3 +269,16 @@ def test_trees_learn_from_rules(spark):
     text = "http://aab.net/x?k=1"
     entropy = -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
     assert row.f_entropy == pytest.approx(entropy) and (row.f_length, row.f_depth, row.f_params, row.suffix, row.f_labels) == (20.0, 1.0, 1.0, "net", 2.0)
+
+
+def test_ordered_sorts_narrow_keys_once(monkeypatch):
+    import numpy as np
+
+    from lectern.llm import suffix_tree
+
+    r, calls, ranks = np.random.default_rng(1), [], suffix_tree.ranks
+    monkeypatch.setattr(suffix_tree, "ranks", lambda k: calls.append(1) or ranks(k))
+    narrow = [r.integers(0, 1 << 20, 5000), r.integers(0, 9, 5000), r.permutation(5000)]
+    assert (suffix_tree.ordered(*narrow) == np.lexsort(narrow[::-1])).all() and not calls
+    wide = [r.integers(0, 9, 5000) << 59, r.integers(0, 9, 5000) << 59, r.permutation(5000)]
+    assert (suffix_tree.ordered(*wide) == np.lexsort(wide[::-1])).all() and calls
