@@ -56,8 +56,8 @@ def search(queries: DataFrame, registry: DataFrame) -> DataFrame:
     by_gram = named.select("*", F.explode(F.array_distinct(F.concat(_grams(F.col("words"), 2), _grams(F.col("words"), 3)))).alias("key"))
     grams = q.where(F.size("tokens") > 0).select("query", "tokens", F.explode(_grams(longest, F.least(F.length(longest), F.lit(3)))).alias("key"))
     met = by_gram.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
-    rarest = grams.join(met, "key", "left").groupBy("query", "tokens").agg(F.min_by("key", F.struct(F.coalesce("names", F.lit(0)), "key")).alias("key"))
-    return rarest.join(by_gram, "key").where(contains_all(F.col("words"), F.col("tokens"))).select("query", "id", "registration", "name", "active")
+    rarest = grams.join(_shuffled(met), "key", "left").groupBy("query", "tokens").agg(F.min_by("key", F.struct(F.coalesce("names", F.lit(0)), "key")).alias("key"))
+    return rarest.join(_shuffled(by_gram), "key").where(contains_all(F.col("words"), F.col("tokens"))).select("query", "id", "registration", "name", "active")
 
 
 def lookup(queries: DataFrame, registry: DataFrame, base_url: str = "") -> DataFrame:
@@ -72,10 +72,10 @@ def lookup(queries: DataFrame, registry: DataFrame, base_url: str = "") -> DataF
     by_token = held.select("held", "active", "n", "r", F.explode("held").alias("token"))
     often = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     # a token that no record holds has no count, and its sets no answer
-    rarest = sets.select("tokens", F.explode("tokens").alias("token")).join(often, "token", "left").groupBy("tokens").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
-    met = rarest.join(by_token, "token").where(F.forall("tokens", lambda t: F.array_contains(F.col("held"), t)))
+    rarest = sets.select("tokens", F.explode("tokens").alias("token")).join(_shuffled(often), "token", "left").groupBy("tokens").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
+    met = rarest.join(_shuffled(by_token), "token").where(F.forall("tokens", lambda t: F.array_contains(F.col("held"), t)))
     per = met.groupBy("tokens", "active").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
-    return _decide(q.select("query"), q.join(per, "tokens").select("query", "active", "n", "r"), base_url)
+    return _decide(_shuffled(q.select("query")), q.join(_shuffled(per), "tokens").select("query", "active", "n", "r"), base_url)
 
 
 def _by_tokens(registry: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -88,9 +88,9 @@ def _by_tokens(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     by_gram = named.select(word).distinct().select("word", F.explode(F.array_distinct(F.concat(_grams(F.col("word"), 2), _grams(F.col("word"), 3)))).alias("key"))
     grams = wanted.select("token", F.explode(_grams(F.col("token"), F.least(F.length("token"), F.lit(3)))).alias("key"))
     common = by_gram.groupBy("key").agg(F.count(F.lit(1)).alias("words"))
-    rarest = grams.join(common, "key").groupBy("token").agg(F.min_by("key", F.struct("words", "key")).alias("key"))
-    holds = rarest.join(by_gram, "key").where(F.contains(F.col("word"), F.col("token"))).select("word", "token")
-    held = named.select("words", "active", "n", "r", word).join(holds, "word").groupBy("words", "active").agg(F.array_sort(F.collect_set("token")).alias("held"), F.first("n").alias("n"), F.first("r").alias("r"))
+    rarest = grams.join(_shuffled(common), "key").groupBy("token").agg(F.min_by("key", F.struct("words", "key")).alias("key"))
+    holds = rarest.join(_shuffled(by_gram), "key").where(F.contains(F.col("word"), F.col("token"))).select("word", "token")
+    held = named.select("words", "active", "n", "r", word).join(_shuffled(holds), "word").groupBy("words", "active").agg(F.array_sort(F.collect_set("token")).alias("held"), F.first("n").alias("n"), F.first("r").alias("r"))
     return held.groupBy("held", "active").agg(F.sum("n").alias("n"), F.max("r").alias("r"))
 
 
@@ -110,6 +110,12 @@ def enrich_rows(rows: DataFrame, found: DataFrame, plan: str = "plan") -> DataFr
     return joined.select(*names, F.when(F.col("known_plan").isNotNull(), F.col("known_number")).otherwise(before).alias("registrationNumber"), F.col("known_notice").alias("registrationNumberExpiryNotice"))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is to be shuffled, never sent to the driver: Spark takes tables of parts of texts for as small as the texts'
+    file, as it doesn't see how many rows come from one."""
+    return side.hint("merge")
+
+
 def _grams(text: Column, n: Column | int) -> Column:
     """The parts of n characters of a text."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -105,3 +105,14 @@ def test_registry_lookup_counts_records_by_the_tokens_they_hold(spark):
     got = sorted(map(tuple, R.lookup(asked, registry, "b").collect()), key=str)
     assert got == sorted(map(tuple, R.choose(asked, R.search(asked, registry), "b").collect()), key=str) and len(got) == 13
     assert {r[0]: r[1] for r in got}["x299 lens"] == "FOUND"
+
+
+def test_registry_lookup_sends_no_table_to_the_driver(spark):
+    from lectern.operators import registry as R
+
+    registry = spark.createDataFrame([(i, f"R {i}", f"Lens pro X{i}", i % 3 > 0) for i in range(300)], "id long, registration string, name string, active boolean")
+    asked = spark.createDataFrame([("ens x299",), ("pro",), ("none",)], "query string")
+    for found, n in ((R.lookup(asked, registry), 3), (R.search(asked, registry), 301)):
+        assert len(found.collect()) == n
+        plan = found._jdf.queryExecution().executedPlan().toString()  # the one that ran
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
